@@ -35,6 +35,10 @@ PII_SQL = {
     "contact_email": "lower(replace(c_name, '#', '.')) || '@mail.example.com'",
     "phone": "'(' || lpad(CAST(200 + c_custkey % 800 AS VARCHAR), 3, '0') || ') ' || lpad(CAST((c_custkey * 7919) % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST((c_custkey * 104729) % 10000 AS VARCHAR), 4, '0')",
     "ssn_text": "lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST((c_custkey * 31) % 10000 AS VARCHAR), 4, '0')",
+    "alt_contact": "'u' || CAST(c_custkey AS VARCHAR) || '@corp' || CAST(c_nationkey AS VARCHAR) || '.example.org'",
+    "ref_code": "lpad(CAST((c_custkey * 37) % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST((c_custkey * 11) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST((c_custkey * 53) % 10000 AS VARCHAR), 4, '0')",
+    "dial": "'+1 ' || lpad(CAST(200 + (c_custkey * 3) % 800 AS VARCHAR), 3, '0') || ' ' || lpad(CAST((c_custkey * 61) % 10000000 AS VARCHAR), 7, '0')",
+    "dob": "CAST(1950 + c_custkey % 50 AS VARCHAR) || '-' || lpad(CAST(1 + c_custkey % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0')",
     "card": "'4' || lpad(CAST((c_custkey * 7) % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST((c_custkey * 13) % 10000 AS VARCHAR), 4, '0') || '-' || lpad(CAST((c_custkey * 17) % 10000 AS VARCHAR), 4, '0')",
 }
 PII_COLUMNS = ["c_custkey", "c_name", "c_mktsegment", *PII_SQL]
