@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 TWO_52 = float(2**52)
 
 
-def _key(seed: int, name: str, id_col: Column, k: int | str | None) -> Column:
+def _key(seed: int, name: str, id_col: Column, k: int | str | Column | None) -> Column:
     parts = [F.lit(f"{seed}:{name}:"), id_col.cast("string")]
-    if k is not None:
+    if isinstance(k, Column):
+        parts += [F.lit(":"), k.cast("string")]
+    elif k is not None:
         parts.append(F.lit(f":{k}"))
     return F.concat(*parts)
 
@@ -54,8 +56,10 @@ def pick(pool: list[str], seed: int, name: str, id_col: Column, k: int | str | N
 
 # --- the same draws as DuckDB SQL text (for the oracle) --------------------
 
-def sql_uniform(seed: int, name: str, id_sql: str, k: int | str | None = None) -> str:
+def sql_uniform(seed: int, name: str, id_sql: str, k: int | str | None = None, k_sql: str | None = None) -> str:
     tail = f" || ':{k}'" if k is not None else ""
+    if k_sql is not None:
+        tail = f" || ':' || CAST({k_sql} AS VARCHAR)"
     key = f"'{seed}:{name}:' || CAST({id_sql} AS VARCHAR){tail}"
     return f"(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0)"
 

@@ -264,8 +264,11 @@ def top_values(freq: DataFrame, k: int, numeric_order: bool = False) -> DataFram
     return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = None) -> DataFrame:
-    """B3-B9 per column: counts, percentages, base statistics, semantic type."""
+def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = None, quartiles: bool = True) -> DataFrame:
+    """B3-B9 per column: counts, percentages, base statistics, semantic type.
+
+    ``quartiles=False`` skips the percentile pass (type detection alone).
+    """
     stats = scalar_stats(df)
     if exact:
         freq = freq if freq is not None else frequency_table(df)
@@ -286,7 +289,7 @@ def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = Non
                 )
             )
         )
-    quart = percentiles(df, QUARTILE_PROBS, exact=exact)
+    quart = percentiles(df, QUARTILE_PROBS, exact=exact if quartiles else False, columns=None if quartiles else [])
     qwide = quart.groupBy("position").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("value"))).alias("q25"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),

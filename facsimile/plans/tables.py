@@ -54,3 +54,11 @@ def pii_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_sql() -> str:
     cols = ", ".join(["c_custkey", "c_name", "c_mktsegment"] + [f"{sql} AS {name}" for name, sql in PII_SQL.items()])
     return f"(SELECT {cols} FROM customer)"
+
+# Integer-typed columns of the driver's tables.
+INTEGRAL_COLUMNS = {
+    "r_regionkey", "n_nationkey", "n_regionkey", "c_custkey", "c_nationkey", "s_suppkey", "s_nationkey",
+    "p_partkey", "p_size", "o_orderkey", "o_custkey", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    "event_id", "user_id", "doc_id", "n_chars", "quality", "toxic", "conv_id", "turn", "item_id", "page_id",
+    "vec_id", "label",
+}

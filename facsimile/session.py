@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,15 +51,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write ``df`` as a parquet table under the shared checkpoint folder.
 
-    Used where a result is read more than once and must be identical each
-    time (ranked tables whose ids come from partition positions), and to keep
-    long iterative plans short. Survives executor loss, unlike a local
-    checkpoint.
+    Used where a result is read many times (a fitted model) and to keep
+    iterative plans one step long. The files survive executor loss. A plain
+    ``checkpoint()`` is not used here: the checkpointed plan still carries
+    the constraints of its whole history, and in a loop their propagation
+    grows with every step.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/facsimile/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
