@@ -35,6 +35,7 @@ def running_totals(
     start: str = "rank_start",
     end: str = "rank_end",
     num_partitions: int | None = None,
+    weight_type: str = "long",
 ) -> DataFrame:
     """Add ``start`` (exclusive running total) and ``end`` (inclusive).
 
@@ -45,7 +46,7 @@ def running_totals(
     """
     spark = df.sparkSession
     parts = num_partitions or shuffle_partitions(spark)
-    w = (weight if weight is not None else F.lit(1)).cast("long")
+    w = (weight if weight is not None else F.lit(1)).cast(weight_type)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     groups = list(group_cols)
 
@@ -64,12 +65,12 @@ def running_totals(
     totals = ranged.groupBy("_slice", *groups).agg(F.sum("_w").alias("_tot"))
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_slice", *groups, F.coalesce(F.sum("_tot").over(before), F.lit(0)).cast("long").alias("_off")
+        "_slice", *groups, F.coalesce(F.sum("_tot").over(before), F.lit(0)).cast(weight_type).alias("_off")
     )
     # offsets has at most (partitions x groups) rows: broadcast is size-bounded.
     out = local.join(F.broadcast(offsets), ["_slice", *groups])
-    out = out.withColumn(end, (F.col("_off") + F.col("_local")).cast("long"))
-    out = out.withColumn(start, (F.col(end) - F.col("_w")).cast("long"))
+    out = out.withColumn(end, (F.col("_off") + F.col("_local")).cast(weight_type))
+    out = out.withColumn(start, (F.col(end) - F.col("_w")).cast(weight_type))
     return out.drop("_w", "_slice", "_local", "_off")
 
 
