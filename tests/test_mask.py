@@ -53,3 +53,19 @@ def test_roundtrip_and_shape(spark):
     assert same_len.count() == 0
     by_distinct = M.tokenize(cust, types, KEY, strategy="distinct")
     assert by_distinct.exceptAll(masked).count() == 0
+
+
+def test_engines_agree(spark):
+    from tests.conftest import SF
+    from facsimile.plans.tables import pii_customers
+    from facsimile.plans.mask_queries import PII_TYPES
+
+    pii = pii_customers(spark, SF)
+    for c, t in PII_TYPES.items():
+        d = pii.select(M.token_column(F.col(c), t, KEY, "arrow").alias("a"), M.token_column(F.col(c), t, KEY, "sql").alias("b"))
+        assert d.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0, c
+
+
+def test_python_function_vectors():
+    for t, v, want in VECTORS:
+        assert M.token_function(t, KEY)(v) == want
