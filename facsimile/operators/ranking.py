@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.session import shuffle_partitions
+from facsimile.session import cut_lineage, shuffle_partitions
 
 
 def running_totals(
@@ -50,7 +50,11 @@ def running_totals(
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     groups = list(group_cols)
 
-    ranged = (
+    # The sliced table is read twice (running sums, slice totals). Written
+    # once to the shared checkpoint folder, its upstream (typically a
+    # frequency aggregation over the whole source) runs once, and the slice
+    # ids stay fixed even if an executor is lost and work is redone.
+    ranged = cut_lineage(
         df.withColumn("_w", w)
         .repartitionByRange(parts, *[F.col(g) for g in groups], *order)
         .withColumn("_slice", F.spark_partition_id())
