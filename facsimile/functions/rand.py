@@ -32,7 +32,11 @@ def _key(seed: int, name: str, id_col: Column, k: int | str | Column | None) ->
 def uniform(seed: int, name: str, id_col: Column, k: int | str | None = None) -> Column:
     """Uniform double in [0, 1) keyed by (seed, name, id[, k])."""
     h = F.md5(_key(seed, name, id_col, k))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(TWO_52)
+    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / F.lit(TWO_52)
+    # conv() is typed nullable although md5 hex always parses. Declaring the
+    # result non-null stops the optimizer from inferring isnotnull() filters
+    # that would copy the whole draw expression below every join on it.
+    return F.coalesce(u, F.lit(0.0))
 
 
 def uniform_index(seed: int, name: str, id_col: Column, n: int | Column, k: int | str | None = None) -> Column:

@@ -276,3 +276,16 @@ for _t in ["orders", "events", "labels"]:
     add(f"synth_metadata_{_t}", (lambda t: lambda spark, sf_dir: S.metadata(P.column_stats(table(spark, sf_dir, t), quartiles=False)))(_t), metadata_sql(_t))
 
 del F, math, TABLE_COLUMNS
+
+
+# ---- D17 Gaussian copula (approximate quantile grid: rows-only check) ----------
+
+def q_copula(spark, sf_dir):
+    from facsimile.operators import copula as CP
+
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
+    model = CP.fit_copula(part, seed=SEED)
+    return CP.generate_copula(model, model.rows)
+
+
+add("synth_copula_part", q_copula)
