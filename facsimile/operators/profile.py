@@ -641,8 +641,9 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
 def _guarded(cov: Column, vi: Column, vj: Column) -> Column:
     """cov / sqrt(vi * vj), null when a variance is zero (no ANSI error);
     clamped to [-1, 1] against rounding."""
-    r = F.when((vi > 0) & (vj > 0), cov / F.sqrt(vi * vj))
-    return F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    r = cov / F.sqrt(vi * vj)
+    # greatest/least skip nulls, so the clamp must not see an undefined r.
+    return F.when((vi > 0) & (vj > 0), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def high_correlations(matrix: DataFrame, df: DataFrame, threshold: float = 0.5) -> DataFrame:
