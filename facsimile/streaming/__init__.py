@@ -1,0 +1,8 @@
+"""No streaming operators.
+
+The operators rebuilt here read whole tables at once; none keeps state over
+an unbounded input. The token columns of ``facsimile.operators.mask`` are
+stateless column expressions and can be applied to a streaming DataFrame as
+they are; vault maintenance for a stream would be a ``foreachBatch`` sink
+that appends distinct (type, value, token) rows.
+"""
