@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from facsimile.functions import rand as R
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
-from facsimile.operators.synth import sample_by_rank, value_intervals
+from facsimile.operators.synth import sample_by_rank, value_intervals, value_intervals_counted
 from facsimile.session import cut_lineage
 
 GRID = 200
@@ -170,8 +170,7 @@ def generate_copula(model: CopulaModel, n: int) -> DataFrame:
     base = base.select("id", *pos)
     out = base
     for i, c in enumerate(model.columns):
-        iv = value_intervals(model.source, c, include_nulls=False)
-        k = iv.count()
+        iv, k = value_intervals_counted(model.source, c, include_nulls=False)
         out = sample_by_rank(out.withColumnRenamed(f"_p{i}", "_pos"), iv, "_pos", model.non_null[c], k, c)
         rate = 1.0 - model.non_null[c] / model.rows if model.rows else 0.0
         if rate > 0:

@@ -16,7 +16,7 @@ import math
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -270,14 +270,33 @@ EXPRESSIONS = {
 
 # ---------------------------------------------------------- sampling lookups
 
+SMALL_INTERVALS = 100_000
+
+
 def value_intervals(src: DataFrame, col: str, include_nulls: bool = True) -> DataFrame:
-    """Cumulative ``[rank_start, rank_end)`` per distinct value (nulls first)."""
+    """Cumulative ``[rank_start, rank_end)`` per distinct value (nulls first).
+
+    The distinct values are counted first. Up to SMALL_INTERVALS of them
+    (a checked bound) the running sum is one window over the small table;
+    beyond it, the distributed ``running_totals`` takes over.
+    """
+    return value_intervals_counted(src, col, include_nulls)[0]
+
+
+def value_intervals_counted(src: DataFrame, col: str, include_nulls: bool = True) -> tuple[DataFrame, int]:
     c = F.col(f"`{col}`")
     freq = src.select(c.alias("_value"))
     if not include_nulls:
         freq = freq.filter(F.col("_value").isNotNull())
     freq = freq.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    return running_totals(freq, [F.col("_value").asc_nulls_first()], weight=F.col("_n"))
+    k = freq.count()
+    order = F.col("_value").asc_nulls_first()
+    if k <= SMALL_INTERVALS:
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = freq.withColumn("rank_end", F.sum("_n").over(w).cast("long"))
+        out = out.withColumn("rank_start", (F.col("rank_end") - F.col("_n")).cast("long"))
+        return out, k
+    return running_totals(freq, [order], weight=F.col("_n")), k
 
 
 def sample_by_rank(rows: DataFrame, intervals: DataFrame, pos_col: str, total: int, distinct: int, out: str) -> DataFrame:
@@ -291,9 +310,8 @@ def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> D
     seed = model.seed
     q = p.params
     if p.method == "kde":
-        iv = value_intervals(model.source, p.name, include_nulls=False)
+        iv, k = value_intervals_counted(model.source, p.name, include_nulls=False)
         m = q["nn"]
-        k = iv.count()
         pos = R.uniform_index(seed, p.name, idc, max(m, 1), "pos")
         rows = base.withColumn("_pos", pos)
         out = sample_by_rank(rows, iv, "_pos", m, k, "_pick")
@@ -302,9 +320,8 @@ def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> D
         x = F.col("_pick").cast("double") + F.lit(bw) * R.normal(seed, p.name, F.col("id"), "kde")
         x = F.least(F.greatest(x, F.lit(q["min"])), F.lit(q["max"]))
         return out.withColumn(p.name, x).drop("_pick")
-    iv = value_intervals(model.source, p.name, include_nulls=True)
+    iv, k = value_intervals_counted(model.source, p.name, include_nulls=True)
     total = q["rows"]
-    k = iv.count()
     rows = base.withColumn("_pos", R.uniform_index(seed, p.name, idc, max(total, 1), "pos"))
     return sample_by_rank(rows, iv, "_pos", total, k, p.name)
 
