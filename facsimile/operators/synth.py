@@ -306,6 +306,29 @@ def sample_by_rank(rows: DataFrame, intervals: DataFrame, pos_col: str, total: i
     return hit.drop("rank_start", "rank_end", pos_col).withColumnRenamed("_value", out)
 
 
+INLINE_CATEGORIES = 64
+
+
+def _count_at_most(x: Column, ends: list[int], lo: int, hi: int) -> Column:
+    """Number of ``ends`` (sorted) that are <= x, as a balanced when-tree."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x < F.lit(ends[mid]), _count_at_most(x, ends, lo, mid)).otherwise(_count_at_most(x, ends, mid + 1, hi))
+
+
+def _inline_pick(iv: DataFrame, pos: Column, data_type) -> Column:
+    """Value of the interval holding ``pos`` for a small, collected CDF.
+
+    Only called when the distinct count is checked <= INLINE_CATEGORIES: the
+    CDF becomes literals and a compiled binary search, with no join.
+    """
+    rows = iv.select("_value", "rank_end").orderBy("rank_end").collect()
+    values = F.array(*[F.lit(r["_value"]).cast(data_type) for r in rows])
+    ends = [int(r["rank_end"]) for r in rows]
+    return F.element_at(values, _count_at_most(pos, ends, 0, len(ends)) + 1)
+
+
 def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> DataFrame:
     seed = model.seed
     q = p.params
@@ -322,7 +345,10 @@ def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> D
         return out.withColumn(p.name, x).drop("_pick")
     iv, k = value_intervals_counted(model.source, p.name, include_nulls=True)
     total = q["rows"]
-    rows = base.withColumn("_pos", R.uniform_index(seed, p.name, idc, max(total, 1), "pos"))
+    pos = R.uniform_index(seed, p.name, idc, max(total, 1), "pos")
+    if k <= INLINE_CATEGORIES:
+        return base.withColumn(p.name, _inline_pick(iv, pos, p.data_type))
+    rows = base.withColumn("_pos", pos)
     return sample_by_rank(rows, iv, "_pos", total, k, p.name)
 
 
