@@ -46,6 +46,7 @@ from pyspark.sql.types import (
 from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, rlike_u, word_count
 from facsimile.operators.detect import detected_type_expr, type_by_name
 from facsimile.operators.ranking import lookup_by_rank, running_totals
+from facsimile.session import cut_lineage
 
 # The percentiles of the distribution profile, and the
 # generation method recommended for each semantic type.
@@ -303,7 +304,9 @@ def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = Non
     """
     stats = scalar_stats(df)
     if exact:
-        freq = freq if freq is not None else frequency_table(df)
+        # Read by the distinct counts and by the quartiles: written once to
+        # the shared checkpoint folder instead of being computed twice.
+        freq = freq if freq is not None else cut_lineage(frequency_table(df))
         uniq = distinct_counts(freq)
     else:
         cols = columns_of(df)
@@ -751,10 +754,10 @@ class Profile:
 
 
 def profile(df: DataFrame, exact: bool = True, persist: bool = True) -> Profile:
-    """Every section. The frequency table is shared (persisted once)."""
+    """Every section. The frequency table is shared (written once)."""
     freq = frequency_table(df)
     if persist:
-        freq = freq.persist()
+        freq = cut_lineage(freq)
     stats = column_stats(df, exact=exact, freq=freq)
     pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact)
     corr = correlation_matrix(df)
