@@ -384,6 +384,7 @@ def percentiles(
         return out.select("position", names[F.col("position")].alias("column"), "p", "value")
 
     wanted = [c.position for c in cols]
+    given = freq is not None
     if freq is not None:
         # The shared frequency table already holds (position, num, n) for
         # numeric columns: no second explode and shuffle.
@@ -394,7 +395,7 @@ def percentiles(
         F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).cast("long").alias("_k")
     )
     sizes = sizes.withColumn("_bw", F.greatest(F.lit(1), F.floor(F.col("_total") / F.col("_k"))).cast("long"))
-    ranked = running_totals(freq, ["v"], weight=F.col("n"), group_cols=["position"])
+    ranked = running_totals(freq, ["v"], weight=F.col("n"), group_cols=["position"], materialize=not given)
     ranked = ranked.join(F.broadcast(sizes.select("position", "_bw")), "position")
 
     targets = sizes.select(

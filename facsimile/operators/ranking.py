@@ -36,6 +36,7 @@ def running_totals(
     end: str = "rank_end",
     num_partitions: int | None = None,
     weight_type: str = "long",
+    materialize: bool = True,
 ) -> DataFrame:
     """Add ``start`` (exclusive running total) and ``end`` (inclusive).
 
@@ -54,11 +55,16 @@ def running_totals(
     # once to the shared checkpoint folder, its upstream (typically a
     # frequency aggregation over the whole source) runs once, and the slice
     # ids stay fixed even if an executor is lost and work is redone.
-    ranged = cut_lineage(
+    # With ``materialize=False`` (input already a written table) both
+    # readers redo the range split: its sampled bounds and explicit partition
+    # count make the slices identical each time.
+    ranged = (
         df.withColumn("_w", w)
         .repartitionByRange(parts, *[F.col(g) for g in groups], *order)
         .withColumn("_slice", F.spark_partition_id())
     )
+    if materialize:
+        ranged = cut_lineage(ranged)
     local_win = (
         Window.partitionBy("_slice", *groups)
         .orderBy(*order)
