@@ -37,3 +37,16 @@ def words(col: Column) -> Column:
 def capitalize(col: Column) -> Column:
     """First character upper, rest lower (Python ``str.capitalize``)."""
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))
+
+
+def ntz_micros(col: Column) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (NTZ) timestamp,
+    independent of the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, col.cast("timestamp_ntz"))
+
+
+def micros_to_ntz(us: Column) -> Column:
+    """Inverse of ``ntz_micros``."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", us, epoch)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from facsimile.functions.text import ntz_micros
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
 from facsimile.operators.ranking import running_totals
 
@@ -143,7 +144,7 @@ def correlation_metrics(pairs: DataFrame) -> DataFrame:
 def _shape_value(c, df: DataFrame) -> Column:
     ref = F.col(f"`{c.name}`")
     if c.kind == "datetime":
-        return F.unix_micros(ref.cast("timestamp_ntz").cast("timestamp")).cast("double")
+        return (F.unix_micros(ref) if c.data_type == "timestamp" else ntz_micros(ref)).cast("double")
     return ref.cast("double")
 
 

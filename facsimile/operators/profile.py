@@ -545,7 +545,7 @@ def text_profile(stats: DataFrame) -> DataFrame:
 def temporal_profile(stats: DataFrame) -> DataFrame:
     """B17 for datetime columns: range, whole days, has a time of day."""
     t = stats.filter((F.col("detected_type") == "datetime") & F.col("min_time").isNotNull())
-    micros = F.unix_micros(F.col("max_time").cast("timestamp")) - F.unix_micros(F.col("min_time").cast("timestamp"))
+    micros = F.timestamp_diff("MICROSECOND", F.col("min_time"), F.col("max_time"))
     return t.select(
         "column", "position", F.col("min_time").alias("min_date"), F.col("max_time").alias("max_date"),
         F.floor(micros / F.lit(86400 * 1000000)).cast("long").alias("date_range_days"), "has_time",

@@ -27,11 +27,12 @@ from pyspark.sql.types import (
     LongType,
     ShortType,
     TimestampNTZType,
+    TimestampType,
 )
 
 from facsimile.functions import pools
 from facsimile.functions import rand as R
-from facsimile.functions.text import capitalize, word_count, words
+from facsimile.functions.text import capitalize, micros_to_ntz, ntz_micros, word_count, words
 from facsimile.operators.profile import METHOD_BY_TYPE, column_config, column_stats, kind_of, normalized
 from facsimile.operators.ranking import lookup_by_rank, running_totals
 
@@ -120,7 +121,7 @@ def _fit_params(src: DataFrame, plans: list[ColumnPlan]) -> None:
         if p.method in ("faker_text", "markov_chain") and p.kind == "string":
             aggs.append(F.avg(word_count(c)).alias(k + "words"))
         if p.method == "datetime_range" and p.kind == "datetime":
-            us = F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
+            us = F.unix_micros(c) if isinstance(p.data_type, TimestampType) else ntz_micros(c)
             aggs += [F.min(us).alias(k + "tmin"), F.max(us).alias(k + "tmax")]
         if p.method == "sequential_id":
             aggs.append(F.min(c.cast("string")).alias(k + "first"))
@@ -213,8 +214,9 @@ def _datetime(p, seed, idc):
         lo, hi = end - int(timedelta(days=365).total_seconds() * 1_000_000), end
     span = (hi - lo) // 1_000_000 + 1
     us = F.lit(lo) + R.uniform_index(seed, p.name, idc, span, "ts") * F.lit(1_000_000)
-    out = F.timestamp_micros(us)
-    return out.cast("timestamp_ntz") if isinstance(p.data_type, (TimestampNTZType, DateType)) or p.kind != "datetime" else out
+    if isinstance(p.data_type, TimestampType):
+        return F.timestamp_micros(us)
+    return micros_to_ntz(us)
 
 
 def _bernoulli(p, seed, idc):

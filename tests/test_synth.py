@@ -50,3 +50,15 @@ def test_copula_keeps_correlation(spark):
     src = correlation_matrix(part).filter("column1 = 'p_partkey' AND column2 = 'p_retailprice'").first().correlation
     syn = correlation_matrix(g).filter("column1 = 'p_partkey' AND column2 = 'p_retailprice'").first().correlation
     assert abs(src - syn) < 0.1
+
+
+def test_datetime_generation_ignores_session_time_zone(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderdate")
+    cfg = {"o_orderdate": {"generation_method": "datetime_range"}}
+    a = S.generate(S.fit(orders, cfg, seed=4), 5000).collect()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        b = S.generate(S.fit(orders, cfg, seed=4), 5000).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(r[0] for r in a) == sorted(r[0] for r in b)
