@@ -77,6 +77,11 @@ add(
     lambda spark, sf_dir: rounded(C.histogram(*_halves(spark, sf_dir), "l_extendedprice")),
     hist_sql(LI_A, LI_B, "l_extendedprice"),
 )
+add(
+    "compare_histogram_lineitem_halves_quantity",
+    lambda spark, sf_dir: rounded(C.histogram(*_halves(spark, sf_dir), "l_quantity")),
+    hist_sql(LI_A, LI_B, "l_quantity"),
+)
 add(
     "compare_histogram_orders_synthetic",
     lambda spark, sf_dir: rounded(C.histogram(*_orders_pair(spark, sf_dir), "o_totalprice")),

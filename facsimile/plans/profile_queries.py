@@ -57,7 +57,7 @@ def _overview_query(name: str):
     return lambda spark, sf_dir: rounded(P.overview(table(spark, sf_dir, name)))
 
 
-for _t in ["lineitem", "orders", "documents"]:
+for _t in ["lineitem", "orders", "documents", "customer", "events", "labels", "conversations"]:
     add(f"profile_overview_{_t}", _overview_query(_t), overview_sql(_t))
 
 
