@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import simhash
+from facsimile.llm import quality, simhash
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -16,3 +16,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_quality_decision_list")
+def op10_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and learned verdict of every document."""
+    judged, _ = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = [f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    return judged.select(F.col("id").alias("doc_id"), *counts, "kept", "rule")
