@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import quality, simhash
+from facsimile.llm import packing, quality, simhash, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -24,3 +24,18 @@ def op10_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = [f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return judged.select(F.col("id").alias("doc_id"), *counts, "kept", "rule")
+
+
+@query("op3_arrow_token_files")
+def op3_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to Arrow files and read back."""
+    shards = token_files.write(table(spark, sf_dir, "documents"))
+    found = token_files.read_documents(spark, shards)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_min_bin_slack_packing")
+def op5_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    found = packing.pack(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
