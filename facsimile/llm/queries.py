@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import packing, quality, simhash, token_files
+from facsimile.llm import packing, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -39,3 +39,20 @@ def op5_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_bottom_k_fingerprints")
+def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketch of every document and of its edited text."""
+    found = sketch.edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.printed(F.col("sketch")).alias("fingerprint"),
+        sketch.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.distinct_count(F.col("sketch")).alias("distinct_shingles"),
+        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+    )
