@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import packing, quality, simhash, sketch, token_files
+from facsimile.llm import licenses, packing, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -56,3 +56,9 @@ def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.distinct_count(F.col("sketch")).alias("distinct_shingles"),
         sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
     )
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("matches")
