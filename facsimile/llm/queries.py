@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import licenses, packing, quality, simhash, sketch, token_files
+from facsimile.llm import html, licenses, packing, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -62,3 +62,10 @@ def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("matches")
+
+
+@query("op6_block_rule_extraction")
+def op6_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
