@@ -211,7 +211,7 @@ def classify(blocks: list[Block]) -> list[Block]:
                 elif has_main:
                     last = (i, "bad")
             found[i] = (abs(i - last[0]), last[1]) if last else (n + 1, "bad")
-            if blocks[i].label in ("good", "bad"):
+            if blocks[i].label in ("good", "bad") and not (blocks[i].bad and main):  # an advert inside an article says nothing of its neighbours
                 last = (i, blocks[i].label)
     good = []
     for b, (d1, l1), (d2, l2) in zip(blocks, before, after):
