@@ -49,6 +49,7 @@ BLOCK = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 BOILERPLATE = "nav footer aside form menu dialog button fieldset select object canvas audio video".split()
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split()
 # Words in class and id names that mark a part as not the article.
@@ -84,6 +85,7 @@ class Block:
     main: int  # number of the article or main element, 0: outside
     bad: bool  # inside a part that is not the article
     item: bool  # a list item
+    heading: bool
     label: str = ""
 
 
@@ -110,9 +112,9 @@ def blocks_of(page: str) -> list[Block]:
     def end_block():
         text = " ".join(references.unescape("".join(pieces)).split())
         if text:
-            _, bad, main = stack[-1] if stack else ("", False, 0)
+            tag, bad, main = stack[-1] if stack else ("", False, 0)
             size = len(" ".join(references.unescape("".join(linked)).split()))
-            out.append(Block(text, size, main, bad, open_tags["li"] > 0))
+            out.append(Block(text, size, main, bad, open_tags["li"] > 0, tag in HEADINGS))
         pieces.clear()
         linked.clear()
         state["breaks"] = 0
@@ -219,7 +221,7 @@ def classify(blocks: list[Block]) -> list[Block]:
         if label == "near":
             label = "good" if "good" in (l1, l2) else "bad"
         elif label == "short":
-            label = l1 if l1 == l2 or d1 < d2 else l2 if d2 < d1 else "good" if b.main else "bad"
+            label = l1 if l1 == l2 or d1 < d2 else l2 if d2 < d1 or b.heading else "good" if b.main else "bad"
         if label == "good":
             good.append(b)
     return good
