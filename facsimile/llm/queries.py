@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import html, licenses, packing, quality, simhash, sketch, token_files
+from facsimile.llm import html, lattice_lm, licenses, packing, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -69,3 +69,9 @@ def op6_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op8_subword_lattice_lm")
+def op8_subword_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice log10 probability of every document."""
+    return lattice_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
