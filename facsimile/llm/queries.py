@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import html, lattice_lm, licenses, packing, quality, simhash, sketch, token_files
+from facsimile.llm import html, lattice_lm, licenses, mixing, packing, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -75,3 +75,13 @@ def op6_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_subword_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and lattice log10 probability of every document."""
     return lattice_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_weighted_mixture")
+def op1_weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: a row for each document and epoch."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), carry=False)
+    return found.withColumnRenamed("id", "doc_id").withColumn("target", F.round("target", 3))
+
+
+ORACLE["op1_weighted_mixture"] = mixing.mix_sql()
