@@ -228,14 +228,10 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor the list rejects.
 
-    The statistics of labelled documents are computed once for the fit, those
-    of all documents in the pass that filters.
+    The texts are measured twice, once for the fit and once in the pass that
+    filters, so that they are neither shuffled nor written.
     """
-    known = F.broadcast if labels.limit(1).count() == 0 else (lambda x: x)
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("id")).distinct()
-    fit_on = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t")).join(known(ids), "id", "left_semi")
-    stats = text_statistics(fit_on, [F.col("id")], "t")
-    rules = fit_decision_list(written(labelled_rows(stats, labels), "statistics"))
+    _, rules = assess(docs, labels, id_col, text_col)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     judged = text_statistics(docs, [whole], text_col)
     return judged.filter(~F.col("q.base_failed") & (verdict(rules) == 0)).select("k0.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import html, lattice_lm, licenses, mixing, packing, quality, simhash, sketch, token_files
+from facsimile.llm import html, lattice_lm, licenses, mixing, packing, pii, quality, simhash, sketch, token_files
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -85,3 +85,16 @@ def op1_weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_weighted_mixture"] = mixing.mix_sql()
+
+
+@query("op4_pii_boosted_candidates")
+def op4_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data spans of every document."""
+    found, _ = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)],
+        F.sha2(pii.printed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.printed(F.col("spans")).alias("spans"),
+    )
