@@ -14,18 +14,20 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GENERATION = 250_000  # chunks kept per generation
+GENERATION = 500_000  # chunks kept per generation
 LONGEST_KEPT = 64  # characters of a chunk that is kept
 GROUP = 1 << 18  # characters encoded together
 # White space as the vocabulary's pattern has it: \s without the separators 1C-1F.
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _CHUNK = re.compile(rf"{_SPACE}*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.!?;:%$&#*|)\"])|{_SPACE}*{_OTHER}+|{_SPACE}+")
+# A chunk that is one pre-token by itself: plain letters, at most one space before them.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 END = 0  # the id that ends a document
 
 
@@ -35,6 +37,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary.
+
+    Printing Latin-1 characters stand for themselves, the other bytes for the
+    characters from 256 on, in order.
+    """
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,12 +57,23 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}H", *e.ids) for e in found]
+        """Ids of chunks: single pre-tokens go straight to the model, others through all steps."""
+        plain, tokenize, letters = _PLAIN.fullmatch, self.model.tokenize, self.letters
+        others = [c for c in chunks if not plain(c)]
+        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        out = []
+        for c in chunks:
+            if plain(c):
+                ids = [t.id for t in tokenize(c.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = next(whole).ids
+            out.append(struct.pack(f"<{len(ids)}H", *ids))
+        return out
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         got = list(map(self.new.get, chunks))
