@@ -19,6 +19,7 @@ from pyspark.sql.types import BooleanType
 from facsimile.functions.text import ntz_micros
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
 from facsimile.operators.ranking import running_totals
+from facsimile.session import cut_lineage
 
 ORIGINAL, SYNTHETIC = "original", "synthetic"
 
@@ -62,7 +63,10 @@ def compare_stats(original: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def histogram(original: DataFrame, synthetic: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Counts of both sides on shared equal-width bins over both ranges."""
+    """Counts of both sides on shared equal-width bins over both ranges.
+
+    Every bin is there, also without rows; a constant column fills bin 0.
+    """
     x = F.col(f"`{column}`").cast("double")
     both = normalized(original).select(x.alias("x"), F.lit(ORIGINAL).alias("side")).unionByName(
         normalized(synthetic).select(x.alias("x"), F.lit(SYNTHETIC).alias("side"))
@@ -75,6 +79,8 @@ def histogram(original: DataFrame, synthetic: DataFrame, column: str, bins: int
     counts = both.groupBy(b.alias("bin")).agg(
         F.count_if(F.col("side") == ORIGINAL).alias("orig_count"), F.count_if(F.col("side") == SYNTHETIC).alias("synth_count")
     )
+    every = both.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = every.join(counts, "bin", "left").na.fill(0, ["orig_count", "synth_count"])
     return counts.select(
         F.lit(column).alias("column"), "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
         F.when(F.col("bin") == bins - 1, F.lit(hi)).otherwise(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
@@ -122,7 +128,20 @@ def correlation_pairs(original: DataFrame, synthetic: DataFrame) -> DataFrame:
         F.bround(d, 3).alias("difference"), F.bround(F.abs(d), 3).alias("abs_difference"),
         F.col("o").alias("_o"), F.col("s").alias("_s"),
     )
-    return out
+    return out.orderBy(F.desc_nulls_last("abs_difference"), "column1", "column2")
+
+
+def correlation_matrices(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """Original, synthetic and difference matrices in long form, rounded
+    half-even to 3 decimals, every ordered pair of common numeric columns."""
+    cols = _common_numeric(original, synthetic)
+    if len(cols) < 2:
+        raise ValueError("Not enough numeric columns for correlation analysis (need at least 2)")
+    a = correlation_matrix(original, cols).withColumnRenamed("correlation", "o")
+    b = correlation_matrix(synthetic, cols).withColumnRenamed("correlation", "s")
+    return a.join(b, ["column1", "column2"]).select(
+        "column1", "column2", F.bround("o", 3).alias("original"), F.bround("s", 3).alias("synthetic"), F.bround(F.col("o") - F.col("s"), 3).alias("difference")
+    )
 
 
 def correlation_metrics(pairs: DataFrame) -> DataFrame:
@@ -149,7 +168,10 @@ def _shape_value(c, df: DataFrame) -> Column:
 
 
 def column_shapes(original: DataFrame, synthetic: DataFrame, categorical: list[str] | None = None) -> DataFrame:
-    """E7 shapes: 1 - KS for numeric/datetime columns, 1 - TV for the rest."""
+    """E7 shapes: 1 - KS for numeric/datetime columns, 1 - TV for the rest.
+
+    A column with values on one side only scores 0, without any null.
+    """
     cols = [c for c in columns_of(original) if c.name in set(synthetic.columns) and c.kind != "nested"]
     cat = set(categorical or [])
     cont = [c for c in cols if c.kind in ("numeric", "datetime") and c.name not in cat]
@@ -164,7 +186,8 @@ def column_shapes(original: DataFrame, synthetic: DataFrame, categorical: list[s
         sizes = both.groupBy("position").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == -1).alias("n2"))
         freq = both.groupBy("position", "v").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
         freq = freq.join(F.broadcast(sizes), "position")  # one row per column
-        w = F.col("a") / F.col("n1") - F.col("b") / F.col("n2")
+        share = lambda k, n: F.coalesce(F.try_divide(F.col(k), F.col(n)), F.lit(0.0))
+        w = share("a", "n1") - share("b", "n2")
         ranked = running_totals(freq, ["v"], weight=w, group_cols=["position"], weight_type="double")
         ks = ranked.groupBy("position").agg(F.max(F.abs(F.col("rank_end"))).alias("_d"))
         parts.append(ks.select("position", F.lit("KSComplement").alias("metric"), (1 - F.col("_d")).alias("score")))
@@ -177,40 +200,81 @@ def column_shapes(original: DataFrame, synthetic: DataFrame, categorical: list[s
         freq = both.groupBy("position", "v").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
         tot = freq.groupBy("position").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
         tv = freq.join(F.broadcast(tot), "position").groupBy("position").agg(
-            (0.5 * F.sum(F.abs(F.try_divide(F.col("a"), F.col("n1")) - F.try_divide(F.col("b"), F.col("n2"))))).alias("_tv")
+            F.coalesce(0.5 * F.sum(F.abs(F.try_divide(F.col("a"), F.col("n1")) - F.try_divide(F.col("b"), F.col("n2")))), F.lit(1.0)).alias("_tv")
         )
         parts.append(tv.select("position", F.lit("TVComplement").alias("metric"), (1 - F.col("_tv")).alias("score")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    names = F.create_map(*[x for c in cols for x in (F.lit(c.position), F.lit(c.name))])
-    return out.select(names[F.col("position")].alias("column"), "position", "metric", "score")
+    every = [(c.name, c.position, "KSComplement" if c in cont else "TVComplement") for c in cols]
+    listed = original.sparkSession.createDataFrame(every, "column string, position int, metric string")
+    return listed.join(out.drop("metric"), "position", "left").select("column", "position", "metric", "score")
+
+
+BINS = 10  # a number is cut into so many bins over the original's range beside a category
+
+
+def _as_numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named numeric and datetime columns as doubles."""
+    cols = {c.name: c for c in columns_of(df)}
+    return normalized(df).select(*[_shape_value(cols[n], df).alias(n) for n in names])
+
+
+def _bin(x: Column, lo: float | None, hi: float | None) -> Column:
+    """0 below the range, 1..BINS inside it, BINS + 1 from its end on."""
+    if lo is None or hi == lo:
+        return F.when(x.isNotNull(), 1)
+    inside = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / BINS)) + 1
+    return F.when(x < F.lit(lo), 0).when(x >= F.lit(hi), BINS + 1).otherwise(F.least(inside, F.lit(BINS)))
 
 
 def pair_trends(original: DataFrame, synthetic: DataFrame, categorical: list[str] | None = None) -> DataFrame:
-    """E7 pair trends: correlation similarity for numeric pairs,
-    contingency similarity for categorical pairs (mixed pairs not scored)."""
-    cat = [c for c in (categorical or []) if c in synthetic.columns and c in original.columns]
-    num = [c for c in _common_numeric(original, synthetic) if c not in cat]
+    """E7 pair trends over all pairs of common columns (nested ones excepted).
+
+    Numbers and datetimes: correlation similarity, 1 - |difference| / 2. Text,
+    booleans and the columns in ``categorical``: contingency similarity, 1 -
+    half the sum of differences of the cells' shares; a number beside such a
+    column is binned first. Nulls are a value of their own in a cell. A table
+    without rows scores 0, an undefined correlation null. All cells come from
+    one pass over both tables and one aggregation.
+    """
+    spark = original.sparkSession
+    there = {c.name for c in columns_of(synthetic)}
+    cols = [c for c in columns_of(original) if c.name in there and c.kind not in ("nested", "other")]
+    marked = set(categorical or [])
+    num = sorted(c.name for c in cols if c.kind in ("numeric", "datetime") and c.name not in marked)
     parts = []
     if len(num) >= 2:
-        a = correlation_matrix(original, num).withColumnRenamed("correlation", "o")
-        b = correlation_matrix(synthetic, num).withColumnRenamed("correlation", "s")
-        rank = F.create_map(*[x for i, c in enumerate(num) for x in (F.lit(c), F.lit(i))])
-        j = a.join(b, ["column1", "column2"]).filter(rank[F.col("column1")] < rank[F.col("column2")])
+        a = correlation_matrix(_as_numbers(original, num), num).withColumnRenamed("correlation", "o")
+        b = correlation_matrix(_as_numbers(synthetic, num), num).withColumnRenamed("correlation", "s")
+        j = a.join(b, ["column1", "column2"]).filter(F.col("column1") < F.col("column2"))
         parts.append(j.select("column1", "column2", F.lit("CorrelationSimilarity").alias("metric"), (1 - F.abs(F.col("o") - F.col("s")) / 2).alias("score")))
-    for i, c1 in enumerate(cat):
-        for c2 in cat[i + 1:]:
-            def cells(df, side):
-                return df.select(F.col(f"`{c1}`").cast("string").alias("x"), F.col(f"`{c2}`").cast("string").alias("y"), F.lit(side).alias("side"))
-
-            both = cells(original, 1).unionByName(cells(synthetic, -1))
-            freq = both.groupBy("x", "y").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
-            n1, n2 = original.count(), synthetic.count()
-            score = freq.agg((1 - 0.5 * F.sum(F.abs(F.col("a") / F.lit(n1) - F.col("b") / F.lit(n2)))).alias("score"))
-            parts.append(score.select(F.lit(c1).alias("column1"), F.lit(c2).alias("column2"), F.lit("ContingencySimilarity").alias("metric"), "score"))
+    pairs = [(x, y) for i, x in enumerate(cols) for y in cols[i + 1 :] if x.name not in num or y.name not in num]
+    if pairs:
+        binned = [n for n in num if any(n in (x.name, y.name) for x, y in pairs)]
+        row = _as_numbers(original, binned).agg(*[f(F.col(f"`{n}`")).alias(f"{f.__name__}{i}") for i, n in enumerate(binned) for f in (F.min, F.max)]).first() if binned else None
+        ranges = {n: (row[f"min{i}"], row[f"max{i}"]) for i, n in enumerate(binned)}
+
+        def cells(df: DataFrame, side: int) -> DataFrame:
+            mine = {c.name: c for c in columns_of(df)}
+            norm = normalized(df)
+            value = {c.name: (_bin(_shape_value(mine[c.name], df), *ranges[c.name]) if c.name in ranges else F.col(f"`{c.name}`")).cast("string") for c in cols}
+            # Positional names; each value is made once, not once per pair.
+            flat = norm.select(*[value[c.name].alias(f"v{c.position}") for c in cols])
+            entries = [F.struct(F.lit(i).alias("pair"), F.col(f"v{x.position}").alias("x"), F.col(f"v{y.position}").alias("y")) for i, (x, y) in enumerate(pairs)]
+            return flat.select(F.inline(F.array(*entries))).withColumn("side", F.lit(side))
+
+        both = cells(original, 1).unionByName(cells(synthetic, -1))
+        freq = both.groupBy("pair", "x", "y").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
+        freq = cut_lineage(freq)
+        sizes = freq.groupBy("pair").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+        apart = F.abs(F.try_divide(F.col("a"), F.col("n1")) - F.try_divide(F.col("b"), F.col("n2")))
+        # sizes: one row per pair of columns.
+        scores = freq.join(sizes, "pair").groupBy("pair").agg(F.coalesce(1 - 0.5 * F.sum(apart), F.lit(0.0)).alias("score"))
+        listed = spark.createDataFrame([(i, x.name, y.name) for i, (x, y) in enumerate(pairs)], "pair int, column1 string, column2 string")
+        parts.append(listed.join(scores, "pair", "left").select("column1", "column2", F.lit("ContingencySimilarity").alias("metric"), F.coalesce("score", F.lit(0.0)).alias("score")))
     if not parts:
-        return original.sparkSession.createDataFrame([], "column1 string, column2 string, metric string, score double")
+        return spark.createDataFrame([], "column1 string, column2 string, metric string, score double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

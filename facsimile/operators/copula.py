@@ -1,12 +1,12 @@
 """Joint synthesis with a Gaussian copula.
 
 Fit:
-* numeric columns: a grid of approximate quantiles (one ``percentile_approx``
+* numeric and datetime columns: a grid of approximate quantiles (one ``percentile_approx``
   aggregate, grid x columns numbers to the driver); each value's CDF
   position is found by a balanced ``when`` tree over the grid (compiled
   comparisons, no join);
-* categorical columns (bounded number of categories, counted first): the
-  midpoint of each category's cumulative interval, joined by broadcast;
+* all other columns: the midpoint of each value's cumulative interval, joined
+  by value (Catalyst broadcasts the intervals only if they are small);
 * normal scores ``z = Phi^-1(u)`` as column arithmetic (rational
   approximation), their correlation matrix by the centred-sum aggregate,
   and its Cholesky factor on the driver (columns x columns numbers).
@@ -24,14 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from facsimile.functions import rand as R
+from facsimile.functions.text import ntz_micros
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
 from facsimile.operators.synth import sample_by_rank, value_intervals, value_intervals_counted
 from facsimile.session import cut_lineage
 
 GRID = 200
-MAX_CATEGORIES = 10_000
 
 # Published coefficients of the rational approximations used
 # for the normal quantile (P. J. Acklam) and for erf (Abramowitz & Stegun
@@ -84,49 +85,58 @@ def _bisect_left(x: Column, grid: list[float], lo: int, hi: int) -> Column:
 class CopulaModel:
     source: DataFrame
     columns: list[str]
-    kinds: dict[str, str]
-    factor: np.ndarray
+    factor: np.ndarray  # over all columns, in source order
     rows: int
     non_null: dict[str, int]
     seed: int
 
 
+def _number(c, data_type) -> Column:
+    """A numeric or datetime column as a double."""
+    if c.kind == "datetime":
+        return (F.unix_micros(c.ref) if isinstance(data_type, TimestampType) else ntz_micros(c.ref)).cast("double")
+    return c.ref.cast("double")
+
+
 def fit_copula(df: DataFrame, columns: list[str] | None = None, seed: int = 42, grid: int = GRID) -> CopulaModel:
+    """Fit on every column (or ``columns``), in source order.
+
+    A null has no score: correlations use the rows where both columns have a
+    value. A column without values stays independent.
+    """
     src = normalized(df)
-    cols = [c for c in columns_of(df) if (columns is None or c.name in columns) and c.kind in ("numeric", "string", "boolean")]
-    counts = src.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(c.ref).alias(f"n{c.position}") for c in cols],
-        *[F.approx_count_distinct(c.ref).alias(f"d{c.position}") for c in cols if c.kind != "numeric"],
-    ).first()
-    cat = [c for c in cols if c.kind != "numeric" and counts[f"d{c.position}"] <= MAX_CATEGORIES]
-    num = [c for c in cols if c.kind == "numeric"]
-    used = num + cat
+    cols = [c for c in columns_of(df) if columns is None or c.name in columns]
+    types = {f.name: f.dataType for f in src.schema.fields}
+    counts = src.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c.ref).alias(f"n{c.position}") for c in cols]).first()
+    num = [c for c in cols if c.kind in ("numeric", "datetime")]
     probs = [i / grid for i in range(1, grid)]
-    qrow = src.agg(*[F.percentile_approx(c.ref.cast("double"), probs, 10000).alias(f"q{c.position}") for c in num]).first() if num else None
+    qrow = src.agg(*[F.percentile_approx(_number(c, types[c.name]), probs, 10000).alias(f"q{c.position}") for c in num]).first() if num else None
 
+    # Positional names: no name of the source can meet a helper column.
+    # Numbers become plain columns here: a value is made once, not once per
+    # comparison with the grid.
+    table = src.select(*[(_number(c, types[c.name]) if c in num else c.ref).alias(f"c{c.position}") for c in cols])
     uniforms = {}
-    for c in num:
-        g = sorted(qrow[f"q{c.position}"] or [])
-        k = _bisect_left(c.ref.cast("double"), g, 0, len(g))
-        uniforms[c.name] = (k.cast("double") + 0.5) / float(len(g) + 1)
-    table = src
-    for c in cat:
-        iv = value_intervals(src, c.name, include_nulls=False)
-        mid = (F.col("rank_start") + F.col("rank_end")) / 2.0 / F.lit(float(counts[f"n{c.position}"]))
-        iv = iv.select(F.col("_value").alias(f"_v{c.position}"), mid.alias(f"_u{c.position}"))
-        # At most MAX_CATEGORIES rows (checked above): broadcast is bounded.
-        table = table.join(F.broadcast(iv), table[f"`{c.name}`"] == iv[f"_v{c.position}"], "left")
-        uniforms[c.name] = F.col(f"_u{c.position}")
+    for c in cols:
+        ref = F.col(f"c{c.position}")
+        if c in num:
+            g = sorted(qrow[f"q{c.position}"] or [])
+            k = _bisect_left(ref, g, 0, len(g))
+            uniforms[c.name] = F.when(ref.isNotNull(), (k.cast("double") + 0.5) / float(len(g) + 1))
+        elif counts[f"n{c.position}"]:
+            iv = value_intervals(src, c.name, include_nulls=False)
+            mid = (F.col("rank_start") + F.col("rank_end")) / 2.0 / F.lit(float(counts[f"n{c.position}"]))
+            iv = iv.select(F.col("_value").alias(f"_v{c.position}"), mid.alias(f"_u{c.position}"))
+            table = table.join(iv, ref == F.col(f"_v{c.position}"), "left").drop(f"_v{c.position}")
+            uniforms[c.name] = F.col(f"_u{c.position}")
+        else:
+            uniforms[c.name] = F.lit(None).cast("double")
     # Two projections: the grid search is evaluated once per value, and the
     # quantile function (which reads u several times) sees a plain column,
     # keeping the generated code small enough to compile.
-    ut = table.select(*[uniforms[c.name].alias(c.name) for c in used])
-    # The normal-score table is written once to the shared checkpoint folder:
-    # the correlation pass reads each score many times, and inlining the
-    # quantile function into every sum would not compile.
-    zt = cut_lineage(ut.select(*[norm_ppf(F.col(f"`{c.name}`")).alias(c.name) for c in used]))
-    names = [c.name for c in used]
+    ut = table.select(*[uniforms[c.name].alias(f"c{c.position}") for c in cols])
+    zt = cut_lineage(ut.select(*[F.when(F.col(f"c{c.position}").isNotNull(), norm_ppf(F.col(f"c{c.position}"))).alias(f"c{c.position}") for c in cols]))
+    names = [f"c{c.position}" for c in cols]
     corr = {(r["column1"], r["column2"]): r["correlation"] for r in correlation_matrix(zt, names).collect()}  # d x d
     d = len(names)
     m = np.eye(d)
@@ -139,13 +149,14 @@ def fit_copula(df: DataFrame, columns: list[str] | None = None, seed: int = 42,
     dg = np.sqrt(np.diag(m))
     m = m / np.outer(dg, dg)
     factor = np.linalg.cholesky(m)
-    kinds = {c.name: c.kind for c in used}
-    non_null = {c.name: counts[f"n{c.position}"] for c in used}
-    return CopulaModel(src, names, kinds, factor, counts["_rows"], non_null, seed)
+    non_null = {c.name: counts[f"n{c.position}"] for c in cols}
+    return CopulaModel(src, [c.name for c in cols], factor, counts["_rows"], non_null, seed)
 
 
 def generate_copula(model: CopulaModel, n: int) -> DataFrame:
+    """``n`` rows of all fitted columns, in source order."""
     spark = model.source.sparkSession
+    types = {f.name: f.dataType for f in model.source.schema.fields}
     idc = F.col("id")
     d = len(model.columns)
     # Staged projections (independent normals, correlated scores, positions):
@@ -167,12 +178,14 @@ def generate_copula(model: CopulaModel, n: int) -> DataFrame:
     for i, c in enumerate(model.columns):
         u = F.least(F.greatest(norm_cdf(F.col(f"_z{i}")), F.lit(0.0)), F.lit(1.0 - 1e-12))
         pos.append(F.floor(u * F.lit(float(model.non_null[c]))).cast("long").alias(f"_p{i}"))
-    base = base.select("id", *pos)
-    out = base
+    out = base.select("id", *pos)
     for i, c in enumerate(model.columns):
+        if not model.non_null[c]:
+            out = out.drop(f"_p{i}").withColumn(f"_c{i}", F.lit(None).cast(types[c]))
+            continue
         iv, k = value_intervals_counted(model.source, c, include_nulls=False)
-        out = sample_by_rank(out.withColumnRenamed(f"_p{i}", "_pos"), iv, "_pos", model.non_null[c], k, c)
+        out = sample_by_rank(out.withColumnRenamed(f"_p{i}", "_pos"), iv, "_pos", model.non_null[c], k, f"_c{i}")
         rate = 1.0 - model.non_null[c] / model.rows if model.rows else 0.0
         if rate > 0:
-            out = out.withColumn(c, F.when(R.uniform(model.seed, c, idc, "null") >= F.lit(rate), F.col(c)))
-    return out.select(*[F.col(f"`{c}`") for c in model.columns])
+            out = out.withColumn(f"_c{i}", F.when(R.uniform(model.seed, c, idc, "null") >= F.lit(rate), F.col(f"_c{i}")))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(model.columns)])

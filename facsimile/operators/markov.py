@@ -94,12 +94,12 @@ def walk(model: MarkovModel, ids: DataFrame, seed: int) -> DataFrame:
 
 
 def markov_column(synth_model, plan, rows: DataFrame) -> DataFrame:
-    """Generate column ``plan.name`` of ``rows`` (has ``id``) by a walk."""
+    """Generate column ``plan.out`` of ``rows`` (has ``id``) by a walk."""
     from facsimile.operators.synth import _lookup
 
     model = MarkovModel(synth_model.source, plan.name)
     if not model.usable:
         fallback = type(plan)(plan.name, plan.position, "sample", plan.data_type, plan.kind, plan.params)
         return _lookup(synth_model, fallback, rows, F.col("id"))
-    texts = walk(model, rows.select("id"), synth_model.seed).withColumnRenamed("text", plan.name)
+    texts = walk(model, rows.select("id"), synth_model.seed).withColumnRenamed("text", plan.out)
     return rows.join(texts, "id")

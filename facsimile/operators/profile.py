@@ -10,7 +10,7 @@ Passes over the source table:
 * exact percentiles by distributed ranking of the numeric frequency table
   (no single-task sort, no driver collect), or ``percentile_approx`` when
   ``exact=False``;
-* one global aggregate with all pairwise correlations.
+* one scan with all pairwise correlations (k x k sums per task).
 
 Nothing is collected to the driver except when a caller asks for the
 column configuration (one row per column).
@@ -384,7 +384,6 @@ def percentiles(
         return out.select("position", names[F.col("position")].alias("column"), "p", "value")
 
     wanted = [c.position for c in cols]
-    given = freq is not None
     if freq is not None:
         # The shared frequency table already holds (position, num, n) for
         # numeric columns: no second explode and shuffle.
@@ -395,7 +394,7 @@ def percentiles(
         F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).cast("long").alias("_k")
     )
     sizes = sizes.withColumn("_bw", F.greatest(F.lit(1), F.floor(F.col("_total") / F.col("_k"))).cast("long"))
-    ranked = running_totals(freq, ["v"], weight=F.col("n"), group_cols=["position"], materialize=not given)
+    ranked = running_totals(freq, ["v"], weight=F.col("n"), group_cols=["position"])
     ranked = ranked.join(F.broadcast(sizes.select("position", "_bw")), "position")
 
     targets = sizes.select(
@@ -557,16 +556,39 @@ def numeric_columns(df: DataFrame) -> list[Col]:
     return [c for c in columns_of(df) if c.kind == "numeric"]
 
 
+def _gram(d: int):
+    """Arrow function: pair sums of centred columns c0..c{d-1}, one row per pair and task."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, a, ab, aa = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)]) if batch.num_rows else np.zeros((0, d))
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            n += m.T @ m
+            a += x.T @ m  # sum of the first column where both are present
+            ab += x.T @ x
+            aa += (x * x).T @ m
+        i, j = (v.ravel() for v in np.indices((d, d)))
+        cells = [i.astype("int32"), j.astype("int32"), n.ravel(), a.ravel(), a.T.ravel(), ab.ravel(), aa.ravel(), aa.T.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["i", "j", "n", "a", "b", "ab", "aa", "bb"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson on pairwise-complete rows, all pairs in one aggregate.
-
-    Two passes of plain sums (codegen-friendly, no per-pair covariance
-    objects): pass one gives each column's mean and null count (k numbers
-    to the driver); pass two sums centred products. When no column has a
-    null, pairs share counts and column sums, so only one product sum per
-    pair is needed; otherwise every pair keeps its own complete-row sums.
-    Output (column1, column2, correlation) for every ordered pair including
-    the diagonal; a constant column gives null, never a division error.
+    """Pearson on pairwise-complete rows, all pairs in one scan.
+
+    Pass one gives each column's mean (k numbers to the driver). Pass two reads
+    the centred columns once; every task keeps the k x k sums its rows add up
+    to (null masks count the rows that are complete for a pair) and returns one
+    row per pair, which one aggregation adds up. Both passes are one scan each
+    at any number of columns. Output (column1, column2, correlation) for every
+    ordered pair including the diagonal; a constant column gives null, never a
+    division error.
     """
     num = [c for c in numeric_columns(df) if cols is None or c.name in cols]
     if cols is not None:
@@ -575,71 +597,19 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     if len(num) < 2:
         return spark.createDataFrame([], "column1 string, column2 string, correlation double")
     norm = normalized(df)
-    first = norm.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)],
-        *[F.count(c.ref).alias(f"k{i}") for i, c in enumerate(num)],
-    ).first()
-    means = [first[f"m{i}"] or 0.0 for i in range(len(num))]
-    complete = all(first[f"k{i}"] == first["_n"] for i in range(len(num)))
-    d = [_num(c) - F.lit(means[i]) for i, c in enumerate(num)]
-
-    def pair(i: int, j: int) -> tuple[dict[str, Column], Column]:
-        """(aggregates the pair needs, correlation over their aliases)."""
-        if complete:
-            need = {
-                "n": F.count(F.lit(1)), f"s{i}": F.sum(d[i]), f"s{j}": F.sum(d[j]),
-                f"p{i}_{i}": F.sum(d[i] * d[i]), f"p{j}_{j}": F.sum(d[j] * d[j]), f"p{i}_{j}": F.sum(d[i] * d[j]),
-            }
-            n = F.col("n").cast("double")
-            si, sj = F.col(f"s{i}"), F.col(f"s{j}")
-            cov = F.col(f"p{i}_{j}") - si * sj / n
-            vi = F.col(f"p{i}_{i}") - si * si / n
-            vj = F.col(f"p{j}_{j}") - sj * sj / n
-            return need, _guarded(cov, vi, vj)
-        both = d[i].isNotNull() & d[j].isNotNull()
-        a, b = F.when(both, d[i]), F.when(both, d[j])
-        k = f"{i}_{j}"
-        need = {
-            f"n{k}": F.count_if(both), f"a{k}": F.sum(a), f"b{k}": F.sum(b),
-            f"ab{k}": F.sum(a * b), f"aa{k}": F.sum(a * a), f"bb{k}": F.sum(b * b),
-        }
-        n = F.col(f"n{k}").cast("double")
-        sa, sb = F.col(f"a{k}"), F.col(f"b{k}")
-        cov = F.col(f"ab{k}") - sa * sb / n
-        vi = F.col(f"aa{k}") - sa * sa / n
-        vj = F.col(f"bb{k}") - sb * sb / n
-        return need, F.when(n > 0, _guarded(cov, vi, vj))
-
-    # Pairs are evaluated in groups whose aggregates stay under the codegen
-    # field budget: one small compiled job per group, not one interpreted one.
-    out = None
-    group: list[tuple[int, int]] = []
-    need: dict[str, Column] = {}
-
-    def flush() -> None:
-        nonlocal out, group, need
-        if not group:
-            return
-        row = norm.agg(*[e.alias(k) for k, e in need.items()])
-        entries = []
-        for i, j in group:
-            e = pair(i, j)[1]
-            entries.append(F.struct(F.lit(num[i].name).alias("column1"), F.lit(num[j].name).alias("column2"), e.alias("correlation")))
-            if i != j:
-                entries.append(F.struct(F.lit(num[j].name).alias("column1"), F.lit(num[i].name).alias("column2"), e.alias("correlation")))
-        part = row.select(F.inline(F.array(*entries)))
-        out = part if out is None else out.unionByName(part)
-        group, need = [], {}
-
-    for i in range(len(num)):
-        for j in range(i, len(num)):
-            more = pair(i, j)[0]
-            if group and len(set(need) | set(more)) > FIELD_BUDGET - 10:
-                flush()
-            group.append((i, j))
-            need.update(more)
-    flush()
-    return out
+    means = norm.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
+    centred = norm.select(*[(_num(c) - F.lit(means[i] or 0.0)).alias(f"c{i}") for i, c in enumerate(num)])
+    sums = ["n", "a", "b", "ab", "aa", "bb"]
+    partial = centred.mapInArrow(_gram(len(num)), "i int, j int, " + ", ".join(f"{x} double" for x in sums))
+    t = partial.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in sums])
+    n = F.when(F.col("n") > 0, F.col("n"))
+    cov = F.col("ab") - F.col("a") * F.col("b") / n
+    # A constant column leaves a variance of rounding errors: nothing.
+    spread = lambda x, xx: F.when(F.col(xx) - F.col(x) * F.col(x) / n > 1e-10 * F.col(xx), F.col(xx) - F.col(x) * F.col(x) / n)
+    vi, vj = spread("a", "aa"), spread("b", "bb")
+    names = F.array(*[F.lit(c.name) for c in num])
+    name = lambda k: F.element_at(names, F.col(k) + 1)
+    return t.select(name("i").alias("column1"), name("j").alias("column2"), _guarded(cov, vi, vj).alias("correlation"))
 
 
 def _guarded(cov: Column, vi: Column, vj: Column) -> Column:
@@ -760,7 +730,7 @@ def profile(df: DataFrame, exact: bool = True, persist: bool = True) -> Profile:
     if persist:
         freq = cut_lineage(freq)
     stats = column_stats(df, exact=exact, freq=freq)
-    pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact)
+    pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact, freq=freq if exact else None)
     corr = correlation_matrix(df)
     return Profile(
         overview=overview(df),

@@ -7,9 +7,13 @@ puts the whole table into one task. Here the order is split across tasks:
    sorted slice of the global order;
 2. a windowed running sum inside each (task slice, group) -- bounded by the
    slice size;
-3. per-slice totals (one row per slice and group, so at most
-   ``partitions x groups`` rows) give each slice its offset; that table is
-   broadcast -- its size is bounded by the partition count, not the data.
+3. per-slice totals (one row per slice and group) give each slice its
+   offset; Catalyst picks the join by the measured size of that table, since
+   the number of groups has no bound.
+
+The sliced table is written to the shared folder before steps 2 and 3 read
+it. The bounds of a range split are sampled anew by every shuffle, so two
+readers that split for themselves would not see the same slices.
 
 ``lookup_by_rank`` then maps integer positions onto the ``[start, end)``
 intervals with an equi-join on a position bucket, so a hot interval (one
@@ -36,7 +40,6 @@ def running_totals(
     end: str = "rank_end",
     num_partitions: int | None = None,
     weight_type: str = "long",
-    materialize: bool = True,
 ) -> DataFrame:
     """Add ``start`` (exclusive running total) and ``end`` (inclusive).
 
@@ -55,16 +58,11 @@ def running_totals(
     # once to the shared checkpoint folder, its upstream (typically a
     # frequency aggregation over the whole source) runs once, and the slice
     # ids stay fixed even if an executor is lost and work is redone.
-    # With ``materialize=False`` (input already a written table) both
-    # readers redo the range split: its sampled bounds and explicit partition
-    # count make the slices identical each time.
-    ranged = (
+    ranged = cut_lineage(
         df.withColumn("_w", w)
         .repartitionByRange(parts, *[F.col(g) for g in groups], *order)
         .withColumn("_slice", F.spark_partition_id())
     )
-    if materialize:
-        ranged = cut_lineage(ranged)
     local_win = (
         Window.partitionBy("_slice", *groups)
         .orderBy(*order)
@@ -77,8 +75,7 @@ def running_totals(
     offsets = totals.select(
         "_slice", *groups, F.coalesce(F.sum("_tot").over(before), F.lit(0)).cast(weight_type).alias("_off")
     )
-    # offsets has at most (partitions x groups) rows: broadcast is size-bounded.
-    out = local.join(F.broadcast(offsets), ["_slice", *groups])
+    out = local.join(offsets, ["_slice", *groups])
     out = out.withColumn(end, (F.col("_off") + F.col("_local")).cast(weight_type))
     out = out.withColumn(start, (F.col(end) - F.col("_w")).cast(weight_type))
     return out.drop("_w", "_slice", "_local", "_off")

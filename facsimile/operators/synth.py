@@ -7,34 +7,34 @@ uniform ``u(seed, column, id, k)``: the output depends on the seed only,
 never on partitioning or retries. Sampling methods (frequency sampling,
 bootstrap, KDE) map ``floor(u * N)`` onto cumulative ``[start, end)``
 intervals with the bucketed rank join; Catalyst broadcasts an interval table
-only when its measured size allows, and shuffles otherwise.
+only when its measured size allows, and shuffles otherwise. Generated
+columns carry positional names until the last projection, so no name of the
+source can meet a row key or a helper column.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    BooleanType,
     ByteType,
     DataType,
-    DateType,
     IntegerType,
     LongType,
     ShortType,
-    TimestampNTZType,
     TimestampType,
 )
 
 from facsimile.functions import pools
 from facsimile.functions import rand as R
-from facsimile.functions.text import capitalize, micros_to_ntz, ntz_micros, word_count, words
+from facsimile.functions.text import capitalize, micros_to_ntz, ntz_micros, word_count
 from facsimile.operators.profile import METHOD_BY_TYPE, column_config, column_stats, kind_of, normalized
 from facsimile.operators.ranking import lookup_by_rank, running_totals
+from facsimile.session import cut_lineage
 
 INTEGRAL = (ByteType, ShortType, IntegerType, LongType)
 LOOKUP_METHODS = {"frequency_sampling", "sample", "kde"}
@@ -42,6 +42,15 @@ KNOWN_METHODS = set(METHOD_BY_TYPE.values()) | {"kde", "sequential_id", "sample"
 KDE_MIN_VALUES = 10
 CLIP_MARGIN = 0.1
 DEFAULT_WORDS = 3
+# Days generated for a datetime column without any value: the year up to here.
+EMPTY_RANGE_END = datetime(2025, 1, 1)
+# Kinds a method can be fitted on; a column of another kind is sampled.
+METHOD_KINDS = {
+    "gaussian_copula": {"numeric"},
+    "kde": {"numeric"},
+    "datetime_range": {"datetime", "string"},
+    "bernoulli": {"boolean", "numeric", "string"},
+}
 
 
 @dataclass
@@ -57,6 +66,11 @@ class ColumnPlan:
     def ref(self) -> Column:
         return F.col(f"`{self.name}`")
 
+    @property
+    def out(self) -> str:
+        """Name of the generated column until the last projection."""
+        return f"c{self.position}"
+
 
 @dataclass
 class SynthModel:
@@ -92,9 +106,10 @@ def fit(df: DataFrame, config=None, seed: int = 42) -> SynthModel:
         method = c.get("generation_method") or "auto"
         if method == "auto":
             method = METHOD_BY_TYPE.get(c.get("detected_type") or "text", "sample")
-        if method not in KNOWN_METHODS:
+        kind = kind_of(f.dataType)
+        if method not in KNOWN_METHODS or kind not in METHOD_KINDS.get(method, {kind}):
             method = "sample"
-        plans.append(ColumnPlan(f.name, i, method, f.dataType, kind_of(f.dataType)))
+        plans.append(ColumnPlan(f.name, i, method, f.dataType, kind))
     _fit_params(src, plans)
     return SynthModel(src, plans, seed, [p.name for p in plans])
 
@@ -120,8 +135,11 @@ def _fit_params(src: DataFrame, plans: list[ColumnPlan]) -> None:
             aggs.append(F.avg(t.cast("double")).alias(k + "p"))
         if p.method in ("faker_text", "markov_chain") and p.kind == "string":
             aggs.append(F.avg(word_count(c)).alias(k + "words"))
-        if p.method == "datetime_range" and p.kind == "datetime":
-            us = F.unix_micros(c) if isinstance(p.data_type, TimestampType) else ntz_micros(c)
+        if p.method == "datetime_range":
+            if p.kind == "string":
+                us = ntz_micros(F.try_to_timestamp(c).cast("timestamp_ntz"))
+            else:
+                us = F.unix_micros(c) if isinstance(p.data_type, TimestampType) else ntz_micros(c)
             aggs += [F.min(us).alias(k + "tmin"), F.max(us).alias(k + "tmax")]
         if p.method == "sequential_id":
             aggs.append(F.min(c.cast("string")).alias(k + "first"))
@@ -129,6 +147,8 @@ def _fit_params(src: DataFrame, plans: list[ColumnPlan]) -> None:
     for p in plans:
         k = f"c{p.position}_"
         p.params = {"rows": row["_rows"], **{key[len(k):]: v for key, v in row.items() if key.startswith(k)}}
+        if p.method == "datetime_range" and p.kind == "string" and p.params["tmin"] is None:
+            p.method = "sample"  # not one text reads as a date
 
 
 # ----------------------------------------------------------------- generators
@@ -207,15 +227,20 @@ def _faker_address(p, seed, idc):
 
 
 def _datetime(p, seed, idc):
-    """Uniform whole seconds between min and max; empty -> last 365 days."""
+    """Uniform whole seconds between min and max; empty -> a fixed year.
+
+    Text dates give text again, as ``yyyy-MM-dd HH:mm:ss``.
+    """
     lo, hi = p.params.get("tmin"), p.params.get("tmax")
     if lo is None:
-        end = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
-        lo, hi = end - int(timedelta(days=365).total_seconds() * 1_000_000), end
+        hi = (EMPTY_RANGE_END - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+        lo = hi - timedelta(days=365) // timedelta(microseconds=1)
     span = (hi - lo) // 1_000_000 + 1
     us = F.lit(lo) + R.uniform_index(seed, p.name, idc, span, "ts") * F.lit(1_000_000)
     if isinstance(p.data_type, TimestampType):
         return F.timestamp_micros(us)
+    if p.kind == "string":
+        return F.date_format(micros_to_ntz(us), "yyyy-MM-dd HH:mm:ss")
     return micros_to_ntz(us)
 
 
@@ -272,33 +297,23 @@ EXPRESSIONS = {
 
 # ---------------------------------------------------------- sampling lookups
 
-SMALL_INTERVALS = 100_000
-
-
 def value_intervals(src: DataFrame, col: str, include_nulls: bool = True) -> DataFrame:
-    """Cumulative ``[rank_start, rank_end)`` per distinct value (nulls first).
-
-    The distinct values are counted first. Up to SMALL_INTERVALS of them
-    (a checked bound) the running sum is one window over the small table;
-    beyond it, the distributed ``running_totals`` takes over.
-    """
+    """Cumulative ``[rank_start, rank_end)`` per distinct value (nulls first)."""
     return value_intervals_counted(src, col, include_nulls)[0]
 
 
 def value_intervals_counted(src: DataFrame, col: str, include_nulls: bool = True) -> tuple[DataFrame, int]:
-    c = F.col(f"`{col}`")
-    freq = src.select(c.alias("_value"))
+    """The intervals, written once, and the number of distinct values.
+
+    One path for any number of values: distributed running totals. Catalyst
+    broadcasts the intervals to their readers if they turn out small.
+    """
+    freq = src.select(F.col(f"`{col}`").alias("_value"))
     if not include_nulls:
         freq = freq.filter(F.col("_value").isNotNull())
     freq = freq.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-    k = freq.count()
-    order = F.col("_value").asc_nulls_first()
-    if k <= SMALL_INTERVALS:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = freq.withColumn("rank_end", F.sum("_n").over(w).cast("long"))
-        out = out.withColumn("rank_start", (F.col("rank_end") - F.col("_n")).cast("long"))
-        return out, k
-    return running_totals(freq, [order], weight=F.col("_n")), k
+    out = cut_lineage(running_totals(freq, [F.col("_value").asc_nulls_first()], weight=F.col("_n")))
+    return out, out.count()
 
 
 def sample_by_rank(rows: DataFrame, intervals: DataFrame, pos_col: str, total: int, distinct: int, out: str) -> DataFrame:
@@ -308,50 +323,23 @@ def sample_by_rank(rows: DataFrame, intervals: DataFrame, pos_col: str, total: i
     return hit.drop("rank_start", "rank_end", pos_col).withColumnRenamed("_value", out)
 
 
-INLINE_CATEGORIES = 64
-
-
-def _count_at_most(x: Column, ends: list[int], lo: int, hi: int) -> Column:
-    """Number of ``ends`` (sorted) that are <= x, as a balanced when-tree."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(x < F.lit(ends[mid]), _count_at_most(x, ends, lo, mid)).otherwise(_count_at_most(x, ends, mid + 1, hi))
-
-
-def _inline_pick(iv: DataFrame, pos: Column, data_type) -> Column:
-    """Value of the interval holding ``pos`` for a small, collected CDF.
-
-    Only called when the distinct count is checked <= INLINE_CATEGORIES: the
-    CDF becomes literals and a compiled binary search, with no join.
-    """
-    rows = iv.select("_value", "rank_end").orderBy("rank_end").collect()
-    values = F.array(*[F.lit(r["_value"]).cast(data_type) for r in rows])
-    ends = [int(r["rank_end"]) for r in rows]
-    return F.element_at(values, _count_at_most(pos, ends, 0, len(ends)) + 1)
-
-
 def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> DataFrame:
+    """Add ``p.out`` by sampling the values of the source column."""
     seed = model.seed
     q = p.params
-    if p.method == "kde":
-        iv, k = value_intervals_counted(model.source, p.name, include_nulls=False)
-        m = q["nn"]
-        pos = R.uniform_index(seed, p.name, idc, max(m, 1), "pos")
-        rows = base.withColumn("_pos", pos)
-        out = sample_by_rank(rows, iv, "_pos", m, k, "_pick")
-        std = q.get("std") or 0.0
-        bw = std * m ** (-1.0 / 5.0) if m > 0 else 0.0
-        x = F.col("_pick").cast("double") + F.lit(bw) * R.normal(seed, p.name, F.col("id"), "kde")
-        x = F.least(F.greatest(x, F.lit(q["min"])), F.lit(q["max"]))
-        return out.withColumn(p.name, x).drop("_pick")
-    iv, k = value_intervals_counted(model.source, p.name, include_nulls=True)
-    total = q["rows"]
-    pos = R.uniform_index(seed, p.name, idc, max(total, 1), "pos")
-    if k <= INLINE_CATEGORIES:
-        return base.withColumn(p.name, _inline_pick(iv, pos, p.data_type))
-    rows = base.withColumn("_pos", pos)
-    return sample_by_rank(rows, iv, "_pos", total, k, p.name)
+    kde = p.method == "kde"
+    total = q["nn"] if kde else q["rows"]
+    if not total:  # nothing to draw from
+        return base.withColumn(p.out, F.lit(None).cast("double" if kde else p.data_type))
+    iv, k = value_intervals_counted(model.source, p.name, include_nulls=not kde)
+    rows = base.withColumn("_pos", R.uniform_index(seed, p.name, idc, total, "pos"))
+    if not kde:
+        return sample_by_rank(rows, iv, "_pos", total, k, p.out)
+    out = sample_by_rank(rows, iv, "_pos", total, k, "_pick")
+    bw = (q.get("std") or 0.0) * total ** (-1.0 / 5.0)
+    x = F.col("_pick").cast("double") + F.lit(bw) * R.normal(seed, p.name, idc, "kde")
+    x = F.least(F.greatest(x, F.lit(q["min"])), F.lit(q["max"]))
+    return out.withColumn(p.out, x).drop("_pick")
 
 
 def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
@@ -360,34 +348,27 @@ def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
         model = SynthModel(model.source, model.columns, seed, model.order)
     spark = model.source.sparkSession
     idc = F.col("id")
-    base = spark.range(n)
+    out = spark.range(n)
     exprs = {}
     lookups = []
     for p in model.columns:
         method = p.method
         if method == "kde" and (p.params.get("nn") or 0) < KDE_MIN_VALUES:
             method = "gaussian_copula"
-        if method == "markov_chain":
-            lookups.append(p)
-            continue
-        if method in LOOKUP_METHODS:
-            lookups.append(p)
+        if method in EXPRESSIONS:
+            exprs[p.out] = EXPRESSIONS[method](p, model.seed, idc)
         else:
-            fn = EXPRESSIONS.get(method)
-            exprs[p.name] = fn(p, model.seed, idc) if fn else None
-            if fn is None:
-                lookups.append(p)
-    out = base.withColumns({k: v for k, v in exprs.items() if v is not None}) if exprs else base
+            lookups.append(p)
+    if exprs:
+        out = out.withColumns(exprs)
     for p in lookups:
         if p.method == "markov_chain":
             from facsimile.operators.markov import markov_column
 
             out = markov_column(model, p, out)
         else:
-            if p.method == "kde" and (p.params.get("nn") or 0) < KDE_MIN_VALUES:
-                continue
             out = _lookup(model, p, out, idc)
-    return out.select(*[F.col(f"`{c}`") for c in model.order])
+    return out.select(*[F.col(p.out).alias(p.name) for p in model.columns])
 
 
 def synthesize(df: DataFrame, n: int | None = None, config=None, seed: int = 42) -> DataFrame:
@@ -408,5 +389,3 @@ def metadata(stats: DataFrame) -> DataFrame:
     )
     return stats.select("column", "position", "detected_type", kind.alias("sdtype"))
 
-
-del words

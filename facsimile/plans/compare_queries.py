@@ -67,9 +67,11 @@ def hist_sql(a: str, b: str, c: str, bins: int = 20) -> str:
     return f"""WITH both_ AS (SELECT * FROM {both} WHERE x IS NOT NULL), r AS (SELECT min(x) AS lo, max(x) AS hi FROM both_),
 h AS (SELECT CAST(CASE WHEN (r.hi - r.lo) / {bins} > 0 THEN least(floor((x - r.lo) / ((r.hi - r.lo) / {bins})), {bins - 1}) ELSE 0 END AS INTEGER) AS bin,
         count_if(side = 'original') AS orig_count, count_if(side = 'synthetic') AS synth_count
-      FROM both_, r GROUP BY 1)
+      FROM both_, r GROUP BY 1),
+e AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})),
+f AS (SELECT e.bin, coalesce(orig_count, 0) AS orig_count, coalesce(synth_count, 0) AS synth_count FROM e LEFT JOIN h USING (bin))
 SELECT {_lit(c)} AS "column", bin, {r_sql(f"r.lo + bin * ((r.hi - r.lo) / {bins})")} AS bin_start,
-  {r_sql(f"CASE WHEN bin = {bins - 1} THEN r.hi ELSE r.lo + (bin + 1) * ((r.hi - r.lo) / {bins}) END")} AS bin_end, orig_count, synth_count FROM h, r"""
+  {r_sql(f"CASE WHEN bin = {bins - 1} THEN r.hi ELSE r.lo + (bin + 1) * ((r.hi - r.lo) / {bins}) END")} AS bin_end, orig_count, synth_count FROM f, r"""
 
 
 add(
@@ -126,6 +128,11 @@ def pairs_sql(a: str, b: str, cols: list[str]) -> str:
   round_even(abs(o - s), 3) AS abs_difference FROM ({pairs_core_sql(a, b, cols)})"""
 
 
+def matrices_sql(a: str, b: str, cols: list[str]) -> str:
+    parts = [f"SELECT {_lit(x)} AS column1, {_lit(y)} AS column2, {_corr(a, x, y)} AS o, {_corr(b, x, y)} AS s" for x in cols for y in cols]
+    return f"SELECT column1, column2, round_even(o, 3) AS original, round_even(s, 3) AS synthetic, round_even(o - s, 3) AS difference FROM ({' UNION ALL '.join(parts)})"
+
+
 def metrics_sql(a: str, b: str, cols: list[str]) -> str:
     return f"""SELECT round_even(avg(abs(o - s)), 3) AS mae, round_even(sqrt(avg((o - s) * (o - s))), 3) AS rmse, round_even(max(abs(o - s)), 3) AS max_difference,
   round_even(CASE WHEN var_pop(CASE WHEN o IS NOT NULL AND s IS NOT NULL THEN o END) * var_pop(CASE WHEN o IS NOT NULL AND s IS NOT NULL THEN s END) > 0
@@ -137,6 +144,7 @@ LI_NUM = [c for c, k in LI if k == "numeric"]
 ORD_NUM = [c for c, k in TABLE_COLUMNS["orders"] if k == "numeric"]
 add("compare_correlations_lineitem_halves", lambda spark, sf_dir: C.correlation_pairs(*_halves(spark, sf_dir)).drop("_o", "_s"), pairs_sql(LI_A, LI_B, LI_NUM))
 add("compare_correlation_metrics_lineitem_halves", lambda spark, sf_dir: C.correlation_metrics(C.correlation_pairs(*_halves(spark, sf_dir))), metrics_sql(LI_A, LI_B, LI_NUM))
+add("compare_correlation_matrices_lineitem_halves", lambda spark, sf_dir: C.correlation_matrices(*_halves(spark, sf_dir)), matrices_sql(LI_A, LI_B, LI_NUM))
 add("compare_correlations_orders_synthetic", lambda spark, sf_dir: C.correlation_pairs(*_orders_pair(spark, sf_dir)).drop("_o", "_s"), pairs_sql("orders", ORD_SYN, ORD_NUM))
 add("compare_correlation_metrics_orders_synthetic", lambda spark, sf_dir: C.correlation_metrics(C.correlation_pairs(*_orders_pair(spark, sf_dir))), metrics_sql("orders", ORD_SYN, ORD_NUM))
 
@@ -175,21 +183,33 @@ def _shapes_query(spark, sf_dir):
 add("compare_shapes_lineitem_halves", _shapes_query, f"SELECT \"column\", position, metric, {r_sql('score')} AS score FROM ({shapes_sql(LI_A, LI_B, LI, LI_CAT)})")
 
 
-def trends_sql(a: str, b: str, num: list[str], cat: list[str]) -> str:
-    parts = [f"SELECT column1, column2, 'CorrelationSimilarity' AS metric, 1 - abs(o - s) / 2 AS score FROM ({pairs_core_sql(a, b, num)})"]
-    for i, x in enumerate(cat):
-        for y in cat[i + 1:]:
+def trends_sql(a: str, b: str, cols: list[tuple[str, str]], categorical: list[str]) -> str:
+    """All pairs of columns: correlation of numbers and datetimes, shares of cells for the rest."""
+    num = {c for c, k in cols if k in ("numeric", "datetime") and c not in categorical}
+    value = {c: f"CAST(epoch_us({c}) AS DOUBLE)" if k == "datetime" else f"CAST({c} AS DOUBLE)" for c, k in cols}
+
+    def side(src):
+        return "(SELECT " + ", ".join(f"{value[c]} AS {c}" for c in sorted(num)) + f" FROM {src})"
+
+    def cell(c):
+        if c not in num:
+            return f"CAST({c} AS VARCHAR)"
+        lo, hi, v = f"(SELECT min({value[c]}) FROM {a})", f"(SELECT max({value[c]}) FROM {a})", value[c]
+        return f"CAST(CAST(CASE WHEN {v} < {lo} THEN 0 WHEN {v} >= {hi} THEN 11 ELSE least(floor(({v} - {lo}) / (({hi} - {lo}) / 10)) + 1, 10) END AS BIGINT) AS VARCHAR)"
+
+    parts = [f"SELECT column1, column2, 'CorrelationSimilarity' AS metric, 1 - abs(o - s) / 2 AS score FROM ({pairs_core_sql(side(a), side(b), sorted(num))})"]
+    for i, (x, _) in enumerate(cols):
+        for y, _ in cols[i + 1:]:
+            if x in num and y in num:
+                continue
             parts.append(
                 f"""SELECT {_lit(x)}, {_lit(y)}, 'ContingencySimilarity', 1 - 0.5 * sum(abs(ca / (SELECT count(*) FROM {a}) - cb / (SELECT count(*) FROM {b}))) FROM (
   SELECT x, y, count_if(side = 1) AS ca, count_if(side = -1) AS cb FROM
-    (SELECT CAST({x} AS VARCHAR) AS x, CAST({y} AS VARCHAR) AS y, 1 AS side FROM {a} UNION ALL SELECT CAST({x} AS VARCHAR), CAST({y} AS VARCHAR), -1 FROM {b}) GROUP BY x, y)"""
+    (SELECT {cell(x)} AS x, {cell(y)} AS y, 1 AS side FROM {a} UNION ALL SELECT {cell(x)}, {cell(y)}, -1 FROM {b}) GROUP BY x, y)"""
             )
     return "\nUNION ALL\n".join(parts)
 
 
-LI_NUM_CONT = [c for c in LI_NUM if c not in LI_CAT]
-
-
 def _quality_query(spark, sf_dir):
     return rounded(C.quality_report(*_halves(spark, sf_dir), LI_CAT))
 
@@ -197,12 +217,12 @@ def _quality_query(spark, sf_dir):
 add(
     "compare_quality_lineitem_halves",
     _quality_query,
-    f"""WITH sh AS ({shapes_sql(LI_A, LI_B, LI, LI_CAT)}), tr AS ({trends_sql(LI_A, LI_B, LI_NUM_CONT, LI_CAT)}),
+    f"""WITH sh AS ({shapes_sql(LI_A, LI_B, LI, LI_CAT)}), tr AS ({trends_sql(LI_A, LI_B, LI, LI_CAT)}),
 props AS (SELECT 'Column Shapes' AS property, avg(score) AS score FROM sh UNION ALL SELECT 'Column Pair Trends', avg(score) FROM tr)
 SELECT property, {r_sql('score')} AS score FROM props UNION ALL SELECT 'Overall', {r_sql('avg(score)')} FROM props""",
 )
 add(
     "compare_pair_trends_lineitem_halves",
     lambda spark, sf_dir: rounded(C.pair_trends(*_halves(spark, sf_dir), LI_CAT)),
-    f"SELECT column1, column2, metric, {r_sql('score')} AS score FROM ({trends_sql(LI_A, LI_B, LI_NUM_CONT, LI_CAT)})",
+    f"SELECT column1, column2, metric, {r_sql('score')} AS score FROM ({trends_sql(LI_A, LI_B, LI, LI_CAT)})",
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from facsimile.operators import detect as D
 from facsimile.operators import mask as M
@@ -209,4 +208,3 @@ add(
     column_stats_sql("pii_tokens", src=f"({_tokenize_sql()})", cols=PII_KINDS),
 )
 
-del F

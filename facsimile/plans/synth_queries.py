@@ -7,7 +7,6 @@ source (a same-size synthetic twin).
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from facsimile.operators import synth as S
 from facsimile.plans.common import r_sql, rounded
 from facsimile.plans.oracle_profile import column_stats_sql
 from facsimile.plans.registry import add
-from facsimile.plans.tables import INTEGRAL_COLUMNS, TABLE_COLUMNS, pii_customers, pii_sql, table
+from facsimile.plans.tables import INTEGRAL_COLUMNS, pii_customers, pii_sql, table
 
 SEED = 42
 
@@ -275,17 +274,26 @@ def metadata_sql(t: str) -> str:
 for _t in ["orders", "events", "labels"]:
     add(f"synth_metadata_{_t}", (lambda t: lambda spark, sf_dir: S.metadata(P.column_stats(table(spark, sf_dir, t), quartiles=False)))(_t), metadata_sql(_t))
 
-del F, math, TABLE_COLUMNS
 
 
 # ---- D17 Gaussian copula (approximate quantile grid: rows-only check) ----------
 
-def q_copula(spark, sf_dir):
-    from facsimile.operators import copula as CP
+def _copula(view):
+    def run(spark, sf_dir):
+        from facsimile.operators import copula as CP
 
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
-    model = CP.fit_copula(part, seed=SEED)
-    return CP.generate_copula(model, model.rows)
+        model = CP.fit_copula(view(spark, sf_dir), seed=SEED)
+        return CP.generate_copula(model, model.rows)
 
+    return run
 
-add("synth_copula_part", q_copula)
+
+def _orders_with_nulls(spark, sf_dir):
+    """orders with nulls derived from its key in every other column."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", *[F.when(F.col("o_orderkey") % 5 != i, F.col(c)).alias(c) for i, c in enumerate(o.columns[1:])])
+
+
+add("synth_copula_part", _copula(lambda spark, sf_dir: table(spark, sf_dir, "part")))
+add("synth_copula_orders", _copula(lambda spark, sf_dir: table(spark, sf_dir, "orders")))
+add("synth_copula_orders_with_nulls", _copula(_orders_with_nulls))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,8 +37,10 @@ def get_spark(master: str | None = None, app: str = "facsimile", shuffle_partiti
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's directory). Only when
-    neither is set (local tests) a scratch folder is created.
+    Reads ``spark.checkpoint.dir`` (or the context's directory). Only on a
+    local master, where all tasks share the machine, a scratch folder is
+    created when neither is set; on a cluster that is an error, because every
+    executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="facsimile-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -8,7 +8,6 @@ partition count. Used by tests and examples, not by the registered queries
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,4 +89,3 @@ def default(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
     )
 
 
-del math

@@ -9,23 +9,25 @@ Bernoulli sampler instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.functions import rand as R
 
-DATABASE_CAP = 100
-TABLE_CAP = 200
 
+def _listed(df: DataFrame, by: str, limit: int | None) -> DataFrame:
+    df = df.orderBy(by)
+    return df if limit is None else df.limit(limit)
 
-def list_databases(spark: SparkSession, limit: int = DATABASE_CAP) -> DataFrame:
-    """A1: database names (capped)."""
-    return spark.sql("SHOW DATABASES").limit(limit)
 
+def list_databases(spark: SparkSession, limit: int | None = None) -> DataFrame:
+    """A1: all database names in order (``limit``: the first so many)."""
+    return _listed(spark.sql("SHOW DATABASES"), "namespace", limit)
 
-def list_tables(spark: SparkSession, database: str, limit: int = TABLE_CAP) -> DataFrame:
-    """A2: tables of a database (capped)."""
-    return spark.sql(f"SHOW TABLES IN {database}").limit(limit)
+
+def list_tables(spark: SparkSession, database: str, limit: int | None = None) -> DataFrame:
+    """A2: all tables of a database in order (``limit``: the first so many)."""
+    return _listed(spark.sql(f"SHOW TABLES IN {database}"), "tableName", limit)
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -159,18 +161,19 @@ def write_table(
     """Save as a catalog table; ``create`` fails if it exists.
 
     ``fmt`` is the table format (``iceberg`` needs its jar on the cluster).
-    Returns status, table, rows, columns and mode.
+    Returns status, table, rows, columns, mode and partition columns; the rows
+    are those of ``df``, counted by the write itself.
     """
     if mode not in MODES:
         raise ValueError(f"Invalid mode: {mode}. Use 'overwrite', 'append', or 'create'")
-    w = df.write.format(fmt).mode(MODES[mode])
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode(MODES[mode])
     if partition_by:
         w = w.partitionBy(*partition_by)
     if location:
         w = w.option("path", location)
     w.saveAsTable(table_path)
-    rows = df.sparkSession.table(table_path).count()
-    return {"status": "success", "table_path": table_path, "rows_written": rows, "columns": df.columns, "mode": mode}
+    return {"status": "success", "table_path": table_path, "rows_written": seen.get["rows"], "columns": df.columns, "mode": mode, "partition_by": partition_by}
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
