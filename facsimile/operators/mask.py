@@ -25,6 +25,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.session import cut_lineage
+
 # Per type, the HMAC tweak and the character classes moved.
 DIGITS, LOWER, UPPER = "0-9", "a-z", "A-Z"
 TOKEN_TYPES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -39,6 +41,7 @@ TOKEN_TYPES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 DEFAULT_TYPE = "alphanumeric"
 MIN_KEY_LENGTH = 8
+NULL_SALTS = 1024  # tasks-worth of keys that rows with a null are spread over
 BLOCK = 64
 
 
@@ -107,9 +110,6 @@ def token_expr(col: Column, data_type: str, secret_key: str) -> Column:
     return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(_format_token(key, v, tweak, classes))
 
 
-SHORT_VALUE = 64
-
-
 def token_column(col: Column, data_type: str, secret_key: str, engine: str = "auto") -> Column:
     """Token column by the chosen engine.
 
@@ -139,8 +139,8 @@ def tokenize(
 
     ``strategy="rows"`` evaluates the expression on every row: no shuffle,
     no skew, linear in rows. ``strategy="distinct"`` tokenizes each distinct
-    value once through the vault and joins back (one shuffle per column);
-    cheaper when values repeat a lot.
+    value once, writes the pairs and joins them back (one shuffle per column);
+    cheaper when values repeat a lot. Nulls are spread over the tasks.
     """
     check_key(secret_key)
     wanted = [c for c in (columns or list(column_types)) if c in df.columns]
@@ -157,11 +157,24 @@ def tokenize(
             .distinct()
             .select("_v", token_column(F.col("_v"), t, secret_key, engine).alias("_t"))
         )
-        out = out.withColumn("_v", F.col(f"`{c}`").cast("string"))
-        out = out.join(pairs, "_v", "left").withColumn(c, F.col("_t")).drop("_v", "_t")
+        out = _join_values(out, c, cut_lineage(pairs), "_v").withColumn(c, F.col("_t")).drop("_t")
     return out.select(*df.columns)
 
 
+def _join_values(df: DataFrame, column: str, values: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined with ``values`` on the text of ``column`` (its key ``key``).
+
+    A null has no partner; its rows get one of many salts instead of all
+    meeting in one task. ``key`` stays as a column (null for null).
+    """
+    text = F.col(f"`{column}`").cast("string")
+    salted = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn(
+        "_salt", F.when(text.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    )
+    right = values.withColumnRenamed(key, "_text").withColumn("_salt", F.lit(0).cast("long"))
+    return salted.join(right, ["_text", "_salt"], "left").drop("_text", "_salt")
+
+
 def token_vault(
     df: DataFrame, column_types: dict[str, str], secret_key: str, columns: list[str] | None = None, engine: str = "auto"
 ) -> DataFrame:
@@ -180,10 +193,13 @@ def token_vault(
     ]
     pairs = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull()).distinct()
     types = sorted({column_types.get(c, DEFAULT_TYPE) for c in wanted})
-    token = None
-    for t in types:
-        e = token_column(F.col("value"), t, secret_key, engine)
-        token = F.when(F.col("data_type") == t, e) if token is None else token.when(F.col("data_type") == t, e)
+    if engine in ("auto", "arrow"):
+        token = typed_token_udf(types, secret_key)(F.col("data_type"), F.col("value"))
+    else:
+        token = None
+        for t in types:
+            e = token_expr(F.col("value"), t, secret_key)
+            token = F.when(F.col("data_type") == t, e) if token is None else token.when(F.col("data_type") == t, e)
     return pairs.select("data_type", "value", token.alias("token"))
 
 
@@ -199,20 +215,25 @@ def detokenize(
     reverse = vault.groupBy("data_type", "token").agg(
         F.min("value").alias("_orig"), (F.count(F.lit(1)) > 1).alias("_amb")
     )
+    reverse = cut_lineage(reverse)  # read once per column
     out = df
     for c in wanted:
         t = column_types.get(c, DEFAULT_TYPE)
         r = reverse.filter(F.col("data_type") == t).select(F.col("token").alias("_tok"), "_orig", "_amb")
-        out = out.withColumn("_tok", F.col(f"`{c}`").cast("string"))
-        out = out.join(r, "_tok", "left")
-        out = out.withColumn(c, F.when(F.col("_tok").isNull(), F.lit(None).cast("string")).otherwise(F.coalesce("_orig", "_tok")))
-        out = out.withColumn(f"{c}_ambiguous", F.coalesce(F.col("_amb"), F.lit(False))).drop("_tok", "_orig", "_amb")
+        out = _join_values(out, c, r, "_tok")
+        out = out.withColumn(c, F.coalesce(F.col("_orig"), F.col(f"`{c}`").cast("string")))
+        out = out.withColumn(f"{c}_ambiguous", F.coalesce(F.col("_amb"), F.lit(False))).drop("_orig", "_amb")
     return out
 
 
 def preview(original: DataFrame, masked: DataFrame, key_cols: list[str], columns: list[str], n: int = 5) -> DataFrame:
-    """Side-by-side original/token, the first n rows per column by key."""
-    joined = original.alias("o").join(masked.alias("m"), key_cols)
+    """Side-by-side original/token, the first n rows per column by key.
+
+    The n rows are taken first, and only they are joined and tokenized.
+    """
+    first = original.orderBy(*key_cols).limit(n)  # n rows, so broadcast is bounded
+    masked = masked.join(F.broadcast(first.select(*key_cols)), key_cols, "left_semi")
+    joined = F.broadcast(first).alias("o").join(masked.alias("m"), key_cols)
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"o.`{c}`").cast("string").alias("original"), F.col(f"m.`{c}`").cast("string").alias("tokenized"))
         for c in columns
@@ -224,93 +245,105 @@ def preview(original: DataFrame, masked: DataFrame, key_cols: list[str], columns
 
 # ------------------------------------------------------------ Arrow engine
 
-def _shift_tables(classes: tuple[str, ...]) -> list[dict[int, str]]:
-    """For each byte value b, a str.translate table moving mapped chars by b."""
-    ranges = {DIGITS: (48, 10), LOWER: (97, 26), UPPER: (65, 26)}
-    tables = []
-    for b in range(256):
-        t = {}
-        for cls in classes:
-            base, size = ranges[cls]
-            for i in range(size):
-                t[base + i] = chr(base + (i + b) % size)
-        tables.append(t)
-    return tables
-
-
-def token_function(data_type: str, secret_key: str):
-    """Plain-Python token of one string (same definition as ``token_expr``).
-
-    Vectorised inside Arrow batches by ``token_udf``: the per-character work
-    runs in C (``re.sub``, ``str.translate``, slice assignment), so long free
-    text costs about as much as copying it.
+BATCH_CHARS = 1 << 20  # characters shifted together
+
+
+def token_batch(data_type: str, secret_key: str):
+    """Tokens of a list of strings (same definition as ``token_expr``).
+
+    Only the HMAC is computed per value. All characters of the list are one
+    array of code points: which of them are mapped, their index among the
+    mapped ones of their value, the hash byte for that index and the shift
+    within their class are array operations. Values are taken in parts of
+    bounded size, so whole documents are fine too.
     """
     import hmac as _hmac
-    import re
+
+    import numpy as np
 
     key = check_key(secret_key)
     tweak, classes = TOKEN_TYPES.get(data_type, TOKEN_TYPES[DEFAULT_TYPE])
-    cls = "".join(classes)
-    drop_unmapped = re.compile(f"[^{cls}]")
-    split_mapped = re.compile(f"[{cls}]")
-    tables = _shift_tables(classes)
-    prefix = f"{tweak}:"
-
-    # table[b][code] = the character ``code`` moved by ``b`` (or itself).
-    table = [[chr(o) for o in range(128)] for _ in range(256)]
-    for b in range(256):
-        for o, ch in tables[b].items():
-            table[b][o] = ch
-    mapped_code = [False] * 128
-    for o in tables[0]:
-        mapped_code[o] = True
-
-    def fmt(v: str) -> str:
-        if not v:
-            return v
-        h = _hmac.new(key, (prefix + v).encode("utf-8"), hashlib.sha256).digest()
-        if len(v) <= SHORT_VALUE:
-            out = []
-            k = 0
-            for ch in v:
-                o = ord(ch)
-                if o < 128 and mapped_code[o]:
-                    out.append(table[h[k & 31]][o])
-                    k += 1
-                else:
-                    out.append(ch)
-            return "".join(out)
-        # Long text: per-character work in C (re.sub, translate, slices).
-        mapped = drop_unmapped.sub("", v)
-        if not mapped:
-            return v
-        moved = [""] * len(mapped)
-        for r in range(min(32, len(mapped))):
-            moved[r::32] = mapped[r::32].translate(tables[h[r]])
-        gaps = split_mapped.split(v)
-        out = [""] * (2 * len(gaps) - 1)
-        out[0::2] = gaps
-        out[1::2] = moved
-        return "".join(out)
-
-    if data_type == "email":
-        def one(v):
-            if v is None or "@" not in v:
-                return v
-            local, domain = v.rsplit("@", 1)
-            return fmt(local) + "@" + domain
-        return one
-    return lambda v: None if v is None else fmt(v)
+    prefix = f"{tweak}:".encode()
+    ranges = [{DIGITS: (48, 10), LOWER: (97, 26), UPPER: (65, 26)}[c] for c in classes]
+
+    def shifted(values: list[str]) -> list[str]:
+        codes = np.frombuffer("".join(values).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array([len(v) for v in values])
+        ends = np.cumsum(sizes)
+        digests = np.frombuffer(b"".join(_hmac.digest(key, prefix + v.encode(), "sha256") for v in values), np.uint8).reshape(-1, 32)
+        owner = np.repeat(np.arange(len(values)), sizes)
+        mapped = np.zeros(len(codes), bool)
+        for base, size in ranges:
+            mapped |= (codes >= base) & (codes < base + size)
+        seen = np.concatenate([[0], np.cumsum(mapped)])
+        index = seen[:-1] - seen[ends - sizes][owner]
+        offset = digests[owner, index % 32].astype(np.int64)
+        out = codes.copy()
+        for base, size in ranges:
+            here = (codes >= base) & (codes < base + size)
+            out[here] = base + (codes[here] - base + offset[here]) % size
+        text = out.astype("<u4").tobytes().decode("utf-32-le")
+        return [text[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+
+    def run(values: list[str | None]) -> list[str | None]:
+        out = list(values)
+        tails = {}
+        part: list[int] = []
+        held = 0
+
+        def flush():
+            if part:
+                for i, token in zip(part, shifted([out[i] for i in part])):
+                    out[i] = token + tails.pop(i, "")
+                part.clear()
+
+        for i, v in enumerate(values):
+            if not v:
+                continue
+            if data_type == "email":
+                if "@" not in v:
+                    continue
+                v, domain = v.rsplit("@", 1)
+                out[i], tails[i] = v, "@" + domain
+                if not v:
+                    out[i] = tails.pop(i)
+                    continue
+            part.append(i)
+            held += len(v)
+            if held >= BATCH_CHARS:
+                flush()
+                held = 0
+        flush()
+        return out
+
+    return run
 
 
 def token_udf(data_type: str, secret_key: str):
-    """Arrow-batched pandas UDF around ``token_function``."""
+    """Arrow-batched pandas UDF around ``token_batch``."""
     import pandas as pd
 
-    fn = token_function(data_type, secret_key)
+    tokens = token_batch(data_type, secret_key)
 
     def tok(s):
-        return s.map(fn, na_action="ignore")
+        return pd.Series(tokens([None if v is None or v != v else v for v in s]), index=s.index, dtype=object)
 
     tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(tok, "string")
+
+
+def typed_token_udf(types: list[str], secret_key: str):
+    """One UDF of (data_type, value) for values of several types."""
+    import pandas as pd
+
+    tokens = {t: token_batch(t, secret_key) for t in types}
+
+    def tok(kind, value):
+        out = pd.Series([None] * len(value), index=value.index, dtype=object)
+        for t in kind.unique():
+            here = kind == t
+            out[here] = tokens[t](list(value[here]))
+        return out
+
+    tok.__annotations__ = {"kind": pd.Series, "value": pd.Series, "return": pd.Series}
+    return F.pandas_udf(tok, "string")

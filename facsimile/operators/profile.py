@@ -430,9 +430,10 @@ def percentiles(
 def overview(df: DataFrame) -> DataFrame:
     """B1 + B2: rows, columns, duplicate rows, complete rows, missing cells, size.
 
-    One aggregation by all columns (distinct rows with their multiplicity;
-    nulls compare equal), then one global aggregate over it. A row repeated
-    a billion times collapses map-side before the shuffle.
+    Rows are counted by a 128-bit digest of all their columns (nulls compare
+    equal), so no whole row is shuffled; null cells and sizes are summed with
+    them in the map tasks. A row repeated a billion times collapses before the
+    shuffle.
     """
     norm = normalized(df)
     cols = columns_of(df)
@@ -442,14 +443,19 @@ def overview(df: DataFrame) -> DataFrame:
     n_null = sum(nulls[1:], nulls[0])
     size = [_size_bytes(c) for c in cols]
     n_bytes = sum(size[1:], size[0])
-    grouped = norm.groupBy(*[c.ref for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    grouped = grouped.select("_n", n_null.alias("_nulls"), n_bytes.alias("_bytes"))
+    # A null does not change xxhash64, so each column's null flag goes in too.
+    cells = [x for c in cols for x in (c.ref.isNull(), F.array_sort(F.map_entries(c.ref)) if c.data_type.startswith("map<") else c.ref)]
+    digest = [F.xxhash64(F.lit(s), *cells).alias(f"_h{s}") for s in (1, 2)]
+    slim = norm.select(*digest, n_null.alias("_nulls"), n_bytes.alias("_bytes"))
+    grouped = slim.groupBy("_h1", "_h2").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_nulls") == 0, 1).otherwise(0)).alias("_whole"), F.sum("_nulls").alias("_nulls"), F.sum("_bytes").alias("_bytes")
+    )
     out = grouped.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"),
         F.count(F.lit(1)).cast("long").alias("_distinct"),
-        F.coalesce(F.sum(F.when(F.col("_nulls") == 0, F.col("_n"))), F.lit(0)).cast("long").alias("complete_rows"),
-        F.coalesce(F.sum(F.col("_nulls") * F.col("_n")), F.lit(0)).cast("long").alias("total_missing"),
-        F.coalesce(F.sum(F.col("_bytes") * F.col("_n")), F.lit(0)).cast("double").alias("_size"),
+        F.coalesce(F.sum("_whole"), F.lit(0)).cast("long").alias("complete_rows"),
+        F.coalesce(F.sum("_nulls"), F.lit(0)).cast("long").alias("total_missing"),
+        F.coalesce(F.sum("_bytes"), F.lit(0)).cast("double").alias("_size"),
     )
     return out.select(
         "n_rows",

@@ -68,4 +68,4 @@ def test_engines_agree(spark):
 
 def test_python_function_vectors():
     for t, v, want in VECTORS:
-        assert M.token_function(t, KEY)(v) == want
+        assert M.token_batch(t, KEY)([v, None, "", v]) == [want, None, "", want]
