@@ -50,10 +50,16 @@ class MarkovModel:
         totals = big.groupBy("key").agg(F.sum("n").cast("long").alias("total"), F.count(F.lit(1)).alias("succ"))
         self.totals = cut_lineage(totals.withColumn("bw", F.greatest(F.lit(1), F.floor(F.col("total") / F.col("succ"))).cast("long")))
         trans = running_totals(big, ["next_word"], weight=F.col("n"), group_cols=["key"])
+        # Each transition carries what a walker needs at its next word, so a
+        # step is one bucketed join and no join on the bare word.
+        ahead = self.totals.select(F.col("key").alias("_k"), F.col("total").alias("next_total"), F.col("bw").alias("next_bw"))
         self.transitions = cut_lineage(
-            trans.join(self.totals.select("key", "bw"), "key").select("key", "next_word", "rank_start", "rank_end", "bw")
+            trans.join(self.totals.select("key", "bw"), "key")
+            .join(ahead, F.lower("next_word") == F.col("_k"), "left")
+            .select("key", "next_word", "rank_start", "rank_end", "bw", "next_total", "next_bw")
         )
-        self.keys = cut_lineage(running_totals(self.totals.select("key"), ["key"]).select("key", "rank_start", "rank_end"))
+        keys = running_totals(self.totals.select("key"), ["key"]).select("key", "rank_start", "rank_end")
+        self.keys = cut_lineage(keys.join(self.totals.select("key", "total", "bw"), "key"))
         self.n_keys = self.keys.count()
 
     @property
@@ -62,27 +68,25 @@ class MarkovModel:
 
 
 def _random_key(model: MarkovModel, rows: DataFrame, seed: int, tag: str) -> DataFrame:
-    """Attach a uniformly drawn key as ``cur`` (one bucket per key)."""
+    """(id, cur, total, bw): a uniformly drawn key as ``cur`` (one bucket per key)."""
     pos = R.uniform_index(seed, model.col, F.col("id"), model.n_keys, tag)
-    hit = lookup_by_rank(model.keys, rows.withColumn("_p", pos), "_p")
-    return hit.select(*[c for c in rows.columns if c != "cur"], F.col("key").alias("cur"))
+    hit = lookup_by_rank(model.keys, rows.select("id", pos.alias("_p")), "_p")
+    return hit.select("id", F.col("key").alias("cur"), "total", "bw")
 
 
 def walk(model: MarkovModel, ids: DataFrame, seed: int) -> DataFrame:
     """(id, text) for every id: a walk of ``model.length`` words."""
     base = ids.select("id")
-    frontier = cut_lineage(_random_key(model, base.withColumn("cur", F.lit(None).cast("string")), seed, "start"))
+    frontier = cut_lineage(_random_key(model, base, seed, "start"))
     steps = [frontier.select("id", F.lit(0).alias("step"), capitalize(F.col("cur")).alias("word"))]
     trans = model.transitions
     for j in range(1, max(model.length, 1)):
-        f = frontier.withColumn("key", F.lower("cur")).join(model.totals, "key", "left")
-        live = f.filter(F.col("total").isNotNull())
+        live = frontier.filter(F.col("total").isNotNull()).withColumn("key", F.lower("cur"))
         live = live.withColumn("_p", F.floor(R.uniform(seed, model.col, F.col("id"), f"m{j}") * F.col("total")).cast("long"))
         moved = lookup_by_rank(trans, live.select("id", "key", "bw", "_p"), "_p", group_cols=["key"], bucket_width="bw")
-        moved = moved.select("id", F.col("next_word").alias("cur"))
-        dead = f.filter(F.col("total").isNull()).select("id", F.col("cur"))
-        restarted = _random_key(model, dead, seed, f"r{j}")
-        frontier = cut_lineage(moved.unionByName(restarted.select("id", "cur")))
+        moved = moved.select("id", F.col("next_word").alias("cur"), F.col("next_total").alias("total"), F.col("next_bw").alias("bw"))
+        restarted = _random_key(model, frontier.filter(F.col("total").isNull()), seed, f"r{j}")
+        frontier = cut_lineage(moved.unionByName(restarted))
         steps.append(frontier.select("id", F.lit(j).alias("step"), F.col("cur").alias("word")))
     long = steps[0]
     for s in steps[1:]:
