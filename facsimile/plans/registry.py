@@ -33,6 +33,7 @@ def load_all() -> None:
     from facsimile.plans import (  # noqa: F401
         compare_queries,
         mask_queries,
+        null_queries,
         profile_queries,
         source_queries,
         synth_queries,
