@@ -3,12 +3,15 @@
 Templates of common licence notices are cut into words and indexed as
 postings word -> (template, position). Document frequencies of the licence
 words are counted over all documents (one aggregation; the licence vocabulary
-is fixed, so a few hundred rows come back) and give each word its IDF. Each
-text then looks up its rarest licence words: for every place of such a word and
-every posting, place - position is one vote for the template at that offset.
-Offsets with enough votes (and their neighbours, for small insertions) are
-aligned with the template word by word, and a match counts only if the mandatory
-key phrases of the template stand consecutively in the matched region.
+is fixed, so a few hundred rows come back) and give each word its IDF. A
+template is looked for in the texts that hold its mandatory key phrases. There
+every place of a template's word and every posting is a vote for the template at
+the offset place - position, and rare words weigh more. A match counts only if
+the key phrases stand consecutively in the matched region (the template's length
+and a few words more at both ends, for small insertions), so the offsets around
+the key phrases are all that can match: each of them is aligned with the
+template, and votes decide between offsets with the same share of words. No
+word, offset or template is left out because a text holds many of them.
 
 The base phrases are found wherever their words stand consecutively. Their
 labels always stay; the index adds labels.
@@ -22,6 +25,7 @@ table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -71,7 +75,6 @@ TEMPLATES: dict[str, tuple[str, list[str]]] = {
     "unlicense": ("This is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 }
 
-RARE_WORDS = 24  # licence words looked up per text
 MIN_MATCH = 0.6  # share of a template's words found at their places
 DRIFT = 3  # words an alignment may be shifted by
 
@@ -133,26 +136,45 @@ class Index:
         labels = {label for label, keys in self.keys.items() if all(w in here for k in keys for w in k) and all(b" " + b" ".join(k) + b" " in line for k in keys)}
         if not labels:
             return {}
-        rare = set(sorted(here, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        votes: Counter = Counter()
+        votes: dict[str, dict[int, float]] = {label: defaultdict(float) for label in labels}
         for at, w in enumerate(words):
-            if w in rare:
+            if w in here:
                 for label, i in self.postings[w]:
                     if label in labels:
-                        votes[label, at - i] += 1
-        found: dict[str, tuple[float, int, int]] = {}
-        for (label, at), n in votes.items():
-            template = self.templates[label]
-            if n < 2 and len(template) > 2:
-                continue
-            low, high = max(0, at - DRIFT), min(len(words), at + len(template) + DRIFT)
-            got = Counter(words[low:high]) & Counter(template)
-            score = sum(got.values()) / len(template)
-            if score < MIN_MATCH or (label in found and (found[label][0], -found[label][1]) >= (score, -low)):
-                continue
-            region = b" " + b" ".join(words[low:high]) + b" "
-            if all(b" " + b" ".join(k) + b" " in region for k in self.keys[label]):
-                found[label] = (score, max(0, at), len(template))
+                        votes[label][at - i] += 1 + self.idf[w]
+        best = {label: self._best(label, words, line, votes[label]) for label in labels}
+        return {label: m for label, m in best.items() if m}
+
+    def _best(self, label: str, words: list[bytes], line: bytes, votes: dict[int, float]) -> tuple[float, int, int] | None:
+        """(share found, first word, words) of the template's best place, of all that hold its key phrases."""
+        size, need = len(self.templates[label]), Counter(self.templates[label])
+        keys = [(_places(words, line, k), len(k)) for k in self.keys[label]]
+        best, found = (MIN_MATCH, -1.0, 0), None
+        have: Counter = Counter()  # the template's words in words[low:high]
+        got = low = high = 0
+        last = -size - DRIFT
+        for place in keys[0][0]:
+            for at in range(max(last + 1, place + keys[0][1] - size - DRIFT), place + DRIFT + 1):
+                last = at
+                left, right = at - DRIFT, at + size + DRIFT
+                if not all((i := bisect_left(places, left)) < len(places) and places[i] + n <= right for places, n in keys):
+                    continue
+                left, right = max(0, left), min(len(words), right)
+                if left >= high:
+                    have.clear()
+                    got, low, high = 0, left, left
+                for w in words[high:right]:
+                    if w in need:
+                        have[w] += 1
+                        got += have[w] <= need[w]
+                for w in words[low:left]:
+                    if w in need:
+                        got -= have[w] <= need[w]
+                        have[w] -= 1
+                low, high = left, right
+                rank = (got / size, votes.get(at, 0.0), -at)
+                if rank > best:
+                    best, found = rank, (got / size, max(0, at), size)
         return found
 
 

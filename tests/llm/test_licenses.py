@@ -57,3 +57,39 @@ def test_key_phrases_are_mandatory():
     assert "bsd" in index.scan("xx redistribution and use in source and binary forms, with or without any modification are permitted provided that the following conditions are met")["labels"]
     assert index.scan("redistribution of source in binary forms with modification are permitted provided the following conditions")["labels"] == ""
     assert index.scan("licence words software permitted conditions use copy without fee public")["labels"] == ""
+
+
+def plain_matches(text):
+    """label -> best share, over every offset of every template."""
+    words, out = L.words_of(text), {}
+    for label, (notice, phrases) in L.TEMPLATES.items():
+        template = L.words_of(notice)
+        for at in range(-len(template), len(words) + 1):
+            region = words[max(0, at - L.DRIFT) : max(0, at + len(template) + L.DRIFT)]
+            share = sum((L.Counter(region) & L.Counter(template)).values()) / len(template)
+            if share >= L.MIN_MATCH and all(b" " + b" ".join(L.words_of(p)) + b" " in b" " + b" ".join(region) + b" " for p in phrases):
+                out[label] = max(out.get(label, 0.0), share)
+    return out
+
+
+def test_joined_notices_all_match():
+    notices = [notice for notice, _ in L.TEMPLATES.values()]
+    common = {w: 5000 for label in ("gpl-3.0", "cc-by-nc-4.0", "mit") for w in L.words_of(L.TEMPLATES[label][0])}
+    for index in (L.Index({}, 1_000_000), L.Index(common, 1_000_000)):
+        three = index.scan("\n\n".join(L.TEMPLATES[label][0] for label in ("apache-2.0-notice", "gpl-3.0", "cc-by-nc-4.0")))
+        assert {"apache-2.0-notice", "gpl-3.0", "cc-by-nc-4.0"} <= set(three["labels"].split(","))
+        for text in ("\n\n".join(notices), "\n\n".join(reversed(notices * 3)), "x y " * 50 + " ".join(notices) + " z" * 40):
+            found = index.scan(text)
+            assert {label: share for label, _, _, share in found["matches"]} == plain_matches(text)
+            assert set(L.TEMPLATES) <= set(found["labels"].split(","))
+
+
+def test_matches_against_every_offset():
+    rng, index = random.Random(4), L.Index({b"the": 900, b"license": 500, b"or": 800}, 1000)
+    for _ in range(60):
+        words = " ".join(rng.choice([notice for notice, _ in L.TEMPLATES.values()]) for _ in range(rng.randint(1, 4))).split()
+        for _ in range(rng.randint(0, 12)):
+            words.insert(rng.randrange(len(words)), rng.choice(["the", "x", "license", "version", "2"]))
+            words.pop(rng.randrange(len(words)))
+        text = " ".join(words)
+        assert {label: share for label, _, _, share in index.scan(text)["matches"]} == plain_matches(text)
