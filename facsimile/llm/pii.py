@@ -14,14 +14,18 @@ a candidate is positive if it passes its kind's validation (check digits, value
 ranges, numbers of digits, digest-like strings), which the features do not see.
 Counts per feature cell and label over all candidates of the corpus are one
 aggregation; the number of cells is bounded by the bins, not by the corpus. On
-these counts gradient boosting fits small regression trees (logistic loss), on
-four fifths of the documents by hash of the id; the rest calibrates, for each
+these counts gradient boosting fits small regression trees (logistic loss). The
+documents are dealt into five folds by hash of the id, and every candidate is
+scored by trees fitted on the other folds; these scores calibrate, for each
 generator, the lowest score at which the candidates from there up are positive
-with ``PRECISION``. The trees become nested conditional column expressions.
+with ``PRECISION``. A generator with too few positives for that takes the bound
+of all generators together. The trees of all rows become nested conditional
+column expressions.
 
 Base spans are those of the base kinds that pass the base checks; they always
-stay. A candidate over its generator's threshold is added unless it overlaps a
-base span. Null text counts as empty. Repeated rows and ids keep their rows;
+stay. Candidates that pass a strict check (``sure``) are added by definition,
+however rare their kind is. Any other candidate over its generator's threshold
+is added. None may overlap a base span. Null text counts as empty. Repeated rows and ids keep their rows;
 null ids take part. Without candidates nothing is added. An empty table gives
 an empty table; clashing column names of the input are not touched.
 """
@@ -61,6 +65,9 @@ CONTEXT = 24  # code points before a span that are looked at
 _BLOCK = 128
 FEATURES = {"kind": len(KINDS), "size": 6, "digits": 5, "classes": 4, "separators": 4, "left": 4, "right": 4, "cue": len(CUES) + 1, "hex": 2}
 PRECISION = 0.9
+FOLDS = 5
+# Positives from which a generator can reach the precision at all: (p + 1) / (p + 2).
+ENOUGH = math.ceil((2 * PRECISION - 1) / (1 - PRECISION) - 1e-9)
 TREES, DEPTH, RATE = 24, 3, 0.4
 
 
@@ -142,6 +149,20 @@ def valid(kind: str, t: Column) -> Column:
     return let(F.regexp_replace(t, " ", ""), lambda a: F.length(a).between(15, 34) & (_remainder_97(a) == 1))
 
 
+# Text right before a span that names it a secret (lower case).
+_NAMED_SECRET = r"(?:token|secret|passw(?:or)?d|key|bearer)[\"']?\s*[:=]?\s*[\"']?$"
+
+
+def sure(kind: str, x: Column) -> Column:
+    """A candidate that passed its checks does so by check digits, an exact format or its name."""
+    t = x["t"]
+    if kind == "secret":
+        return t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") | F.lower(x["l"]).rlike(_NAMED_SECRET)
+    if kind == "number":
+        return t.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | t.rlike(r"^[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}$")
+    return F.lit(True)
+
+
 def _bin(value: Column, edges: list[float]) -> Column:
     out = F.lit(len(edges))
     for i, e in reversed(list(enumerate(edges))):
@@ -172,10 +193,11 @@ def features(x: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """All candidates: array<struct<kind, s, e, ok, f>>, base kinds first."""
+    """All candidates: array<struct<kind, s, e, ok, sure, f>>, base kinds first."""
 
     def told(kind):
-        return F.transform(matches(text, kind), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), valid(kind, x["t"]).alias("ok"), features(x).alias("f")))
+        rows = F.transform(matches(text, kind), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), valid(kind, x["t"]).alias("ok"), sure(kind, x).alias("sure"), features(x).alias("f")))
+        return F.transform(rows, lambda x: x.withField("sure", x["ok"] & x["sure"]))
 
     return F.concat(*[told(k) for k in KINDS])
 
@@ -270,25 +292,46 @@ def fit_trees(cells: list[tuple[dict[str, int], int, int]]) -> tuple[float, tupl
 
 def fit(found: DataFrame, id_col: str = "k0") -> Model:
     """Model from all candidates of a table made by ``candidates``."""
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
-    rows = found.select(part.alias("late"), F.inline("c")).select("late", "ok", "f.*")
-    tally = [F.count(F.when((F.col("late") == late) & (F.col("ok") == ok), 1)).alias(f"{'c' if late else 't'}{int(ok)}") for late in (False, True) for ok in (True, False)]
-    cells = [(tuple(r[f] for f in FEATURES), r.t1, r.t0, r.c1, r.c0) for r in rows.groupBy(*FEATURES).agg(*tally).collect()]
-    named = [(dict(zip(FEATURES, c)), t1, t0, c1, c0) for c, t1, t0, c1, c0 in sorted(cells)]
-    train = [(f, p, n) for f, p, n, _, _ in named if p + n]
-    if not train:
+    fold = F.pmod(F.xxhash64(F.lit("calibrate"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS))
+    rows = found.select(fold.alias("fold"), F.inline("c")).select("fold", "ok", "f.*")
+    tally = [F.count(F.when((F.col("fold") == k) & (F.col("ok") == ok), 1)).alias(f"n{k}{int(ok)}") for k in range(FOLDS) for ok in (True, False)]
+    cells = sorted((tuple(r[f] for f in FEATURES), [(r[f"n{k}1"], r[f"n{k}0"]) for k in range(FOLDS)]) for r in rows.groupBy(*FEATURES).agg(*tally).collect())
+    return fit_cells([(dict(zip(FEATURES, c)), counts) for c, counts in cells])
+
+
+def fit_cells(cells: list[tuple[dict[str, int], list[tuple[int, int]]]]) -> Model:
+    """Model from the feature cells and their (positives, negatives) in each fold."""
+    if not cells:
         return Model(0.0, (), {})
-    start, trees = fit_trees(train)
+
+    def fitted(left_out=None):
+        sums = [(f, *(sum(n[i] for k, n in enumerate(counts) if k != left_out) for i in (0, 1))) for f, counts in cells]
+        return fit_trees([c for c in sums if c[1] + c[2]])
+
+    held = []  # (score by the trees of the other folds, kind, positives, negatives)
+    for k in range(FOLDS):
+        start, trees = fitted(k)
+        held += [(start + sum(_value(t, f) for t in trees), f["kind"], *counts[k]) for f, counts in cells if sum(counts[k])]
+    held.sort(key=lambda x: x[0], reverse=True)
     thresholds = {}
+    pooled = _threshold(held, math.log(PRECISION / (1 - PRECISION)))
     for kind in range(len(KINDS)):
-        held = sorted(((start + sum(_value(t, f) for t in trees), c1, c0) for f, _, _, c1, c0 in named if f["kind"] == kind), key=lambda x: x[0], reverse=True)
-        p = n = 0
-        for i, (score, c1, c0) in enumerate(held):
-            p, n = p + c1, n + c0
-            last_of_score = i + 1 == len(held) or held[i + 1][0] < score
-            if last_of_score and p and (p + 1) / (p + n + 2) >= PRECISION and score > 0:
-                thresholds[kind] = score - 1e-9
-    return Model(start, trees, thresholds)
+        own = [x for x in held if x[1] == kind]
+        bound = _threshold(own) if sum(x[2] for x in own) >= ENOUGH else pooled
+        if own and bound is not None:
+            thresholds[kind] = bound - 1e-9
+    return Model(*fitted(), thresholds)
+
+
+def _threshold(held: list[tuple[float, int, int, int]], least: float = 0.0) -> float | None:
+    """The lowest score above ``least`` from which up the rows are positive with ``PRECISION``."""
+    bound, p, n = None, 0, 0
+    for i, (score, _, c1, c0) in enumerate(held):
+        p, n = p + c1, n + c0
+        last_of_score = i + 1 == len(held) or held[i + 1][0] < score
+        if last_of_score and p and (p + 1) / (p + n + 2) >= PRECISION and score > least:
+            bound = score
+    return bound
 
 
 # ------------------------------------------------------------ decisions
@@ -300,8 +343,8 @@ def base_spans(c: Column) -> Column:
 
 
 def all_spans(c: Column, base: Column, model: Model) -> Column:
-    """Base spans and the selected candidates that overlap none of them."""
-    added = F.filter(c, lambda x: ~((x["kind"] < len(BASE_KINDS)) & x["ok"]) & model.selects(x["f"]))
+    """Base spans and the sure or selected candidates that overlap none of them."""
+    added = F.filter(c, lambda x: ~((x["kind"] < len(BASE_KINDS)) & x["ok"]) & (x["sure"] | model.selects(x["f"])))
     free = F.filter(
         F.transform(added, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"))),
         lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
