@@ -25,7 +25,8 @@ column expressions.
 Base spans are those of the base kinds that pass the base checks; they always
 stay. Candidates that pass a strict check (``sure``) are added by definition,
 however rare their kind is. Any other candidate over its generator's threshold
-is added. None may overlap a base span. Null text counts as empty. Repeated rows and ids keep their rows;
+is added. Only those inside a base span are left out; spans may overlap, and
+redaction replaces overlapping ones as one. Null text counts as empty. Repeated rows and ids keep their rows;
 null ids take part. Without candidates nothing is added. An empty table gives
 an empty table; clashing column names of the input are not touched.
 """
@@ -343,11 +344,11 @@ def base_spans(c: Column) -> Column:
 
 
 def all_spans(c: Column, base: Column, model: Model) -> Column:
-    """Base spans and the sure or selected candidates that overlap none of them."""
+    """Base spans and the sure or selected candidates that lie inside none of them."""
     added = F.filter(c, lambda x: ~((x["kind"] < len(BASE_KINDS)) & x["ok"]) & (x["sure"] | model.selects(x["f"])))
     free = F.filter(
         F.transform(added, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"))),
-        lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])),
+        lambda x: ~F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])),
     )
     return F.array_sort(F.concat(base, free))
 
@@ -367,16 +368,25 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
 
 def _redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
+    """The text with each span replaced by its kind in brackets, overlapping ones as one by the longest one's kind."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # Text written so far and its place; the open span, its kind and the longest length in it.
+    start = F.struct(F.lit("").alias("out"), *[F.lit(0).alias(n) for n in ("at", "s", "e", "kind", "size")])
+
+    def closed(a):
+        put = F.concat(a["out"], F.substring(text, a["at"] + 1, a["s"] - a["at"]), F.element_at(labels, a["kind"] + 1))
+        return F.when(a["size"] > 0, put).otherwise(a["out"])
 
     def step(a, x):
-        fresh = x["s"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.element_at(labels, x["kind"] + 1))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
+        fresh, size = x["s"] >= a["e"], x["e"] - x["s"]
+        longer = fresh | (size > a["size"])
+        pick = lambda test, new, old, name: F.when(test, new).otherwise(old).alias(name)
+        return F.struct(
+            pick(fresh, closed(a), a["out"], "out"), pick(fresh, a["e"], a["at"], "at"), pick(fresh, x["s"], a["s"], "s"),
+            F.greatest(a["e"], x["e"]).alias("e"), pick(longer, x["kind"], a["kind"], "kind"), pick(longer, size, a["size"], "size"),
+        )
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
+    return F.aggregate(spans, start, step, lambda a: F.concat(closed(a), F.substring(text, a["e"] + 1, F.length(text) - a["e"])))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
