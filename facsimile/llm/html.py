@@ -6,11 +6,12 @@ row). Pass one labels each block by itself:
 * blocks inside menus, page headers, footers, sidebars, notices, adverts,
   forms or comments (by element, role, class or id), and blocks outside an
   ``article`` or ``main`` element where the page has one, are bad;
-* blocks that are mostly links are bad (inside ``article`` or ``main`` only
-  list items are; other linked blocks are undecided);
+* blocks that are mostly links are bad (inside ``article`` or ``main`` they are
+  undecided);
 * of the others, long blocks with many stop words are good; medium ones are
-  nearly good; short ones are undecided; long ones without stop words are bad
-  (inside ``article`` or ``main`` they are undecided).
+  nearly good; short ones and those with few stop words (code, tables, names)
+  are undecided. Where blocks with stop words are a small part of the page's
+  text, as in other languages, length alone tells good from nearly good.
 
 Pass two gives undecided and nearly good blocks the label of their nearest
 decided neighbours, before and after: equal labels are taken over, otherwise
@@ -69,6 +70,7 @@ STOP_WORDS = frozenset(
 )
 SHORT, LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.30, 0.32
+SPOKEN = 0.2  # share of characters in blocks with stop words, below which stop words tell nothing
 LINKS = 0.5  # share of characters in links
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -84,7 +86,6 @@ class Block:
     linked: int  # characters in links
     main: int  # number of the article or main element, 0: outside
     bad: bool  # inside a part that is not the article
-    item: bool  # a list item
     heading: bool
     label: str = ""
 
@@ -114,7 +115,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             tag, bad, main = stack[-1] if stack else ("", False, 0)
             size = len(" ".join(references.unescape("".join(linked)).split()))
-            out.append(Block(text, size, main, bad, open_tags["li"] > 0, tag in HEADINGS))
+            out.append(Block(text, size, main, bad, tag in HEADINGS))
         pieces.clear()
         linked.clear()
         state["breaks"] = 0
@@ -183,22 +184,29 @@ def blocks_of(page: str) -> list[Block]:
 def classify(blocks: list[Block]) -> list[Block]:
     """The good blocks. Labels: good, bad; in between near and short."""
     has_main = any(b.main for b in blocks)
+    dense = []  # stop words' share of each block
+    spoken = long = 0  # characters of blocks with stop words, and of all that stop words are to judge
     for b in blocks:
         words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        dense.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+        if not b.bad and (b.main or not has_main) and b.linked / len(b.text) <= LINKS and len(b.text) >= SHORT:
+            long += len(b.text)
+            spoken += len(b.text) * (dense[-1] >= STOP_LOW)
+    by_length = spoken < SPOKEN * long
+    for b, stop in zip(blocks, dense):
         link = b.linked / len(b.text)
         if b.bad or (has_main and not b.main):
             b.label = "bad"
         elif link > LINKS:
-            b.label = "short" if b.main and not b.item else "bad"
+            b.label = "short" if b.main else "bad"
         elif len(b.text) < SHORT:
             b.label = "short" if b.main or not b.linked else "bad"
-        elif stop >= STOP_HIGH or (b.main and stop >= STOP_LOW):
+        elif by_length or stop >= STOP_HIGH or (b.main and stop >= STOP_LOW):
             b.label = "good" if len(b.text) > LONG else "near"
         elif stop >= STOP_LOW:
             b.label = "near"
         else:
-            b.label = "short" if b.main else "bad"
+            b.label = "short"
     n = len(blocks)
     before: list[tuple[int, str]] = [(n, "")] * n  # distance and label of the decided neighbour
     after = list(before)

@@ -34,3 +34,26 @@ def test_rows(rows):
     got = sorted((r.id or 0, r.url, len(r.text)) for r in X.extract(pages).collect())
     assert [(i, n) for i, _, n in got] == [(0, 0), (1, 3), (1, 3), (2, 0), (3, 249_999)]
     assert X.extract(pages.limit(0)).count() == 0
+
+
+def test_linked_items_of_an_article_stay():
+    items = "".join(f"<li><a href=/s{i}>Source number {i} of the article</a></li>" for i in range(3))
+    page = f"<ul><li><a href=/>Home</a></ul><article><p>{PROSE}</p><ul>{items}</ul><ul class=related><li><a href=/r>Other</a></ul><p>{PROSE}</p></article>"
+    assert X.main_text(page) == "\n\n".join([PROSE, *(f"Source number {i} of the article" for i in range(3)), PROSE])
+
+
+def test_blocks_without_stop_words_go_with_their_neighbours():
+    code = "for (int i = 0; i < n; ++i) { total += values[i] * weights[i]; counts[keys[i]] += 1; emit(total, counts); }"
+    names = "Ada Lovelace, Alan Turing, Grace Hopper, Edsger Dijkstra, Barbara Liskov, Donald Knuth, Tony Hoare, Niklaus Wirth"
+    shown = code.replace("<", "&lt;")
+    page = f"<nav>x</nav><div>{PROSE}</div><pre>{shown}</pre><div>{PROSE}</div><p>{names}</p><div>{PROSE}</div><footer>{PROSE}</footer><p>{names}</p>"
+    assert X.main_text(page) == "\n\n".join([PROSE, code, PROSE, names, PROSE])
+
+
+def test_other_languages_are_judged_by_length_and_links():
+    czech = "Včera večer přišlo město k řece, kde lidé stavěli nový most, protože starý most odnesla voda před mnoha lety a nikdo jej neopravil. Dnes tam stojí věž, kterou postavili kameníci z hor."
+    greek = "Χθες το βράδυ οι άνθρωποι πήγαν στο ποτάμι, όπου έχτιζαν μια νέα γέφυρα, επειδή την παλιά την πήρε το νερό πριν από πολλά χρόνια και κανείς δεν την επισκεύασε ποτέ ξανά."
+    for text in (czech, greek):
+        long = f"{text} {text}"
+        menu = "".join(f"<div><a href=/{i}>{text}</a></div>" for i in range(3))
+        assert X.main_text(f"<div class=menu>{long}</div>{menu}<h2>Most</h2><p>{long}</p><p>{text}</p><p>{long}</p><footer>{long}</footer>") == "\n\n".join(["Most", long, text, long])
