@@ -73,7 +73,50 @@ TEMPLATES: dict[str, tuple[str, list[str]]] = {
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license v 2 0"]),
     "unlicense": ("This is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    "agpl-3.0": ("This work is licensed under the GNU Affero General Public License, version 3", ["gnu affero general public license", "version 3"]),
+    "agpl-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        ["redistribute it and or modify it", "gnu affero general public license"],
+    ),
+    "artistic-2.0": ("Licensed under the Artistic License 2.0", ["artistic license 2 0"]),
+    "bsd-2-clause": ("Licensed under the BSD 2-Clause License", ["bsd 2 clause"]),
+    "bsd-3-clause": ("Licensed under the BSD 3-Clause License", ["bsd 3 clause"]),
+    "bsd-3-clause-notice": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["may be used to endorse or promote products derived from this software without specific prior written permission"],
+    ),
+    "bsl-1.0": ("Distributed under the Boost Software License, Version 1.0", ["boost software license", "version 1 0"]),
+    "cc0-1.0": ("Released under CC0 1.0 Universal", ["cc0 1 0"]),
+    "cc0-1.0-notice": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    "cddl-1.0": ("Subject to the terms of the Common Development and Distribution License, Version 1.0", ["common development and distribution license", "version 1 0"]),
+    "epl-1.0": ("Made available under the terms of the Eclipse Public License v1.0", ["eclipse public license v1 0"]),
+    "epl-2.0": ("Made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    "epl-2.0-v": ("Made available under the terms of the Eclipse Public License v2.0", ["eclipse public license v2 0"]),
+    "eupl-1.2": ("Licensed under the EUPL, Version 1.2", ["eupl", "version 1 2"]),
+    "lgpl-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1", ["gnu lesser general public license", "version 2 1"]),
+    "lgpl-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3", ["gnu lesser general public license", "version 3"]),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        ["redistribute it and or modify it", "gnu lesser general public license"],
+    ),
+    "mpl-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1", ["mozilla public license version 1 1"]),
+    "ofl-1.1": ("This Font Software is licensed under the SIL Open Font License, Version 1.1", ["sil open font license", "version 1 1"]),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        ["in no event will the authors be held liable for any damages"],
+    ),
 }
+# Creative Commons licences by short and by long name, in all their versions.
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+for _kind, _name in _CC.items():
+    for _version, _port in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        _long = _name if _version == "4.0" else _name.replace("NoDerivatives", "NoDerivs")
+        _label = f"cc-{_kind}-{_version}"
+        _short = (f"Licensed under CC {_kind.upper()} {_version}", [f"cc {_kind} {_version}"])
+        _notice = (f"This work is licensed under a Creative Commons {_long} {_version} {_port} License", [f"creative commons {_long} {_version}"])
+        for _template in (_short, _notice):
+            if not any(notice == _template[0] for notice, _ in TEMPLATES.values()):
+                TEMPLATES[_label if _label not in TEMPLATES else f"{_label}-notice" if _template is _notice else f"{_label}-short"] = _template
 
 MIN_MATCH = 0.6  # share of a template's words found at their places
 DRIFT = 3  # words an alignment may be shifted by

@@ -93,3 +93,15 @@ def test_matches_against_every_offset():
             words.pop(rng.randrange(len(words)))
         text = " ".join(words)
         assert {label: share for label, _, _, share in index.scan(text)["matches"]} == plain_matches(text)
+
+
+def test_common_licences_and_versions():
+    index = L.Index({}, 10)
+    for text, label in (
+        ("(c) x, CC BY-SA 3.0.", "cc-by-sa-3.0"), ("under CC BY 4.0", "cc-by-4.0-short"), ("CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0"), ("released under CC0 1.0", "cc0-1.0"),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "cc-by-nc-sa-3.0-notice"), ("a Creative Commons Attribution-NoDerivs 2.0 Generic License", "cc-by-nd-2.0-notice"),
+        ("licensed under the GNU Affero General Public License, version 3", "agpl-3.0"), ("under the terms of the Eclipse Public License v2.0", "epl-2.0-v"), ("under the Artistic License 2.0", "artistic-2.0"),
+        ("the BSD 3-Clause License", "bsd-3-clause"), ("the BSD 2-Clause License", "bsd-2-clause"),
+    ):
+        labels = index.scan(text)["labels"].split(",")
+        assert label in labels and not {x for x in labels if x.startswith(("bsd", "agpl", "epl", "cc-by-", "cc0"))} - {label}, (text, labels)
