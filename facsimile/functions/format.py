@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 
 def _fixed(x: Column, decimals: int) -> Column:
@@ -32,15 +32,34 @@ def truncate(s: Column, max_length: int = 50) -> Column:
     return F.when(F.length(s) > max_length, F.concat(F.substring(s, 1, max_length - 3), F.lit("..."))).otherwise(s)
 
 
+def _json_value(c: Column, kind: DataType) -> Column:
+    """The value with NaN/inf as null and timestamps as text, at any depth."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(kind)).otherwise(c)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    if isinstance(kind, ArrayType) and _has_leaf(kind):
+        return F.transform(c, lambda x: _json_value(x, kind.elementType))
+    if isinstance(kind, MapType) and _has_leaf(kind.valueType):
+        return F.transform_values(c, lambda _, x: _json_value(x, kind.valueType))
+    if isinstance(kind, StructType) and _has_leaf(kind):
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def _has_leaf(kind: DataType) -> bool:
+    """The type holds a value that ``_json_value`` changes."""
+    if isinstance(kind, ArrayType):
+        return _has_leaf(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_leaf(kind.valueType)
+    if isinstance(kind, StructType):
+        return any(_has_leaf(f.dataType) for f in kind.fields)
+    return isinstance(kind, (DoubleType, FloatType, TimestampType, TimestampNTZType))
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """one JSON text per row; NaN/inf become null, timestamps text,
-    nested values kept, null fields written."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None).cast(f.dataType)).otherwise(c)
-        elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        cols.append(c.alias(f.name))
+    """one JSON text per row; NaN/inf become null and timestamps text, also
+    inside arrays, maps and structs; null fields written."""
+    cols = [_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
