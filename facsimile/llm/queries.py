@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import html, lattice_lm, licenses, mixing, packing, pii, quality, simhash, sketch, token_files
+from facsimile.llm import html, lattice_lm, licenses, mixing, packing, periods, pii, quality, simhash, sketch, token_files, winnow
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -98,3 +98,34 @@ def op4_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.printed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.printed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op12_winnowing_decontamination")
+def op12_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and benchmark items of every document that benchmark windows hit."""
+    found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        winnow.hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op12_winnowing_decontamination"] = winnow.CONTAMINATION_SQL
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, with repeats planted in a tenth of them."""
+    found = periods.runs(periods.with_repeats(table(spark, sf_dir, "documents"))).withColumn("best", periods.strongest(F.col("runs")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periods.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
