@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import html, lattice_lm, licenses, mixing, packing, periods, pii, quality, simhash, sketch, token_files, winnow
+from facsimile.llm import alignment, html, lattice_lm, licenses, mixing, packing, periods, pii, quality, simhash, sketch, token_files, winnow
 from facsimile.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -129,3 +129,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(periods.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids of every document."""
+    return alignment.summaries(alignment.align(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
