@@ -125,20 +125,18 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray,
 
 def _encode(path: str, capacity: int):
     def run(batches):
-        coder, task, seen = tokens.encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            for at, texts in tokens.text_slices(batch, "text"):
-                ids = list(coder.encode(texts))
-                ranks, wholes = [], []
-                for x in ids:
-                    n = len(x) // 2
+            for at, texts in tokens.array_slices(batch, "text"):
+                ids, places = tokens.encode_texts(path, texts)
+                ranks, wholes, sizes = [], [], np.diff(places)
+                for n in sizes.tolist():
                     wholes.append(seen[capacity])
                     seen[capacity] += n // capacity
                     ranks.append(seen[n % capacity])
                     seen[n % capacity] += 1
-                n = [len(x) // 2 for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(texts)), pa.array([task] * len(ids), pa.int64()), pa.array(n, pa.int64()), pa.array(wholes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column("id").slice(at, len(texts)), pa.array([task] * len(texts), pa.int64()), pa.array(sizes, pa.int64()), pa.array(wholes, pa.int64()), pa.array(ranks, pa.int64()), tokens.binary_array(ids.view(np.uint8), 2 * places).cast(pa.binary())],
                     ["id", "task", "n", "whole", "rank", "ids"],
                 )
 

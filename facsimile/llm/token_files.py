@@ -55,23 +55,23 @@ class _SequenceWriter:
     def __init__(self, sink, length: int):
         self.length, self.schema = length, sequence_schema(length)
         self.out = ipc.new_file(sink, self.schema)
-        self.parts: list[bytes] = []
+        self.parts: list[np.ndarray] = []
         self.held = self.total = 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.parts.append(ids)
-        self.held += len(ids) // 2
-        self.total += len(ids) // 2
+        self.held += len(ids)
+        self.total += len(ids)
         if self.held >= SEQUENCES * self.length:
             self._flush(SEQUENCES * self.length)
 
     def _flush(self, step: int) -> None:
-        ids = np.frombuffer(b"".join(self.parts), "<u2")
+        ids = np.concatenate(self.parts)
         at = 0
         while len(ids) - at >= step:
             self._batch(ids[at : at + step], step)
             at += step
-        self.parts, self.held = [ids[at:].tobytes()], len(ids) - at
+        self.parts, self.held = [ids[at:].copy()], len(ids) - at
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
         lists = pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint16()), self.length)
@@ -80,7 +80,7 @@ class _SequenceWriter:
 
     def close(self) -> None:
         if self.held:
-            ids = np.frombuffer(b"".join(self.parts), "<u2")
+            ids = np.concatenate(self.parts)
             self._batch(np.concatenate([ids, np.zeros(-len(ids) % self.length, np.uint16)]), len(ids))
         self.out.close()
 
@@ -90,7 +90,7 @@ def _write_shard(folder: str, length: int, vocabulary: str):
         where, base = _system(folder)
         task = TaskContext.get()
         shard, tag = task.partitionId(), f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        coder, n_docs = tokens.encoder(vocabulary), 0
+        n_docs = 0
         names = {kind: f"{base}/{kind}-{tag}.arrow" for kind in ("ids", "docs")}
         opened = []
         for batch in batches:
@@ -98,14 +98,12 @@ def _write_shard(folder: str, length: int, vocabulary: str):
                 where.create_dir(base, recursive=True)
                 opened = [where.open_output_stream(f"{n}.part") for n in names.values()]
                 ids_out, docs_out = _SequenceWriter(opened[0], length), ipc.new_file(opened[1], DOCS)
-            for at, texts in tokens.text_slices(batch, "text"):
-                sizes, first = [], ids_out.total
-                for ids in coder.encode(texts):
-                    ids_out.add(ids)
-                    sizes.append(len(ids) // 2)
-                starts = first + np.cumsum([0, *sizes[:-1]])
-                docs_out.write_batch(pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=DOCS))
-                n_docs += len(sizes)
+            for at, texts in tokens.array_slices(batch, "text"):
+                ids, places = tokens.encode_texts(vocabulary, texts)
+                starts = ids_out.total + places[:-1]
+                ids_out.add(ids)
+                docs_out.write_batch(pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(starts, pa.int64()), pa.array(np.diff(places), pa.int64())], schema=DOCS))
+                n_docs += len(texts)
         if not opened:
             return
         ids_out.close()
@@ -141,13 +139,16 @@ def open_shard(folder: str, tag: str) -> tuple[ipc.RecordBatchFileReader, ipc.Re
     return tuple(ipc.open_file(pa.memory_map(n) if local else where.open_input_file(n)) for n in names)
 
 
-def sequence(reader: ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (a view of the file's buffer) and mask of sequence ``k`` of a shard."""
+def sequence(reader: ipc.RecordBatchFileReader, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence ``k`` of a shard, both views of the file's buffers.
+
+    The mask stays an Arrow array: its bits are packed, so numpy could only copy it.
+    """
     batch = reader.get_batch(k // SEQUENCES)
     length = batch.schema.field("ids").type.list_size
     at = k % SEQUENCES * length
     ids = batch.column("ids").values.to_numpy(zero_copy_only=True)[at : at + length]
-    return ids, batch.column("mask").values.slice(at, length).to_numpy(zero_copy_only=False)
+    return ids, batch.column("mask").values.slice(at, length)
 
 
 def _runs(reader: ipc.RecordBatchFileReader) -> Iterator[np.ndarray]:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -27,17 +28,40 @@ def corpus():
     return data + [(5000, "long words here " * 4000)]
 
 
+def soup(n, seed=9):
+    """Random texts of the characters on which the two vocabularies may cut."""
+    rng = random.Random(seed)
+    some = [*"aB\xe9\xf1\xd7\xf7\u0142\u03b3\u4e2d\u0e01\u0301\u2581", *"019\xb2\u0663", *"'.,!?$_-\x00\x1c\x7f", *" \t\n\r\x0b\x85\xa0\u2009\u2028\u3000", "'s", "'LL", "  ", " a", "\U0001d518", "<s>", "the", "ing"]
+    return ["".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(n)]
+
+
 def test_chunks_give_the_ids_of_the_text(plain):
-    got = tokens.ChunkEncoder(tokens.default_vocabulary()).encode(ODD)
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain(t) for t in ODD]
+    texts = [*ODD, *soup(3000), None]
+    ids, places = tokens.encode_texts(tokens.default_vocabulary(), pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [plain(t) for t in texts]
+
+
+def test_chunks_give_the_pieces_of_the_text():
+    coder = tokens.PieceEncoder(tokens.default_pieces())
+    texts = [t for t in [*ODD, *soup(3000)] if t]
+    ids, places = coder.encode(*tokens.text_bytes(pa.array([f" {t}" for t in texts])))
+    assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [coder.model.encode(t) for t in texts]
+
+
+def test_texts_of_a_sliced_array():
+    data, places = tokens.text_bytes(pa.array(["left out", "a", None, "", "\xe9"]).slice(1))
+    assert bytes(data) == b"a\xc3\xa9" and places.tolist() == [0, 1, 1, 1, 3]
+    assert [x.tolist() for x in tokens.encode_texts(tokens.default_vocabulary(), pa.array([], pa.string()))] == [[], [0]]
 
 
 def test_kept_chunks_are_bounded(monkeypatch, plain):
-    monkeypatch.setattr(tokens, "GENERATION", 5)
-    coder = tokens.ChunkEncoder(tokens.default_vocabulary())
+    monkeypatch.setattr(tokens, "KEPT_CHUNKS", 5)
+    coder = tokens.ByteEncoder(tokens.default_vocabulary())
     texts = [f"w{i} w{i % 7} again" for i in range(300)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [plain(t) for t in texts]
-    assert len(coder.new) <= 5
+    for k in range(0, 300, 10):
+        ids, places = coder.encode(*tokens.text_bytes(pa.array(texts[k : k + 10])))
+        assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [plain(t)[:-1] for t in texts[k : k + 10]]
+        assert len(coder.known.keys) <= 5 + 60
 
 
 def test_files_round_trip(spark, rows, plain, tmp_path):
