@@ -22,28 +22,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    BooleanType,
-    ByteType,
-    CharType,
-    DataType,
-    DateType,
-    DecimalType,
-    DoubleType,
-    FloatType,
-    IntegerType,
-    LongType,
-    MapType,
-    ShortType,
-    StringType,
-    StructType,
-    TimestampNTZType,
-    TimestampType,
-    VarcharType,
-)
 
 from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, rlike_u, word_count
+from facsimile.operators import heavy
+from facsimile.operators.columns import NUMERIC, Col, columns_of, kind_of, normalized
 from facsimile.operators.detect import detected_type_expr, type_by_name
 from facsimile.operators.ranking import lookup_by_rank, running_totals
 from facsimile.session import cut_lineage
@@ -67,50 +49,6 @@ METHOD_BY_TYPE = {
 }
 DEFAULT_METHOD = "sample"
 
-NUMERIC = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType)
-
-
-def kind_of(dt: DataType) -> str:
-    if isinstance(dt, BooleanType):
-        return "boolean"
-    if isinstance(dt, NUMERIC):
-        return "numeric"
-    if isinstance(dt, (StringType, VarcharType, CharType)):
-        return "string"
-    if isinstance(dt, (TimestampType, TimestampNTZType, DateType)):
-        return "datetime"
-    if isinstance(dt, (ArrayType, MapType, StructType)):
-        return "nested"
-    return "other"
-
-
-@dataclass(frozen=True)
-class Col:
-    position: int
-    name: str
-    kind: str
-    data_type: str
-
-    @property
-    def ref(self) -> Column:
-        return F.col(f"`{self.name}`")
-
-
-def columns_of(df: DataFrame) -> list[Col]:
-    return [Col(i, f.name, kind_of(f.dataType), f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-
-
-def normalized(df: DataFrame) -> DataFrame:
-    """Floats: NaN becomes null and -0.0 becomes 0.0 (missing = null or NaN)."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (FloatType, DoubleType)):
-            c = (F.nanvl(c, F.lit(None).cast(f.dataType)) + F.lit(0.0).cast(f.dataType)).alias(f.name)
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
 def _num(c: Col) -> Column:
     return c.ref.cast("double")
 
@@ -306,7 +244,7 @@ def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = Non
     if exact:
         # Read by the distinct counts and by the quartiles: written once to
         # the shared checkpoint folder instead of being computed twice.
-        freq = freq if freq is not None else cut_lineage(frequency_table(df))
+        freq = freq if freq is not None else cut_lineage(heavy.value_counts(df))
         uniq = distinct_counts(freq)
     else:
         cols = columns_of(df)
@@ -485,12 +423,15 @@ def _size_bytes(c: Col) -> Column:
     return F.lit(widths.get(c.kind, 8)).cast("long")
 
 
-def most_common(df: DataFrame, k: int = 5, freq: DataFrame | None = None) -> DataFrame:
-    """Top-k values of every string column with their counts."""
-    freq = freq if freq is not None else frequency_table(df)
-    strings = [c.position for c in columns_of(df) if c.kind == "string"]
-    top = top_values(freq.filter(F.col("position").isin(strings)), k)
-    return top.select("column", "position", "rank", "value", F.col("n").cast("long").alias("count"))
+def most_common(df: DataFrame, k: int = 5, counts: DataFrame | None = None) -> DataFrame:
+    """Top-k values of every string column with their counts.
+
+    ``counts`` may be a written ``heavy.value_counts`` table with ``prefix``.
+    """
+    strings = [c for c in columns_of(df) if c.kind == "string"]
+    names = F.create_map(*[x for c in strings for x in (F.lit(c.position), F.lit(c.name))]) if strings else F.create_map().cast("map<int,string>")
+    top = heavy.top_texts(df, strings, k, counts)
+    return top.select(names[F.col("position")].alias("column"), "position", "rank", "value", F.col("n").cast("long").alias("count"))
 
 
 def sample_values(df: DataFrame, k: int = 5, freq: DataFrame | None = None) -> DataFrame:
@@ -525,18 +466,37 @@ def distribution(stats: DataFrame, pcts: DataFrame) -> DataFrame:
     return out
 
 
-def categories(stats: DataFrame, freq: DataFrame, k: int = 20) -> DataFrame:
-    """B14-B15 for categorical columns: top-k counts, frequency of all rows."""
+def categories(df: DataFrame, stats: DataFrame, counts: DataFrame, k: int = 20) -> DataFrame:
+    """B14-B15 for categorical columns: top-k counts, frequency of all rows.
+
+    ``counts`` is the written ``heavy.value_counts`` table with ``prefix``. Ranks
+    and rare values come from it; only the values of the first k are read.
+    """
     cat = stats.filter(F.col("detected_type") == "categorical").select(
-        "position", F.col("count").alias("_rows"), F.col("unique_count").alias("n_categories")
+        "position", F.col("column"), F.col("count").alias("_rows"), F.col("unique_count").alias("n_categories")
     )
-    f = freq.join(F.broadcast(cat), "position")
+    chosen = [r.position for r in cat.select("position").collect()]  # one row per column
+    cols = [c for c in columns_of(df) if c.position in chosen]
+    f = counts.filter(F.col("position").isin(chosen)).drop("column").join(F.broadcast(cat), "position")
     rare = f.groupBy("position").agg(F.count_if(F.col("n") < F.col("_rows") * 0.01).cast("long").alias("rare_categories"))
-    top = top_values(f, k).select(
-        "position", "column", "rank", "value", F.col("n").cast("long").alias("count"),
-        (F.col("n") / F.col("_rows")).alias("frequency"), "n_categories",
+    texts = heavy.top_texts(df, [c for c in cols if c.kind == "string"], k, counts)
+    others = counts.filter(F.col("position").isin([c.position for c in cols if c.kind != "string"]))
+    numbers = top_values(others.withColumn("value", _count_key_text(cols)), k)
+    both = texts.unionByName(numbers.select("position", "value", "n", "rank"))
+    return both.join(F.broadcast(cat), "position").join(F.broadcast(rare), "position").select(
+        "position", "column", "rank", "value", F.col("n").cast("long").alias("count"), (F.col("n") / F.col("_rows")).alias("frequency"), "n_categories", "rare_categories"
     )
-    return top.join(F.broadcast(rare), "position")
+
+
+def _count_key_text(cols: list[Col]) -> Column:
+    """The text of a ``value_counts`` key that is no digest."""
+    out = F.coalesce(F.when(F.col("num") == F.col("a"), F.col("a").cast("string")), F.col("num").cast("string"))
+    for c in cols:
+        if c.kind == "boolean":
+            out = F.when(F.col("position") == c.position, F.col("a").cast("boolean").cast("string")).otherwise(out)
+        if c.kind == "datetime":
+            out = F.when(F.col("position") == c.position, F.timestamp_add("MICROSECOND", F.col("a"), heavy.epoch()).cast("string")).otherwise(out)
+    return out
 
 
 def text_profile(stats: DataFrame) -> DataFrame:
@@ -731,23 +691,23 @@ class Profile:
 
 
 def profile(df: DataFrame, exact: bool = True, persist: bool = True) -> Profile:
-    """Every section. The frequency table is shared (written once)."""
-    freq = frequency_table(df)
+    """Every section. The table of value counts is shared (written once)."""
+    counts = heavy.value_counts(df, prefix=True)
     if persist:
-        freq = cut_lineage(freq)
-    stats = column_stats(df, exact=exact, freq=freq)
-    pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact, freq=freq if exact else None)
+        counts = cut_lineage(counts)
+    stats = column_stats(df, exact=exact, freq=counts)
+    pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact, freq=counts if exact else None)
     corr = correlation_matrix(df)
     return Profile(
         overview=overview(df),
         columns=stats,
         percentiles=pcts,
         distribution=distribution(stats, pcts),
-        categories=categories(stats, freq),
-        most_common=most_common(df, freq=freq),
+        categories=categories(df, stats, counts),
+        most_common=most_common(df, counts=counts),
         text=text_profile(stats),
         temporal=temporal_profile(stats),
-        sample_values=sample_values(df, freq=freq),
+        sample_values=sample_values(df),
         correlations=corr,
         high_correlations=high_correlations(corr, df),
         recommendations=recommendations(stats),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.operators import profile as P
+from facsimile.operators.heavy import value_counts
 from facsimile.plans.common import r_sql, rounded
 from facsimile.plans.oracle_profile import _lit, column_stats_sql
 from facsimile.plans.registry import add
 from facsimile.plans.tables import TABLE_COLUMNS, table
+from facsimile.session import cut_lineage
 
 STATS_COLS = [
     "column", "position", "count", "non_null", "null_count", "null_percentage", "unique_count",
@@ -104,7 +106,7 @@ def _most_common_query(name: str):
     return lambda spark, sf_dir: P.most_common(table(spark, sf_dir, name), 5)
 
 
-for _t in ["customer", "orders", "documents", "events"]:
+for _t in ["customer", "orders", "documents", "events", "pages", "conversations"]:
     add(f"profile_most_common_{_t}", _most_common_query(_t), _top_sql(_t, 5))
 
 
@@ -220,13 +222,13 @@ FROM ranked r JOIN rare ON rare.position = r.position WHERE r.rank <= {k}"""
 def _cat_query(name: str):
     def q(spark, sf_dir):
         df = table(spark, sf_dir, name)
-        freq = P.frequency_table(df)
-        return rounded(P.categories(P.column_stats(df, freq=freq), freq))
+        counts = cut_lineage(value_counts(df, prefix=True))
+        return rounded(P.categories(df, P.column_stats(df, freq=counts), counts))
 
     return q
 
 
-for _t in ["orders", "lineitem", "part"]:
+for _t in ["orders", "lineitem", "part", "documents"]:
     add(f"profile_categories_{_t}", _cat_query(_t), categories_sql(_t))
 
 
