@@ -13,7 +13,8 @@ Fit:
 
 Generate: independent keyed normals per row, correlated by the factor,
 mapped through ``Phi`` to uniforms and then to values of the exact empirical
-marginal with the bucketed rank join. Nulls come back at each column's rate.
+marginals by one index and one join over all columns (``sampling``). Nulls come
+back at each column's rate.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql.types import TimestampType
 from facsimile.functions import rand as R
 from facsimile.functions.text import ntz_micros
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
+from facsimile.operators.sampling import Sampled, rank_index, sample, supported
 from facsimile.operators.synth import sample_by_rank, value_intervals, value_intervals_counted
 from facsimile.session import cut_lineage
 
@@ -178,14 +180,23 @@ def generate_copula(model: CopulaModel, n: int) -> DataFrame:
     for i, c in enumerate(model.columns):
         u = F.least(F.greatest(norm_cdf(F.col(f"_z{i}")), F.lit(0.0)), F.lit(1.0 - 1e-12))
         pos.append(F.floor(u * F.lit(float(model.non_null[c]))).cast("long").alias(f"_p{i}"))
-    out = base.select("id", *pos)
-    for i, c in enumerate(model.columns):
+    chosen = [Sampled(i, c, types[c], nulls=False) for i, c in enumerate(model.columns) if supported(types[c])]
+    whole = [i for i, c in enumerate(model.columns) if not supported(types[c])]
+    base = base.select("id", *pos)
+    if whole:
+        base = cut_lineage(base)
+    # One index and one join for the marginals of all columns.
+    out = sample(base, rank_index(model.source, chosen), {c.position: F.col(f"_p{c.position}") for c in chosen}, lambda i: f"_c{i}")
+    for i in whole:  # nested and binary values are grouped as they are
+        c = model.columns[i]
         if not model.non_null[c]:
-            out = out.drop(f"_p{i}").withColumn(f"_c{i}", F.lit(None).cast(types[c]))
+            out = out.withColumn(f"_c{i}", F.lit(None).cast(types[c]))
             continue
         iv, k = value_intervals_counted(model.source, c, include_nulls=False)
-        out = sample_by_rank(out.withColumnRenamed(f"_p{i}", "_pos"), iv, "_pos", model.non_null[c], k, f"_c{i}")
+        hit = sample_by_rank(base.select("id", F.col(f"_p{i}").alias("_pos")), iv, "_pos", model.non_null[c], k, f"_c{i}")
+        out = out.join(hit, "id")
+    for i, c in enumerate(model.columns):
         rate = 1.0 - model.non_null[c] / model.rows if model.rows else 0.0
-        if rate > 0:
+        if rate > 0 and model.non_null[c]:
             out = out.withColumn(f"_c{i}", F.when(R.uniform(model.seed, c, idc, "null") >= F.lit(rate), F.col(f"_c{i}")))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(model.columns)])

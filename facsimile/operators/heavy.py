@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.text import ntz_micros
 from facsimile.operators.columns import Col, columns_of, normalized
 from facsimile.session import cut_lineage
 
@@ -43,10 +44,6 @@ def _null(t: str) -> Column:
     return F.lit(None).cast(t)
 
 
-def epoch() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def first_bytes(text: Column) -> Column:
     """The first PREFIX bytes of a text as a number of the same order (shorter texts: zero bytes follow)."""
     start = F.substring(F.encode(text, "UTF-8"), 1, PREFIX)
@@ -70,7 +67,7 @@ def _entry(c: Col, prefix: bool) -> Column:
     elif c.kind == "boolean" or _is_integral(c):
         a = c.ref.cast("long")
     elif c.kind == "datetime":
-        a = F.timestamp_diff("MICROSECOND", epoch(), c.ref.cast("timestamp_ntz"))
+        a = ntz_micros(c.ref)
     else:
         num = c.ref.cast("double")
     start = first_bytes(c.ref) if prefix and c.kind == "string" else _null("long")

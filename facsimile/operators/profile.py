@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, rlike_u, word_count
+from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, micros_to_ntz, rlike_u, word_count
 from facsimile.operators import heavy
 from facsimile.operators.columns import NUMERIC, Col, columns_of, kind_of, normalized
 from facsimile.operators.detect import detected_type_expr, type_by_name
@@ -495,7 +495,7 @@ def _count_key_text(cols: list[Col]) -> Column:
         if c.kind == "boolean":
             out = F.when(F.col("position") == c.position, F.col("a").cast("boolean").cast("string")).otherwise(out)
         if c.kind == "datetime":
-            out = F.when(F.col("position") == c.position, F.timestamp_add("MICROSECOND", F.col("a"), heavy.epoch()).cast("string")).otherwise(out)
+            out = F.when(F.col("position") == c.position, micros_to_ntz(F.col("a")).cast("string")).otherwise(out)
     return out
 
 

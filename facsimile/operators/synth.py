@@ -6,8 +6,7 @@ with one column expression per generator, all randomness from the keyed
 uniform ``u(seed, column, id, k)``: the output depends on the seed only,
 never on partitioning or retries. Sampling methods (frequency sampling,
 bootstrap, KDE) map ``floor(u * N)`` onto cumulative ``[start, end)``
-intervals with the bucketed rank join; Catalyst broadcasts an interval table
-only when its measured size allows, and shuffles otherwise. Generated
+intervals: one index and one join for all such columns (``sampling``). Generated
 columns carry positional names until the last projection, so no name of the
 source can meet a row key or a helper column.
 """
@@ -34,6 +33,7 @@ from facsimile.functions import rand as R
 from facsimile.functions.text import capitalize, micros_to_ntz, ntz_micros, word_count
 from facsimile.operators.profile import METHOD_BY_TYPE, column_config, column_stats, kind_of, normalized
 from facsimile.operators.ranking import lookup_by_rank, running_totals
+from facsimile.operators.sampling import Sampled, rank_index, sample, supported
 from facsimile.session import cut_lineage
 
 INTEGRAL = (ByteType, ShortType, IntegerType, LongType)
@@ -323,23 +323,30 @@ def sample_by_rank(rows: DataFrame, intervals: DataFrame, pos_col: str, total: i
     return hit.drop("rank_start", "rank_end", pos_col).withColumnRenamed("_value", out)
 
 
-def _lookup(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> DataFrame:
-    """Add ``p.out`` by sampling the values of the source column."""
-    seed = model.seed
-    q = p.params
-    kde = p.method == "kde"
-    total = q["nn"] if kde else q["rows"]
+def _sampled(model: SynthModel, plans: list[ColumnPlan], rows: DataFrame) -> DataFrame:
+    """(id, generated column) of all columns that sample the source: one index, one join."""
+    chosen = [Sampled(p.position, p.name, p.data_type, nulls=p.method != "kde") for p in plans]
+    index = rank_index(model.source, chosen)
+    idc = F.col("id")
+    ranks = {p.position: R.uniform_index(model.seed, p.name, idc, max(1, index.total(p.position)), "pos") for p in plans}
+    out = sample(rows, index, ranks, lambda position: f"c{position}")
+    for p in plans:
+        if p.method == "kde":
+            total, q = index.total(p.position), p.params
+            bw = (q.get("std") or 0.0) * total ** (-1.0 / 5.0) if total else 0.0
+            x = F.col(p.out).cast("double") + F.lit(bw) * R.normal(model.seed, p.name, idc, "kde")
+            out = out.withColumn(p.out, F.least(F.greatest(x, F.lit(q["min"])), F.lit(q["max"])) if total else F.lit(None).cast("double"))
+    return out
+
+
+def _sampled_whole(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Column) -> DataFrame:
+    """Add ``p.out`` by sampling whole values of a nested or binary column, grouped as they are."""
+    total = p.params["rows"]
     if not total:  # nothing to draw from
-        return base.withColumn(p.out, F.lit(None).cast("double" if kde else p.data_type))
-    iv, k = value_intervals_counted(model.source, p.name, include_nulls=not kde)
-    rows = base.withColumn("_pos", R.uniform_index(seed, p.name, idc, total, "pos"))
-    if not kde:
-        return sample_by_rank(rows, iv, "_pos", total, k, p.out)
-    out = sample_by_rank(rows, iv, "_pos", total, k, "_pick")
-    bw = (q.get("std") or 0.0) * total ** (-1.0 / 5.0)
-    x = F.col("_pick").cast("double") + F.lit(bw) * R.normal(seed, p.name, idc, "kde")
-    x = F.least(F.greatest(x, F.lit(q["min"])), F.lit(q["max"]))
-    return out.withColumn(p.out, x).drop("_pick")
+        return base.withColumn(p.out, F.lit(None).cast(p.data_type))
+    iv, k = value_intervals_counted(model.source, p.name)
+    rows = base.withColumn("_pos", R.uniform_index(model.seed, p.name, idc, total, "pos"))
+    return sample_by_rank(rows, iv, "_pos", total, k, p.out)
 
 
 def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
@@ -359,6 +366,9 @@ def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
             exprs[p.out] = EXPRESSIONS[method](p, model.seed, idc)
         else:
             lookups.append(p)
+    indexed = [p for p in lookups if p.method != "markov_chain" and supported(p.data_type)]
+    if indexed:  # first of all: the other columns are expressions of the row id
+        out = _sampled(model, indexed, out)
     if exprs:
         out = out.withColumns(exprs)
     for p in lookups:
@@ -366,8 +376,8 @@ def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
             from facsimile.operators.markov import markov_column
 
             out = markov_column(model, p, out)
-        else:
-            out = _lookup(model, p, out, idc)
+        elif p not in indexed:
+            out = _sampled_whole(model, p, out, idc)
     return out.select(*[F.col(p.out).alias(p.name) for p in model.columns])
 
 
