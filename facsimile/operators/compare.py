@@ -12,6 +12,7 @@ so no column is ever sorted in a single task.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -34,6 +35,17 @@ def _numeric_for_compare(df: DataFrame) -> set[str]:
     return {c.name for c in columns_of(df) if c.kind in ("numeric", "boolean")}
 
 
+def digest(value: Column) -> list[Column]:
+    """128 bits of a value (two 64-bit hashes); nulls have nulls."""
+    return [F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) for seed in (1, 2)]
+
+
+def digests(df: DataFrame, columns: list[tuple[int, Column]]) -> DataFrame:
+    """(position, d1, d2) of every value that is there, for all columns in one scan."""
+    entries = [F.struct(F.lit(p).alias("position"), *[d.alias(f"d{k}") for k, d in enumerate(digest(v), 1)]) for p, v in columns]
+    return df.select(F.inline(F.array(*entries))).filter("d1 is not null")
+
+
 def compare_stats(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Per common column, mean/std of each side, or distinct counts."""
     cols = common_columns(original, synthetic)
@@ -41,17 +53,24 @@ def compare_stats(original: DataFrame, synthetic: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         df = normalized(df)
-        aggs, entries = [], []
+        aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
+        none = F.lit(None).cast("double")
         for i, c in enumerate(cols):
-            ref = F.col(f"`{c}`")
+            mean, std = none, none
             if c in num:
+                ref = F.col(f"`{c}`")
                 x = ref.cast("int").cast("double") if isinstance(df.schema[c].dataType, BooleanType) else ref.cast("double")
                 aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-                entries.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.lit(None).cast("long").alias("unique")))
-            else:
-                aggs.append(F.count_distinct(ref).alias(f"u{i}"))
-                entries.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"), F.col(f"u{i}").cast("long").alias("unique")))
+                mean, std = F.col(f"m{i}"), F.col(f"s{i}")
+            entries.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), mean.alias("mean"), std.alias("std")))
         out = df.agg(*aggs).select(F.inline(F.array(*entries)))
+        # Distinct values of the other columns: one aggregation of digests for all of them.
+        others = [(i, c) for i, c in enumerate(cols) if c not in num]
+        if others:
+            found = digests(df, [(i, F.col(f"`{c}`")) for i, c in others]).distinct().groupBy("position").agg(F.count(F.lit(1)).alias("unique"))
+            out = out.join(found, "position", "left").withColumn("unique", F.when(F.col("position").isin([i for i, _ in others]), F.coalesce("unique", F.lit(0))))
+        else:
+            out = out.withColumn("unique", F.lit(None).cast("long"))
         return out.select("column", "position", *[F.col(k).alias(f"{tag}_{k}") for k in ("mean", "std", "unique")])
 
     a = side(original, "orig")
@@ -193,11 +212,10 @@ def column_shapes(original: DataFrame, synthetic: DataFrame, categorical: list[s
         parts.append(ks.select("position", F.lit("KSComplement").alias("metric"), (1 - F.col("_d")).alias("score")))
     if disc:
         def long_s(df: DataFrame, side: int) -> DataFrame:
-            entries = [F.struct(F.lit(c.position).alias("position"), F.col(f"`{c.name}`").cast("string").alias("v")) for c in disc]
-            return df.select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull()).withColumn("side", F.lit(side))
+            return digests(df, [(c.position, F.col(f"`{c.name}`").cast("string")) for c in disc]).withColumn("side", F.lit(side))
 
         both = long_s(original, 1).unionByName(long_s(synthetic, -1))
-        freq = both.groupBy("position", "v").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
+        freq = both.groupBy("position", "d1", "d2").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
         tot = freq.groupBy("position").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
         tv = freq.join(F.broadcast(tot), "position").groupBy("position").agg(
             F.coalesce(0.5 * F.sum(F.abs(F.try_divide(F.col("a"), F.col("n1")) - F.try_divide(F.col("b"), F.col("n2")))), F.lit(1.0)).alias("_tv")
@@ -228,6 +246,52 @@ def _bin(x: Column, lo: float | None, hi: float | None) -> Column:
     return F.when(x < F.lit(lo), 0).when(x >= F.lit(hi), BINS + 1).otherwise(F.least(inside, F.lit(BINS)))
 
 
+SMALL = 4096  # distinct values of a column whose values get dense numbers
+CELLS = 1 << 16  # cells of a pair that a task counts in an array
+
+
+def _dense(sides: list[DataFrame], positions: list[int]) -> dict[int, np.ndarray]:
+    """position -> sorted first digests of the values of a column, where there are at most SMALL.
+
+    A value's place in them is its number. One aggregation of digests over both
+    tables; the columns of more values, or with equal first digests, are left out.
+    """
+    values = None
+    for df in sides:
+        part = df.select(F.inline(F.array(*[F.struct(F.lit(p).alias("position"), F.col(f"d{p}").alias("d1"), F.col(f"e{p}").alias("d2")) for p in positions])))
+        values = part if values is None else values.union(part)
+    known = cut_lineage(values.filter("d1 is not null").distinct())
+    sizes = known.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d1").alias("k")).collect()  # one row per column
+    small = [r.position for r in sizes if r.n == r.k <= SMALL]
+    out = {p: [] for p in positions if p in small or p not in {r.position for r in sizes}}
+    for r in known.filter(F.col("position").isin(small)).collect() if small else []:  # at most SMALL per column
+        out[r.position].append(r.d1)
+    return {p: np.sort(np.array(v, np.int64)) for p, v in out.items()}
+
+
+def _count_cells(pairs: list[tuple[int, int, int]], numbers: dict[int, np.ndarray]):
+    """Arrow function: the cells of pairs (number, x, y) in arrays over dense numbers; a null is the last number."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        columns = sorted({p for _, x, y in pairs for p in (x, y)})
+        counts = {k: np.zeros((len(numbers[x]) + 1) * (len(numbers[y]) + 1), np.int64) for k, x, y in pairs}
+        for batch in batches:
+            code = {}
+            for p in columns:
+                digest = batch.column(batch.schema.get_field_index(f"d{p}"))
+                place = np.searchsorted(numbers[p], digest.fill_null(0).to_numpy(zero_copy_only=False))
+                code[p] = np.where(digest.is_null().to_numpy(zero_copy_only=False), len(numbers[p]), place)
+            for k, x, y in pairs:
+                counts[k] += np.bincount(code[x] * (len(numbers[y]) + 1) + code[y], minlength=len(counts[k]))
+        for k, n in counts.items():
+            cells = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), k, np.int32)), pa.array(cells), pa.array(n[cells])], ["pair", "cell", "n"])
+
+    return run
+
+
 def pair_trends(original: DataFrame, synthetic: DataFrame, categorical: list[str] | None = None) -> DataFrame:
     """E7 pair trends over all pairs of common columns (nested ones excepted).
 
@@ -235,8 +299,12 @@ def pair_trends(original: DataFrame, synthetic: DataFrame, categorical: list[str
     booleans and the columns in ``categorical``: contingency similarity, 1 -
     half the sum of differences of the cells' shares; a number beside such a
     column is binned first. Nulls are a value of their own in a cell. A table
-    without rows scores 0, an undefined correlation null. All cells come from
-    one pass over both tables and one aggregation.
+    without rows scores 0, an undefined correlation null.
+
+    Values are digested once per column. Columns of few values then have dense
+    numbers, and each task counts the cells of their pairs in arrays; the cells
+    of the other pairs are counted by the digest of the two digests. No value
+    is shuffled.
     """
     spark = original.sparkSession
     there = {c.name for c in columns_of(synthetic)}
@@ -254,19 +322,42 @@ def pair_trends(original: DataFrame, synthetic: DataFrame, categorical: list[str
         binned = [n for n in num if any(n in (x.name, y.name) for x, y in pairs)]
         row = _as_numbers(original, binned).agg(*[f(F.col(f"`{n}`")).alias(f"{f.__name__}{i}") for i, n in enumerate(binned) for f in (F.min, F.max)]).first() if binned else None
         ranges = {n: (row[f"min{i}"], row[f"max{i}"]) for i, n in enumerate(binned)}
+        used = [c for c in cols if any(c in p for p in pairs)]
+        whole = [c.position for c in used if c.name not in ranges]
 
-        def cells(df: DataFrame, side: int) -> DataFrame:
+        def flat(df: DataFrame) -> DataFrame:
+            """d<position>, e<position>: digests of a column's values; of a binned number its bin (and no e)."""
             mine = {c.name: c for c in columns_of(df)}
-            norm = normalized(df)
-            value = {c.name: (_bin(_shape_value(mine[c.name], df), *ranges[c.name]) if c.name in ranges else F.col(f"`{c.name}`")).cast("string") for c in cols}
-            # Positional names; each value is made once, not once per pair.
-            flat = norm.select(*[value[c.name].alias(f"v{c.position}") for c in cols])
-            entries = [F.struct(F.lit(i).alias("pair"), F.col(f"v{x.position}").alias("x"), F.col(f"v{y.position}").alias("y")) for i, (x, y) in enumerate(pairs)]
-            return flat.select(F.inline(F.array(*entries))).withColumn("side", F.lit(side))
-
-        both = cells(original, 1).unionByName(cells(synthetic, -1))
-        freq = both.groupBy("pair", "x", "y").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == -1).alias("b"))
-        freq = cut_lineage(freq)
+            out = []
+            for c in used:
+                if c.name in ranges:
+                    out.append(_bin(_shape_value(mine[c.name], df), *ranges[c.name]).cast("long").alias(f"d{c.position}"))
+                else:
+                    out += [d.alias(f"{k}{c.position}") for k, d in zip("de", digest(F.col(f"`{c.name}`").cast("string")))]
+            return normalized(df).select(*out)
+
+        sides = [flat(original), flat(synthetic)]
+        numbers = _dense(sides, whole) | {c.position: np.arange(BINS + 2) for c in used if c.name in ranges}
+        size = lambda c: len(numbers[c.position]) + 1
+        dense = [i for i, (x, y) in enumerate(pairs) if x.position in numbers and y.position in numbers and size(x) * size(y) <= CELLS]
+        rest = [i for i in range(len(pairs)) if i not in dense]
+        counted = []
+        for df, mark in zip(sides, (F.lit(1), F.lit(-1))):
+            if dense:
+                wanted = [(i, pairs[i][0].position, pairs[i][1].position) for i in dense]
+                columns = sorted({p for _, x, y in wanted for p in (x, y)})
+                found = df.select(*[f"d{p}" for p in columns]).mapInArrow(_count_cells(wanted, {p: numbers[p] for p in columns}), "pair int, cell bigint, n bigint")
+                counted.append(found.select("pair", F.col("cell").alias("x"), F.lit(0).cast("long").alias("y"), "n", mark.alias("side")))
+            if rest:
+                key = lambda c, k: F.coalesce(F.col(f"{k if c.position in whole else 'd'}{c.position}"), F.lit(0).cast("long"))
+                entries = [F.struct(F.lit(i).alias("pair"), *[F.xxhash64(F.lit(n), key(pairs[i][0], k), key(pairs[i][1], k)).alias(o) for n, k, o in ((1, "d", "x"), (2, "e", "y"))]) for i in rest]
+                found = df.select(F.inline(F.array(*entries))).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+                counted.append(found.select("pair", "x", "y", "n", mark.alias("side")))
+        both = counted[0]
+        for c in counted[1:]:
+            both = both.union(c)
+        on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+        freq = cut_lineage(both.groupBy("pair", "x", "y").agg(on(1).alias("a"), on(-1).alias("b")))
         sizes = freq.groupBy("pair").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
         apart = F.abs(F.try_divide(F.col("a"), F.col("n1")) - F.try_divide(F.col("b"), F.col("n2")))
         # sizes: one row per pair of columns.
