@@ -1,28 +1,42 @@
 """Word-level Markov text: bigram fit (D9) and a distributed walk.
 
 Fit: split every text on whitespace, pair adjacent words, count
-``(lower(word), next word as written)``. One explode and one aggregation.
-
-Walk: every generated row is one walker. A step joins all walkers with the
-successor intervals of their current word (bucketed rank join, so a very
-common word does not put its walkers in one task) and draws the next word
-with the keyed uniform of (row, step). A word without successors restarts
-from a uniformly drawn key. Each step's frontier is checkpointed into the
-shared checkpoint folder, so lineage stays one step long and a lost
-executor recomputes one step only.
+``(lower(word), next word as written)``. One explode and one aggregation. The
+transitions of a word are the cumulative counts of its successors; a word
+without successors restarts from any key, which is one more set of transitions,
+so every step of every walker is the same kind of look-up.
+
+Walk: every generated row is one walker; its draw at a step is the keyed uniform
+of (row, step), so the text of a row depends on nothing else.
+
+* A model of at most ``HELD_ROWS`` transitions and ``HELD_BYTES`` of words (both
+  counted first) is sent to the tasks as arrays, and each task walks its rows
+  all the way, all of them one step at a time: one job for any length.
+* A larger model stays a table. The transitions are dealt out by (word, block of
+  ranks) once, so a very common word does not put its walkers in one task. A job
+  walks ``STEPS`` steps; its joins read the same exchange of the transitions,
+  and the walkers carry the words of these steps. Each job's frontier is a
+  written table, so lineage stays one job long; the words of a row come together
+  at the end, one row for each job.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions import rand as R
 from facsimile.functions.text import capitalize, word_count, words
-from facsimile.operators.ranking import lookup_by_rank, running_totals
+from facsimile.operators.ranking import running_totals
 from facsimile.session import cut_lineage
 
 MIN_TEXTS = 10
+HELD_ROWS, HELD_BYTES = 4_000_000, 1 << 26  # transitions, and bytes of their words, that are sent to the tasks
+STEPS = 8  # steps in a job of a model that stays a table
+WALKED = 1 << 21  # words walked together in a task
 
 
 def bigrams(df: DataFrame, col: str) -> DataFrame:
@@ -45,65 +59,133 @@ class MarkovModel:
         self.texts = stats["texts"]
         self.length = int(stats["avg_words"] or 0)
         # The fitted model is written once to the checkpoint folder: every
-        # walk step reads it instead of recomputing it from the texts.
+        # walk reads it instead of recomputing it from the texts.
         big = cut_lineage(bigrams(src, "_t"))
         totals = big.groupBy("key").agg(F.sum("n").cast("long").alias("total"), F.count(F.lit(1)).alias("succ"))
-        self.totals = cut_lineage(totals.withColumn("bw", F.greatest(F.lit(1), F.floor(F.col("total") / F.col("succ"))).cast("long")))
-        trans = running_totals(big, ["next_word"], weight=F.col("n"), group_cols=["key"])
+        totals = totals.withColumn("bw", F.greatest(F.lit(1), F.floor(F.col("total") / F.col("succ"))).cast("long"))
+        keys = running_totals(totals, ["key"]).select("key", "total", "bw", F.col("rank_start").alias("number"))
+        self.keys = cut_lineage(keys)
+        self.n_keys = self.keys.count()
+        trans = running_totals(big, ["next_word"], weight=F.col("n"), group_cols=["key"]).join(self.keys.select("key", "bw", "number"), "key")
         # Each transition carries what a walker needs at its next word, so a
         # step is one bucketed join and no join on the bare word.
-        ahead = self.totals.select(F.col("key").alias("_k"), F.col("total").alias("next_total"), F.col("bw").alias("next_bw"))
-        self.transitions = cut_lineage(
-            trans.join(self.totals.select("key", "bw"), "key")
-            .join(ahead, F.lower("next_word") == F.col("_k"), "left")
-            .select("key", "next_word", "rank_start", "rank_end", "bw", "next_total", "next_bw")
+        ahead = self.keys.select(F.col("key").alias("next_key"), F.col("total").alias("next_total"), F.col("bw").alias("next_bw"), F.col("number").alias("next_number"))
+        steps = trans.join(ahead, F.lower("next_word") == F.col("next_key"), "left").select(
+            F.lit(False).alias("restart"), "key", "number", "next_word", "rank_start", "rank_end", "bw", "next_key", "next_total", "next_bw", "next_number"
         )
-        keys = running_totals(self.totals.select("key"), ["key"]).select("key", "rank_start", "rank_end")
-        self.keys = cut_lineage(keys.join(self.totals.select("key", "total", "bw"), "key"))
-        self.n_keys = self.keys.count()
+        anywhere = self.keys.select(
+            F.lit(True).alias("restart"), F.lit("").alias("key"), F.lit(self.n_keys).cast("long").alias("number"), F.col("key").alias("next_word"), F.col("number").alias("rank_start"),
+            (F.col("number") + 1).alias("rank_end"), F.lit(1).cast("long").alias("bw"), F.col("key").alias("next_key"), F.col("total").alias("next_total"), F.col("bw").alias("next_bw"), F.col("number").alias("next_number"),
+        )
+        self.transitions = cut_lineage(steps.unionByName(anywhere))
 
     @property
     def usable(self) -> bool:
         return self.texts >= MIN_TEXTS and self.n_keys > 0
 
 
-def _random_key(model: MarkovModel, rows: DataFrame, seed: int, tag: str) -> DataFrame:
-    """(id, cur, total, bw): a uniformly drawn key as ``cur`` (one bucket per key)."""
-    pos = R.uniform_index(seed, model.col, F.col("id"), model.n_keys, tag)
-    hit = lookup_by_rank(model.keys, rows.select("id", pos.alias("_p")), "_p")
-    return hit.select("id", F.col("key").alias("cur"), "total", "bw")
+def _held(model: MarkovModel) -> dict | None:
+    """The transitions as arrays in order of key and rank, or None if they are too many."""
+    rows, size = model.transitions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("next_word")), F.lit(0))).first()
+    if rows > HELD_ROWS or size > HELD_BYTES:
+        return None
+    t = model.transitions.select("number", "next_word", "rank_start", "rank_end", F.coalesce("next_number", F.lit(model.n_keys)).alias("next"), F.when(F.col("restart"), capitalize(F.col("next_word"))).alias("first")).toArrow()
+    order = np.lexsort((t["rank_start"].to_numpy(), t["number"].to_numpy()))
+    t = t.take(order)
+    number, end = t["number"].to_numpy(), t["rank_end"].to_numpy()
+    totals = np.zeros(model.n_keys + 1, np.int64)
+    np.maximum.at(totals, number, end)
+    before = np.cumsum(totals) - totals
+    return {
+        "totals": totals, "before": before, "ends": before[number] + end, "next": t["next"].to_numpy(),
+        "words": t["next_word"].combine_chunks(), "first": t["first"].combine_chunks().drop_null(),
+    }
+
+
+def _uniforms(key: str, ids: list[int], tags: list[str]) -> np.ndarray:
+    """``rand.uniform`` of (key, id, tag), one for each id."""
+    md5 = hashlib.md5
+    return np.array([int(md5(f"{key}{i}:{t}".encode()).hexdigest()[:13], 16) for i, t in zip(ids, tags)], np.float64) / R.TWO_52
+
+
+def _walk_rows(held, key: str, length: int, n_keys: int):
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        model = held.value
+        words = pa.concat_arrays([model["words"], model["first"]])
+        step = max(1, WALKED // length)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.column("id").slice(at, step)
+                ids = part.to_pylist()
+                current = np.floor(_uniforms(key, ids, ["start"] * len(ids)) * n_keys).astype(np.int64)
+                chosen = np.empty((len(ids), length), np.int64)
+                chosen[:, 0] = current + len(model["words"])
+                for j in range(1, length):
+                    lost = current == n_keys
+                    u = _uniforms(key, ids, [f"r{j}" if x else f"m{j}" for x in lost.tolist()])
+                    at_rank = np.floor(u * model["totals"][current]).astype(np.int64)
+                    chosen[:, j] = np.searchsorted(model["ends"], model["before"][current] + at_rank, side="right")
+                    current = model["next"][chosen[:, j]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * length, pa.int32()), words.take(pa.array(chosen.ravel())))
+                yield pa.RecordBatch.from_arrays([part, pc.binary_join(lists, " ")], ["id", "text"])
+
+    return run
 
 
 def walk(model: MarkovModel, ids: DataFrame, seed: int) -> DataFrame:
-    """(id, text) for every id: a walk of ``model.length`` words."""
-    base = ids.select("id")
-    frontier = cut_lineage(_random_key(model, base, seed, "start"))
-    steps = [frontier.select("id", F.lit(0).alias("step"), capitalize(F.col("cur")).alias("word"))]
-    trans = model.transitions
-    for j in range(1, max(model.length, 1)):
-        live = frontier.filter(F.col("total").isNotNull()).withColumn("key", F.lower("cur"))
-        live = live.withColumn("_p", F.floor(R.uniform(seed, model.col, F.col("id"), f"m{j}") * F.col("total")).cast("long"))
-        moved = lookup_by_rank(trans, live.select("id", "key", "bw", "_p"), "_p", group_cols=["key"], bucket_width="bw")
-        moved = moved.select("id", F.col("next_word").alias("cur"), F.col("next_total").alias("total"), F.col("next_bw").alias("bw"))
-        restarted = _random_key(model, frontier.filter(F.col("total").isNull()), seed, f"r{j}")
-        frontier = cut_lineage(moved.unionByName(restarted))
-        steps.append(frontier.select("id", F.lit(j).alias("step"), F.col("cur").alias("word")))
-    long = steps[0]
-    for s in steps[1:]:
-        long = long.unionByName(s)
-    # At most `length` words per id: a bounded group.
-    return long.groupBy("id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "word"))), lambda s: s["word"]), " ").alias("text")
-    )
+    """(id, text) for every id: a walk of ``model.length`` words (at least one)."""
+    held = _held(model)
+    length = max(model.length, 1)
+    if held is None:
+        return _walk_tables(model, ids, seed, length)
+    sent = ids.sparkSession.sparkContext.broadcast(held)
+    return ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_walk_rows(sent, f"{seed}:{model.col}:", length, model.n_keys), "id bigint, text string")
+
+
+def _walk_tables(model: MarkovModel, ids: DataFrame, seed: int, length: int) -> DataFrame:
+    trans = model.transitions.select(
+        "restart", "key", "next_word", "rank_start", "rank_end", "next_key", "next_total", "next_bw",
+        F.explode(F.sequence(F.floor(F.col("rank_start") / F.col("bw")), F.floor((F.col("rank_end") - 1) / F.col("bw")))).alias("block"),
+    )
+    trans = cut_lineage(trans)
+
+    def step(walkers: DataFrame, tag: str, lost_tag: str) -> DataFrame:
+        """One step of all walkers (id, words, key, total, bw); a key of null starts anywhere."""
+        lost = F.col("key").isNull()
+        u = F.when(lost, R.uniform(seed, model.col, F.col("id"), lost_tag)).otherwise(R.uniform(seed, model.col, F.col("id"), tag))
+        drawn = walkers.select(
+            "id", "words", lost.alias("restart"), F.coalesce("key", F.lit("")).alias("key"),
+            F.floor(u * F.coalesce("total", F.lit(model.n_keys))).cast("long").alias("rank"), F.coalesce("bw", F.lit(1)).alias("bw"),
+        ).withColumn("block", F.floor(F.col("rank") / F.col("bw")))
+        met = drawn.drop("bw").join(trans, ["restart", "key", "block"]).filter((F.col("rank") >= F.col("rank_start")) & (F.col("rank") < F.col("rank_end")))
+        return met.select("id", F.concat("words", F.array("next_word")).alias("words"), F.col("next_key").alias("key"), F.col("next_total").alias("total"), F.col("next_bw").alias("bw"))
+
+    none = F.array().cast("array<string>")
+    frontier = ids.select(F.col("id").cast("long").alias("id"), none.alias("words"), *[F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("total", "long"), ("bw", "long"))])
+    found = None
+    for first in range(0, length, STEPS):
+        walkers = frontier.withColumn("words", none)
+        for j in range(first, min(length, first + STEPS)):
+            walkers = step(walkers, f"m{j}", f"r{j}" if j else "start")
+        frontier = cut_lineage(walkers)
+        words = F.col("words") if first else F.concat(F.array(capitalize(F.element_at("words", 1))), F.slice("words", 2, STEPS))
+        part = frontier.select("id", F.lit(first).alias("first"), F.array_join(words, " ").alias("part"))
+        found = part if found is None else found.unionByName(part)
+    # One row for each job per id: a bounded group.
+    parts = F.sort_array(F.collect_list(F.struct("first", "part")))
+    return found.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), " ").alias("text"))
 
 
 def markov_column(synth_model, plan, rows: DataFrame) -> DataFrame:
-    """Generate column ``plan.out`` of ``rows`` (has ``id``) by a walk."""
-    from facsimile.operators.synth import _lookup
+    """Generate column ``plan.out`` of ``rows`` (has ``id``) by a walk; too few texts are sampled."""
+    from facsimile.operators.synth import _sampled
 
     model = MarkovModel(synth_model.source, plan.name)
     if not model.usable:
         fallback = type(plan)(plan.name, plan.position, "sample", plan.data_type, plan.kind, plan.params)
-        return _lookup(synth_model, fallback, rows, F.col("id"))
+        return rows.join(_sampled(synth_model, [fallback], rows.select("id")), "id")
     texts = walk(model, rows.select("id"), synth_model.seed).withColumnRenamed("text", plan.out)
     return rows.join(texts, "id")

@@ -224,11 +224,14 @@ for _t in ["documents", "conversations", "benchmark"]:
 
 # ---- D10 walk ----------------------------------------------------------------------
 
-def q_walk(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    model = MK.MarkovModel(b, "text")
-    n = model.texts
-    return MK.walk(model, spark.range(n), SEED)
+def q_walk(name: str):
+    """As many walks as there are texts, of their mean length."""
+
+    def q(spark, sf_dir):
+        model = MK.MarkovModel(table(spark, sf_dir, name), "text")
+        return MK.walk(model, spark.range(model.texts), SEED)
+
+    return q
 
 
 def walk_sql(t: str, c: str) -> str:
@@ -257,11 +260,12 @@ w AS (
   FROM w LEFT JOIN tot ON tot.key = lower(w.cur), meta
   WHERE w.step + 1 < meta.len
 )
-SELECT id, string_agg(CASE WHEN step = 0 THEN upper(substr(cur, 1, 1)) || lower(substr(cur, 2)) ELSE cur END, ' ' ORDER BY step) AS text
+SELECT id, string_agg(CASE WHEN step = 0 THEN replace(upper(substr(cur, 1, 1)), 'ẞ', 'SS') || lower(substr(cur, 2)) ELSE cur END, ' ' ORDER BY step) AS text
 FROM w GROUP BY id"""
 
 
-add("markov_walk_benchmark", q_walk, walk_sql("benchmark", "text"))
+for _t in ["benchmark", "documents", "conversations"]:
+    add(f"markov_walk_{_t}", q_walk(_t), walk_sql(_t, "text"))
 
 
 # ---- D18 metadata ------------------------------------------------------------------
