@@ -7,9 +7,8 @@ Passes over the source table:
 * one frequency table ``(position, column, value, n)`` over all scalar
   columns -- one shuffle -- that yields distinct counts, top-k values, rare
   categories and sample values;
-* exact percentiles by distributed ranking of the numeric frequency table
-  (no single-task sort, no driver collect), or ``percentile_approx`` when
-  ``exact=False``;
+* exact percentiles by counting passes over order-preserving keys (no sort),
+  or ``percentile_approx`` when ``exact=False``;
 * one scan with all pairwise correlations (k x k sums per task).
 
 Nothing is collected to the driver except when a caller asks for the
@@ -24,10 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, micros_to_ntz, rlike_u, word_count
-from facsimile.operators import heavy
+from facsimile.operators import heavy, radix
 from facsimile.operators.columns import NUMERIC, Col, columns_of, kind_of, normalized
 from facsimile.operators.detect import detected_type_expr, type_by_name
-from facsimile.operators.ranking import lookup_by_rank, running_totals
 from facsimile.session import cut_lineage
 
 # The percentiles of the distribution profile, and the
@@ -284,11 +282,6 @@ def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = Non
 
 # --------------------------------------------------------------- percentiles
 
-def _numeric_long(df: DataFrame, cols: list[Col]) -> DataFrame:
-    entries = [F.struct(F.lit(c.position).alias("position"), _num(c).alias("v")) for c in cols]
-    return normalized(df).select(F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
-
-
 def percentiles(
     df: DataFrame,
     probs: list[float] = DISTRIBUTION_PROBS,
@@ -299,9 +292,9 @@ def percentiles(
 ) -> DataFrame:
     """(position, column, p, value) with linear interpolation between ranks.
 
-    Exact mode ranks the numeric frequency table with ``running_totals``
-    (range-partitioned, no single-task sort) and fetches the two neighbouring
-    order statistics of each target with a bucketed rank join.
+    Exact mode selects the two neighbouring order statistics of each target by
+    counting passes over the values, or over ``freq``, a written table of value
+    counts (position, num, n); see ``radix``.
     """
     cols = [c for c in columns_of(df) if c.kind == "numeric" and (columns is None or c.name in columns)]
     spark = df.sparkSession
@@ -323,44 +316,12 @@ def percentiles(
 
     wanted = [c.position for c in cols]
     if freq is not None:
-        # The shared frequency table already holds (position, num, n) for
-        # numeric columns: no second explode and shuffle.
-        freq = freq.filter(F.col("num").isNotNull() & F.col("position").isin(wanted)).select("position", F.col("num").alias("v"), "n")
+        counted = freq.filter(F.col("num").isNotNull() & F.col("position").isin(wanted)).select("position", "num", "n")
+        found = radix.quantiles(counted, radix.read_long, probs)
     else:
-        freq = _numeric_long(df, cols).groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = freq.groupBy("position").agg(
-        F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).cast("long").alias("_k")
-    )
-    sizes = sizes.withColumn("_bw", F.greatest(F.lit(1), F.floor(F.col("_total") / F.col("_k"))).cast("long"))
-    ranked = running_totals(freq, ["v"], weight=F.col("n"), group_cols=["position"])
-    ranked = ranked.join(F.broadcast(sizes.select("position", "_bw")), "position")
-
-    targets = sizes.select(
-        "position", "_total", "_bw", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    )
-    targets = targets.withColumn("_pos", F.col("p") * (F.col("_total") - 1))
-    targets = targets.select(
-        "position", "p", "_pos", "_bw",
-        F.explode(
-            F.array(
-                F.struct(F.lit("lo").alias("side"), F.floor("_pos").cast("long").alias("r")),
-                F.struct(F.lit("hi").alias("side"), F.ceil("_pos").cast("long").alias("r")),
-            )
-        ).alias("t"),
-    ).select("position", "p", "_pos", "_bw", "t.side", "t.r")
-    hits = lookup_by_rank(
-        ranked.select("position", "v", "rank_start", "rank_end", "_bw"),
-        targets,
-        pos_col="r",
-        group_cols=["position"],
-        bucket_width="_bw",
-    )
-    out = hits.groupBy("position", "p", "_pos").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
-    )
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_pos") - F.floor("_pos"))
-    return out.select("position", names[F.col("position")].alias("column"), "p", value.alias("value"))
+        found = radix.quantiles(normalized(df).select(*[_num(c).alias(f"c{c.position}") for c in cols]), radix.read_wide(wanted), probs)
+    rows = [(c.position, c.name, p, v) for c in cols if c.position in found for p, v in zip(probs, found[c.position])]
+    return spark.createDataFrame(rows, schema)  # one row per column and probability
 
 
 # ------------------------------------------------------------------ sections
