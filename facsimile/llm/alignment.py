@@ -42,7 +42,7 @@ from facsimile.session import shuffle_partitions
 
 RANGE = 1 << 16  # bytes of a range
 ARITY = 8
-SLICE = 1 << 22  # bytes of text, or of ids, handled together
+SLICE = 1 << 20  # bytes of text, or of ids, handled together
 
 _ALIGNED = "id bigint, a binary, b binary, sizes binary"
 _PARTS = ["prefix_a", "prefix_b", "closed_a", "closed_b", "sizes", "suffix_a", "suffix_b"]
@@ -103,6 +103,22 @@ def _group_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.diff(a, prepend=-1), np.diff(b, prepend=-1)], axis=1).astype(np.uint32)
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, place of each number's first byte and of the end): as many bytes 255 as fit, then the rest."""
+    more, rest = np.divmod(numbers.astype(np.int64), 255)
+    places = np.append(0, np.cumsum(more + 1))
+    out = np.full(places[-1], 255, np.uint8)
+    out[places[1:] - 1] = rest
+    return out, places
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many of them end before each byte and in all)."""
+    last = data != 255
+    ends = np.flatnonzero(last)
+    return 255 * (np.diff(ends, prepend=-1) - 1) + data[ends], np.append(0, np.cumsum(last))
+
+
 def _align(vocabulary: str, pieces: str):
     """Texts of one range each."""
 
@@ -112,12 +128,13 @@ def _align(vocabulary: str, pieces: str):
                 spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
                 a, b, _ = both_sides(vocabulary, pieces, *text_bytes(spaced))
                 closed_a, closed_b = np.flatnonzero(a.closes), np.flatnonzero(b.closes)
-                sizes = _group_sizes(closed_a, closed_b)
+                sizes, upto = packed(_group_sizes(closed_a, closed_b).ravel())
                 groups = np.searchsorted(closed_a, a.at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(texts)), binary_array(a.ids.view(np.uint8), 2 * a.at), binary_array(b.ids.view(np.uint8), 2 * b.at), binary_array(sizes.view(np.uint8).ravel(), 8 * groups)],
+                    [batch.column("id").slice(at, len(texts)), binary_array(a.ids.view(np.uint8), 2 * a.at), binary_array(b.ids.view(np.uint8), 2 * b.at), binary_array(sizes, upto[2 * groups])],
                     ["id", "a", "b", "sizes"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
@@ -221,31 +238,33 @@ def _fragments(vocabulary: str, pieces: str):
     return run
 
 
-def _compose_group(found: pa.Table) -> pa.Table:
+def _composed(found: pa.Table) -> tuple[dict, bool, dict]:
+    """(first row, whether all are valid, fragment) of adjacent fragments."""
     rows = sorted(found.to_pylist(), key=lambda r: r["part"])
     whole = _read_fragment(rows[0])
     for r in rows[1:]:
         whole = compose(whole, _read_fragment(r))
-    return pa.Table.from_batches([_fragment_rows([(rows[0]["row"], rows[0]["id"], rows[0]["part"] // ARITY, all(r["valid"] for r in rows), whole)])])
+    return rows[0], all(r["valid"] for r in rows), whole
 
 
-def _whole(batches):
-    """The groups of texts whose fragments are composed: the prefix of a whole text is its first group."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            x = _read_fragment(row)
-            a, b = np.concatenate([x["prefix_a"], x["closed_a"]]), np.concatenate([x["prefix_b"], x["closed_b"]])
-            sizes = np.concatenate([np.array([[len(x["prefix_a"]), len(x["prefix_b"])]], np.uint32), x["sizes"]])
-            out.append([_bytes_of(v) if row["valid"] else b"" for v in (a, b, sizes)])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([r[i] for r in out], pa.binary()) for i in range(3)]], ["id", "a", "b", "sizes"])
+def _compose_group(found: pa.Table) -> pa.Table:
+    first, valid, whole = _composed(found)
+    return pa.Table.from_batches([_fragment_rows([(first["row"], first["id"], first["part"] // ARITY, valid, whole)])])
+
+
+def _compose_text(found: pa.Table) -> pa.Table:
+    """The last level: the prefix of a whole text is its first group."""
+    first, valid, x = _composed(found)
+    a, b = np.concatenate([x["prefix_a"], x["closed_a"]]), np.concatenate([x["prefix_b"], x["closed_b"]])
+    sizes, _ = packed(np.concatenate([np.array([[len(x["prefix_a"]), len(x["prefix_b"])]], np.uint32), x["sizes"]]).ravel())
+    return pa.Table.from_arrays([pa.array([first["id"]], pa.int64()), *[pa.array([_bytes_of(v) if valid else b""], pa.binary()) for v in (a, b, sizes)]], ["id", "a", "b", "sizes"])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pieces: str | None = None, range_bytes: int = RANGE) -> DataFrame:
     """(id, a, b, sizes) per document, written to the shared folder.
 
     ``a`` and ``b`` are its ids by the two vocabularies (little-endian, 16 bits),
-    ``sizes`` the numbers of A and B tokens of each group (pairs of 32 bits).
+    ``sizes`` the numbers of A and B tokens of each group (``unpacked`` reads them).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -258,10 +277,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     if not most:
         return written(short, "aligned")
     found = ranges.repartition(shuffle_partitions(spark), "row", "part").mapInArrow(_fragments(*paths), _FRAGMENT)
-    while most > 1:
+    while most > ARITY:
         found = found.groupBy("row", F.floor(F.col("part") / ARITY).alias("node")).applyInArrow(_compose_group, _FRAGMENT)
         most = -(-most // ARITY)
-    return written(short.union(found.mapInArrow(_whole, _ALIGNED)), "aligned")
+    return written(short.union(found.groupBy("row").applyInArrow(_compose_text, _ALIGNED)), "aligned")
 
 
 def _closing(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -278,8 +297,9 @@ def _parts(batch: pa.RecordBatch):
     """Slices of aligned documents: (first row, number, a, b, sizes) with places of each."""
     for at, a in array_slices(batch, "a", SLICE // 2):
         n = len(a)
-        sizes, places = _flat(batch.column("sizes").slice(at, n), np.uint32)
-        yield at, n, _flat(a, np.uint16), _flat(batch.column("b").slice(at, n), np.uint16), (sizes.reshape(-1, 2).astype(np.int64), places // 2)
+        data, places = text_bytes(batch.column("sizes").slice(at, n))
+        sizes, upto = unpacked(data)
+        yield at, n, _flat(a, np.uint16), _flat(batch.column("b").slice(at, n), np.uint16), (sizes.reshape(-1, 2), upto[places] // 2)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:

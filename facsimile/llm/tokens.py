@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_CHUNKS, KEPT_BYTES = 600_000, 1 << 25
+KEPT_CHUNKS, KEPT_BYTES = 500_000, 1 << 25
 SLICE = 1 << 23  # bytes of text encoded together
 # A chunk that is one pre-token by itself: plain letters, at most one space before them.
 _PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")

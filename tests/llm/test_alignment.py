@@ -106,6 +106,14 @@ def test_pairs_are_bounded_by_the_vocabularies(rows):
     assert (np.diff(pairs) > 0).all() and (counts > 0).all() and len(pairs) <= alignment.most_pairs() < 400_000
 
 
+def test_sizes_of_any_number_are_packed():
+    numbers = np.array([0, 1, 254, 255, 256, 509, 510, 511, 70_000, 1, 0])
+    data, places = alignment.packed(numbers)
+    back, upto = alignment.unpacked(data)
+    assert back.tolist() == numbers.tolist() and upto[places].tolist() == list(range(len(numbers) + 1))
+    assert [x.tolist() for x in alignment.unpacked(alignment.packed(np.zeros(0, np.int64))[0])] == [[], [0]]
+
+
 def test_empty_table(rows):
     assert alignment.summaries(alignment.align(rows([], "doc_id bigint, text string"))).collect() == []
 
