@@ -5,7 +5,10 @@ row). Pass one labels each block by itself:
 
 * blocks inside menus, page headers, footers, sidebars, notices, adverts,
   forms or comments (by element, role, class or id), and blocks outside an
-  ``article`` or ``main`` element where the page has one, are bad;
+  ``article`` or ``main`` element where the page has one, are bad. A class or
+  id counts by whole names that say nothing else (``sidebar-left``, but not
+  ``has-sidebar`` or ``social-science``), and never against an ``article`` or
+  ``main`` inside it, unless the page has another one outside;
 * blocks that are mostly links are bad (inside ``article`` or ``main`` they are
   undecided);
 * of the others, long blocks with many stop words are good; medium ones are
@@ -19,7 +22,7 @@ the nearer one counts (nearly good blocks become good if either is). Blocks
 inside ``article`` or ``main`` look no further than that element, which itself
 counts as good.
 
-Script, style, template and comment contents never become text. Character
+Script, style, template, text field and comment contents never become text. Character
 references are decoded after the tags are gone, white space in a block becomes
 one space, and good blocks are joined in page order by an empty line. Nothing
 else is dropped or cut.
@@ -43,8 +46,8 @@ from pyspark.sql import functions as F
 from facsimile.llm.common import ship, text_of
 from facsimile.llm.tokens import text_slices
 
-# Elements of HTML by their role here.
-RAW = "script style textarea title noscript template svg math iframe head".split()
+# Elements of HTML by their role here. The contents of RAW are not read.
+RAW = "script style textarea title template head".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -59,6 +62,14 @@ MARKS = (
     "menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion related share sharing sidebar signup social "
     "sponsor sponsored subscribe teaser toolbar widget widgets"
 ).split()
+# Words that may stand beside a mark word in a class or id name without
+# changing what it says; any other word (has-sidebar, no-comments, social-science) does.
+PLAIN = (
+    "area article bar block body bottom box button buttons container content css desktop element en fixed float footer form global group header home icon icons inner item items js large left "
+    "link links list main mobile module new nav outer page panel post posts primary right row secondary section simple site small stories story sub text title top ul unit view wrap wrapper"
+).split()
+# Words that make a marked name that of a layout around the article.
+AROUND = "content layout main page wrap wrapper".split()
 # Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be because been but by can could for from had has have he her his how i if in into is it its more no not of on one or our out "
@@ -77,7 +88,8 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>
 _NAME = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _WORD = re.compile(r"[^\W\d_]+")
-_RAW, _VOID, _BLOCK, _BOILER, _MARKS, _ROLES = map(frozenset, (RAW, VOID, BLOCK, BOILERPLATE, MARKS, ROLES))
+_RAW, _VOID, _BLOCK, _BOILER, _MARKS, _ROLES, _PLAIN, _AROUND = map(frozenset, (RAW, VOID, BLOCK, BOILERPLATE, MARKS, ROLES, PLAIN, AROUND))
+OPEN, MARKED, BAD = range(3)  # how a part stands: unmarked; marked by a class, id or role above the article; not the article
 
 
 @dataclass
@@ -86,17 +98,29 @@ class Block:
     linked: int  # characters in links
     main: int  # number of the article or main element, 0: outside
     bad: bool  # inside a part that is not the article
+    marked: bool  # the article or main element itself lies in a marked part
     heading: bool
     label: str = ""
 
 
+def _says(name: str) -> bool:
+    """Whether one class or id name marks a part that is not the article."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    marks = [w in _MARKS for w in words]
+    if not any(marks):
+        return False
+    if words[0] in _AROUND and words[-1] in _AROUND:  # content-sidebar-wrap
+        return False
+    return all(m or w in _PLAIN or len(w) == 1 or w.isdigit() for w, m in zip(words, marks))
+
+
 def _marked(attributes: str) -> bool:
     for m in _NAME.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value.strip() in _ROLES:
                 return True
-        elif not _MARKS.isdisjoint(re.split(r"[\s_-]+", value)):
+        elif any(map(_says, value.split())):
             return True
     return False
 
@@ -106,16 +130,16 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, inside a bad part, main element
+    stack: list[tuple[str, int, int, bool]] = []  # tag, how the part stands, main element, whether that is marked
     open_tags: Counter = Counter()
     state = {"link": False, "breaks": 0, "mains": 0}
 
     def end_block():
         text = " ".join(references.unescape("".join(pieces)).split())
         if text:
-            tag, bad, main = stack[-1] if stack else ("", False, 0)
+            tag, stands, main, marked = stack[-1] if stack else ("", OPEN, 0, False)
             size = len(" ".join(references.unescape("".join(linked)).split()))
-            out.append(Block(text, size, main, bad, tag in HEADINGS))
+            out.append(Block(text, size, main, stands == BAD or (stands == MARKED and not main), marked, tag in HEADINGS))
         pieces.clear()
         linked.clear()
         state["breaks"] = 0
@@ -150,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _RAW:
             if not closing and tag != "head":
                 end = _RAW_END[tag].search(page, at)
-                at = end.start() if end else size if tag in RAW[:4] else at
+                at = end.start() if end else size
             if tag in ("title", "head"):
                 end_block()
             continue
@@ -168,14 +192,17 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in _BLOCK:
                     state["link"] = False
         elif tag not in _VOID and not m[0].endswith("/>"):
-            _, bad, main = stack[-1] if stack else ("", False, 0)
-            if tag in ("article", "main") and not main and not bad:
+            _, stands, main, marked = stack[-1] if stack else ("", OPEN, 0, False)
+            if tag in ("article", "main") and not main and stands != BAD:
                 state["mains"] += 1
-                main = state["mains"]
-            bad = bad or tag in _BOILER or (tag == "header" and not main) or (bool(m[3]) and tag not in ("html", "body", "article", "main") and _marked(m[3]))
+                main, marked = state["mains"], stands == MARKED
+            elif tag in _BOILER or (tag == "header" and not main):
+                stands = BAD
+            elif m[3] and tag not in ("html", "body", "article", "main") and stands != BAD and _marked(m[3]):
+                stands = BAD if main else MARKED
             if tag in ("p", "li", "a") and stack and stack[-1][0] == tag:
                 open_tags[stack.pop()[0]] -= 1  # these do not nest
-            stack.append((tag, bad, main))
+            stack.append((tag, stands, main, marked))
             open_tags[tag] += 1
     end_block()
     return out
@@ -183,6 +210,10 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> list[Block]:
     """The good blocks. Labels: good, bad; in between near and short."""
+    if any(b.main and not b.marked and not b.bad for b in blocks):
+        for b in blocks:  # the article is elsewhere: these are teasers or comments
+            b.bad = b.bad or b.marked
+            b.main = 0 if b.marked else b.main
     has_main = any(b.main for b in blocks)
     dense = []  # stop words' share of each block
     spoken = long = 0  # characters of blocks with stop words, and of all that stop words are to judge

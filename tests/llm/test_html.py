@@ -1,6 +1,11 @@
 """Page extraction on the given pages' shape and on pages without an article element."""
 
+from html.parser import HTMLParser
+
+import pytest
+
 from facsimile.llm import html as X
+from tests.conftest import SF
 
 PROSE = "This is the kind of text that has a lot of the words which are in most of the sentences, and it goes on for long enough to be sure that it is not a menu or a notice of any kind. It has one more sentence as well."
 
@@ -57,3 +62,78 @@ def test_other_languages_are_judged_by_length_and_links():
         long = f"{text} {text}"
         menu = "".join(f"<div><a href=/{i}>{text}</a></div>" for i in range(3))
         assert X.main_text(f"<div class=menu>{long}</div>{menu}<h2>Most</h2><p>{long}</p><p>{text}</p><p>{long}</p><footer>{long}</footer>") == "\n\n".join(["Most", long, text, long])
+
+
+WRAPPERS = ["has-sidebar", "content-sidebar-wrap", "layout with-sidebar", "page no-comments", "comment-free", "social-science", "sidebar", "menu footer", "related"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_wrappers_do_not_outrank_the_article(name, kind):
+    article = f"<h1>Head</h1><p>{PROSE}</p><p>One.</p>"
+    for tag in ("article", "main"):
+        page = f'<body><nav>x</nav><div {kind}="{name}"><{tag}>{article}</{tag}><div class="sidebar-left">{PROSE}</div></div><footer>y</footer>'
+        assert X.main_text(page) == "\n\n".join(["Head", PROSE, "One."])
+
+
+@pytest.mark.parametrize("name", WRAPPERS[:6])
+def test_wrappers_of_pages_without_article(name):
+    assert X.main_text(f'<div class="{name}"><p>{PROSE}</p></div><div class=ad>{PROSE}</div>') == PROSE
+
+
+@pytest.mark.parametrize("name", ["related", "comments-list", "sidebar", "post-footer widget", "c-ad__box", "cookie-notice", "newsletter-signup"])
+def test_marked_parts_stay_out(name):
+    other = f"<article><p>{PROSE}</p></article>"
+    page = f'<div class="{name}">{other}</div><article><p>Own text.</p><div class="{name}"><p>{PROSE}</p></div></article><div class="{name}">{other}</div>'
+    assert X.main_text(page) == "Own text."
+
+
+def test_articles_in_boilerplate_elements_stay_out():
+    assert X.main_text(f"<aside><article>{PROSE}</article></aside><article>Own.</article><footer><main>{PROSE}</main></footer>") == "Own."
+
+
+def test_formulas_drawings_and_replaced_parts_keep_their_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p><svg><text>Label</text><style>a{}</style></svg></p><noscript><p>Shown <img src=a> without scripts.</p></noscript><iframe>inside</iframe></article>"
+    assert X.main_text(page) == "\n\n".join(["Let x=2 be.", "Label", "Shown without scripts.", "inside"])
+
+
+class Tree(HTMLParser):
+    """Blocks of the article of a well-formed page, kept by a stack of element names."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.open = [], [], False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            return self.handle_data(" ")
+        if tag in ("p", "li") and tag in self.stack:
+            self.handle_endtag(tag)
+        if tag in ("p", "li", "h1", "h2", "div", "article", "ul"):
+            self.open = False
+        self.stack.append("ad" if ("class", "ad") in attrs else tag)
+
+    def handle_endtag(self, tag):
+        name = tag if tag in self.stack else "ad" if tag == "div" and "ad" in self.stack else None
+        if name:
+            while self.stack.pop() != name:
+                pass
+        if tag in ("p", "li", "h1", "h2", "div", "article", "ul"):
+            self.open = False
+
+    def handle_data(self, data):
+        if "article" in self.stack and not {"ad", "script", "style", "nav", "footer"} & set(self.stack):
+            if not self.open:
+                self.blocks.append("")
+                self.open = True
+            self.blocks[-1] += data
+
+
+def test_all_given_pages_equal_a_plain_reading(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.id: r.text for r in X.extract(pages).collect()}
+    for r in pages.collect():
+        tree = Tree()
+        tree.feed(r.html)
+        tree.close()
+        assert got[r.page_id] == "\n\n".join(t for t in (" ".join(b.split()) for b in tree.blocks) if t), r.page_id
