@@ -31,17 +31,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.llm.common import ship, written
-from facsimile.llm.tokens import array_slices
+from facsimile.llm.tokens import array_slices, hashes_of
 from facsimile.llm.words import ALPHANUMERIC, Words, find_words
 
 SLICE = 1 << 22  # bytes of text read together
 MIN_BITS, MAX_BITS = 16, 27  # base-2 logarithm of the bit table's size
-BITS_PER_FINGERPRINT = 64
+BITS_PER_FINGERPRINT = 512
 SALTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 _STIR = np.uint64(0xD6E8FEB86659FD93)  # any odd number
@@ -54,8 +53,7 @@ def _stirred(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.distinct.to_pylist()), np.uint64, len(words.distinct))
-    return own[words.codes]
+    return _stirred(hashes_of(words.distinct))[words.codes]
 
 
 def gram_hashes(hashes: np.ndarray, gram: int) -> np.ndarray:
@@ -101,9 +99,8 @@ def _item_windows(span: int, gram: int):
                     first, kept = windows(words, hashes, m, min(m, gram) if m == span else m)
                     ours = sizes[item_of[first]] >= span if m == span else sizes[item_of[first]] == m
                     first, kept = first[ours], kept[ours]
-                    lines = [words.line(a, a + m) for a in first.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(kept.view(np.int64)), pa.array([m] * len(first), pa.int32()), pa.array(lines, pa.string()), items.take(pa.array(item_of[first]))],
+                        [pa.array(kept.view(np.int64)), pa.array([m] * len(first), pa.int32()), words.lines(first, m), items.take(pa.array(item_of[first]))],
                         ["fp", "size", "line", "item"],
                     )
 
@@ -117,18 +114,19 @@ def _hits(bits: bytes, log_bits: int, sizes: list[int], span: int, gram: int):
             for at, texts in array_slices(batch, "text", SLICE):
                 words = find_words(texts, ALPHANUMERIC, lower=True)
                 hashes = word_hashes(words)
-                found = []
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), words.lines(words.places[:0], 1))]
                 for m in sizes:
                     first, kept = windows(words, hashes, m, gram if m == span else m)
                     bit = (kept >> np.uint64(64 - log_bits)).astype(np.int64)
                     hit = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    found.append((first[hit], kept[hit], np.full(int(hit.sum()), m)))
-                first, kept, size = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    found.append((first[hit], kept[hit], np.full(int(hit.sum()), m), words.lines(first[hit], m)))
+                *parts, lines = zip(*found)
+                first, kept, size = map(np.concatenate, parts)
                 by = np.lexsort((size, first))
                 first, kept, size = first[by], kept[by], size[by]
-                lines = [words.line(a, a + m) for a, m in zip(first.tolist(), size.tolist())]
+                lines = pa.concat_arrays(lines).take(pa.array(by))
                 text = np.searchsorted(words.places, first, side="right") - 1
-                fields = [pa.array(kept.view(np.int64)), pa.array(first - words.places[text]), pa.array(size, pa.int32()), pa.array(lines, pa.string())]
+                fields = [pa.array(kept.view(np.int64)), pa.array(first - words.places[text]), pa.array(size, pa.int32()), lines]
                 hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, names=["fp", "at", "size", "line"]))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), pa.array(np.diff(words.places), pa.int64()), hits], ["id", "n_words", "hits"])
 

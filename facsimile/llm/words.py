@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from facsimile.llm.tokens import binary_array, text_bytes
 
@@ -36,16 +37,19 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.places) - 1), np.diff(self.places))
 
-    def line(self, first: int, last: int) -> str:
-        """Words first..last-1 (of one text), joined by spaces."""
-        return " ".join(self.distinct.take(pa.array(self.codes[first:last])).cast(pa.string()).to_pylist())
+    def lines(self, first: np.ndarray, size: int) -> pa.Array:
+        """The ``size`` words from each of the words ``first`` on, joined by spaces."""
+        chosen = self.codes[(first[:, None] + np.arange(size)).ravel()] if len(first) else self.codes[:0]
+        words = self.distinct.take(pa.array(chosen)).cast(pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * size, pa.int32()), words), " ")
 
 
 def find_words(texts: pa.Array, is_word: np.ndarray, lower: bool = False) -> Words:
     """Words are runs of bytes for which ``is_word`` holds; ``lower`` changes A-Z first."""
     data, at = text_bytes(texts)
     if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        capital = (data - np.uint8(65)) < 26
+        data = data | (capital.view(np.uint8) << 5)
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = is_word[data]
     new_text = np.zeros(len(data) + 1, bool)
