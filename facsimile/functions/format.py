@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 
-def _fixed(x: Column, decimals: int) -> Column:
-    scale = float(10**decimals)
-    return F.format_string(f"%.{decimals}f", F.bround(x * scale, 0) / scale)
+def fixed(x: Column, decimals: int) -> Column:
+    """A double with so many decimals; its exact binary value is rounded (half to even), so 1.115 gives 1.11."""
+    return F.replace(F.format_number(x.cast("double"), decimals), F.lit(","), F.lit(""))
 
 
 def compact_number(x: Column, decimals: int = 2) -> Column:
@@ -17,13 +17,12 @@ def compact_number(x: Column, decimals: int = 2) -> Column:
     thousands separators."""
     v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
     a = F.abs(v)
-    small = F.format_number(F.bround(v, decimals), decimals)
     return (
         F.when(v.isNull(), F.lit("N/A"))
-        .when(a >= 1e9, F.concat(_fixed(v / 1e9, decimals), F.lit("B")))
-        .when(a >= 1e6, F.concat(_fixed(v / 1e6, decimals), F.lit("M")))
-        .when(a >= 1e3, F.concat(_fixed(v / 1e3, decimals), F.lit("K")))
-        .otherwise(small)
+        .when(a >= 1e9, F.concat(fixed(v / 1e9, decimals), F.lit("B")))
+        .when(a >= 1e6, F.concat(fixed(v / 1e6, decimals), F.lit("M")))
+        .when(a >= 1e3, F.concat(fixed(v / 1e3, decimals), F.lit("K")))
+        .otherwise(F.format_number(v, decimals))
     )
 
 

@@ -39,6 +39,11 @@ def uniform(seed: int, name: str, id_col: Column, k: int | str | None = None) ->
     return F.coalesce(u, F.lit(0.0))
 
 
+def row_uniform(key_cols: list[str], seed: int, name: str = "sample") -> Column:
+    """Uniform double of a row, keyed by the text of its key columns (nulls are left out of it)."""
+    return uniform(seed, name, F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key_cols]))
+
+
 def uniform_index(seed: int, name: str, id_col: Column, n: int | Column, k: int | str | None = None) -> Column:
     """Uniform integer in [0, n)."""
     n_col = n if isinstance(n, Column) else F.lit(int(n))

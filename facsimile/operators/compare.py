@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from facsimile.functions.rand import row_uniform
 from facsimile.functions.text import ntz_micros
 from facsimile.operators.profile import columns_of, correlation_matrix, normalized
 from facsimile.operators.ranking import running_totals
+from facsimile.operators.reservoir import reservoir
 from facsimile.session import cut_lineage
 
 ORIGINAL, SYNTHETIC = "original", "synthetic"
@@ -107,6 +109,18 @@ def histogram(original: DataFrame, synthetic: DataFrame, column: str, bins: int
     )
 
 
+def raw_values(original: DataFrame, synthetic: DataFrame, column: str, key_cols: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """Up to ``n`` values of each side (side, rank, value), drawn by a keyed uniform of ``key_cols``.
+
+    Without key columns the draws depend on all columns of a row.
+    """
+    parts = []
+    for df, side in ((original, ORIGINAL), (synthetic, SYNTHETIC)):
+        draw = row_uniform(key_cols or df.columns, seed, side)
+        parts.append(reservoir(normalized(df), F.col(f"`{column}`"), draw, n).select(F.lit(side).alias("side"), "rank", "value"))
+    return parts[0].unionByName(parts[1])
+
+
 def category_counts(original: DataFrame, synthetic: DataFrame, column: str, k: int = 20) -> DataFrame:
     """Top-k value counts of each side (ties: smaller value first)."""
     from pyspark.sql import Window

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.format import fixed
 from facsimile.functions.text import DIGIT_PATTERN, EMAIL_VALUE_PATTERN, SPECIAL_PATTERN, micros_to_ntz, rlike_u, word_count
 from facsimile.operators import heavy, radix
 from facsimile.operators.columns import NUMERIC, Col, columns_of, kind_of, normalized
@@ -562,7 +563,7 @@ def recommendations(stats: DataFrame) -> DataFrame:
     """Warnings for many nulls, notes for id / email / free-text columns."""
     warn = stats.filter(F.col("null_percentage") > 20).select(
         "column", "position", F.lit(0).alias("_o"), F.lit("warning").alias("type"),
-        F.format_string("High null percentage (%s%%). Consider handling missing values.", _fixed(F.col("null_percentage"), 1)).alias("message"),
+        F.format_string("High null percentage (%s%%). Consider handling missing values.", fixed(F.col("null_percentage"), 1)).alias("message"),
     )
     # The informational messages per type.
     msgs = {
@@ -577,12 +578,6 @@ def recommendations(stats: DataFrame) -> DataFrame:
     return warn.unionByName(info)
 
 
-def _fixed(x: Column, decimals: int) -> Column:
-    """Number as text with a fixed count of decimals (round half to even)."""
-    scale = float(10**decimals)
-    return F.format_string(f"%.{decimals}f", F.bround(x * scale, 0) / scale)
-
-
 def column_config(stats: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """B21 + B22: (column, detected_type, generation_method, preserve_statistics, include).
 
@@ -598,7 +593,7 @@ def column_config(stats: DataFrame, overrides: DataFrame | None = None) -> DataF
     if overrides is None:
         return cfg
     o = overrides.select(*[F.col(c).alias(f"o_{c}") if c != "column" else F.col(c) for c in overrides.columns])
-    out = cfg.join(F.broadcast(o), "column", "left")
+    out = cfg.join(o, "column", "left")
     for c in ("detected_type", "generation_method", "include"):
         if f"o_{c}" in o.columns:
             out = out.withColumn(c, F.coalesce(F.col(f"o_{c}"), F.col(c)))
@@ -612,10 +607,10 @@ def summary(stats: DataFrame) -> DataFrame:
         F.col("column").alias("Column"),
         F.col("detected_type").alias("Type"),
         F.col("non_null").alias("Non_Null"),
-        F.concat(_fixed(F.col("null_percentage"), 1), F.lit("%")).alias("Null_Pct"),
+        F.concat(fixed(F.col("null_percentage"), 1), F.lit("%")).alias("Null_Pct"),
         F.col("unique_count").alias("Unique"),
-        F.when(numeric, _fixed(F.col("mean"), 2)).alias("Mean"),
-        F.when(numeric, _fixed(F.col("std"), 2)).alias("Std"),
+        F.when(numeric, fixed(F.col("mean"), 2)).alias("Mean"),
+        F.when(numeric, fixed(F.col("std"), 2)).alias("Std"),
         "position",
     )
 

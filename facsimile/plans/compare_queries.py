@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facsimile.functions import rand as R
 from facsimile.operators import compare as C
 from facsimile.operators import synth as S
 from facsimile.plans.common import r_sql, rounded
@@ -91,6 +92,18 @@ add(
 )
 
 
+# E2 raw values: up to 1000 of each side by keyed draws (the limit is the feature).
+def raw_sql(a: str, b: str, c: str, keys: list[str], n: int = 1000, seed: int = 42) -> str:
+    key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    side = lambda src, name: f"SELECT '{name}' AS side, CAST(rank AS INTEGER) AS rank, value FROM (SELECT CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY {R.sql_uniform(seed, name, key)}, CAST({c} AS VARCHAR)) AS rank FROM {src} WHERE {c} IS NOT NULL) WHERE rank <= {n}"
+    return side(a, "original") + " UNION ALL " + side(b, "synthetic")
+
+
+_LINE = ["l_orderkey", "l_linenumber"]
+add("compare_raw_values_lineitem_halves", lambda spark, sf_dir: C.raw_values(*_halves(spark, sf_dir), "l_quantity", _LINE), raw_sql(LI_A, LI_B, "l_quantity", _LINE))
+add("compare_raw_values_lineitem_halves_flag", lambda spark, sf_dir: C.raw_values(*_halves(spark, sf_dir), "l_returnflag", _LINE), raw_sql(LI_A, LI_B, "l_returnflag", _LINE))
+
+
 # ---- E3 -------------------------------------------------------------------------
 
 def cat_sql(a: str, b: str, c: str, k: int = 20) -> str:

@@ -6,19 +6,23 @@ per column, UNION ALL), used only to check the Spark operators.
 
 from __future__ import annotations
 
-from facsimile.operators.detect import TYPE_NAME_RULES
 from facsimile.plans.common import r_sql
 from facsimile.plans.tables import TABLE_COLUMNS
 
 EMAIL_RE = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
 
+# The types that the names of the test tables' columns say.
+NAMED = {
+    "id": ["conv_id", "doc_id", "event_id", "item_id", "page_id", "user_id", "vec_id"],
+    "name": ["c_name", "n_name", "p_name", "r_name", "s_name"],
+    "email": ["contact_email"],
+    "phone": ["phone"],
+}
+
+
 def _name_type(name: str) -> str | None:
-    low = name.lower()
-    for typ, frags in TYPE_NAME_RULES:
-        if any(f in low for f in frags):
-            return typ
-    return None
+    return next((kind for kind, names in NAMED.items() if name in names), None)
 
 
 def _lit(v: str | None) -> str:

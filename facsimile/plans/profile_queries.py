@@ -335,6 +335,11 @@ for _t in ["lineitem", "orders", "customer", "part"]:
 
 # ---- B20 recommendations, B21/B22 configuration, B23 summary -------------------
 
+# The messages and methods per type, as the twins expect them.
+METHODS = {
+    "continuous": "gaussian_copula", "categorical": "frequency_sampling", "text": "faker_text", "free_text": "markov_chain", "datetime": "datetime_range", "boolean": "bernoulli",
+    "id": "uuid", "email": "faker_email", "phone": "faker_phone", "address": "faker_address", "name": "faker_name",
+}
 INFO = {
     "id": "Detected as ID column. Will generate unique sequential or UUID values.",
     "email": "Detected as email. Will generate realistic fake email addresses.",
@@ -347,7 +352,7 @@ def recommendations_sql(t: str) -> str:
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INFO.items())
     return f"""WITH s AS ({stats})
 SELECT "column", position, 'warning' AS type,
-  'High null percentage (' || printf('%.1f', round_even(null_percentage * 10, 0) / 10) || '%). Consider handling missing values.' AS message
+  'High null percentage (' || printf('%.1f', null_percentage) || '%). Consider handling missing values.' AS message
 FROM s WHERE null_percentage > 20
 UNION ALL
 SELECT "column", position, 'info', CASE detected_type {cases} END FROM s WHERE detected_type IN ({", ".join(f"'{k}'" for k in INFO)})"""
@@ -363,8 +368,8 @@ for _t in ["documents", "events", "labels", "customer"]:
 
 def config_sql(t: str) -> str:
     stats = column_stats_sql(t)
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.METHOD_BY_TYPE.items())
-    return f"""SELECT "column", position, detected_type, coalesce(CASE detected_type {cases} END, '{P.DEFAULT_METHOD}') AS generation_method,
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METHODS.items())
+    return f"""SELECT "column", position, detected_type, coalesce(CASE detected_type {cases} END, 'sample') AS generation_method,
   true AS preserve_statistics, true AS include FROM ({stats})"""
 
 
@@ -379,9 +384,9 @@ for _t in ["customer", "orders", "events", "documents", "lineitem"]:
 def summary_sql(t: str) -> str:
     stats = column_stats_sql(t)
     return f"""SELECT "column" AS "Column", detected_type AS "Type", non_null AS "Non_Null",
-  printf('%.1f', round_even(null_percentage * 10, 0) / 10) || '%' AS "Null_Pct", unique_count AS "Unique",
-  CASE WHEN mean IS NOT NULL THEN printf('%.2f', round_even(mean * 100, 0) / 100) END AS "Mean",
-  CASE WHEN mean IS NOT NULL THEN printf('%.2f', round_even(std * 100, 0) / 100) END AS "Std", position
+  printf('%.1f', null_percentage) || '%' AS "Null_Pct", unique_count AS "Unique",
+  CASE WHEN mean IS NOT NULL THEN printf('%.2f', mean) END AS "Mean",
+  CASE WHEN mean IS NOT NULL THEN printf('%.2f', std) END AS "Std", position
 FROM ({stats})"""
 
 
@@ -412,3 +417,103 @@ def _digest_query(name: str):
 for _t in ["part", "customer"]:
     add(f"profile_digest_{_t}", _digest_query(_t), digest_sql(_t))
 
+
+
+# ---- B19 with hits: amounts derived from lineitem --------------------------------
+
+AMOUNTS = {
+    "l_extendedprice": "l_extendedprice", "net": "l_extendedprice * (1 - l_discount)", "tax_amount": "l_extendedprice * l_tax", "l_tax": "l_tax",
+    "rest": "100 - l_quantity", "l_quantity": "l_quantity", "l_linenumber": "l_linenumber",
+}
+
+
+def q_high_amounts(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(c) for c, e in AMOUNTS.items()])
+    return P.high_correlations(P.correlation_matrix(df), df)
+
+
+def high_amounts_sql() -> str:
+    names = list(AMOUNTS)
+    parts = [f"SELECT {_lit(a)} AS column1, {_lit(b)} AS column2, corr({a}, {b}) AS r FROM t" for i, a in enumerate(names) for b in names[i + 1 :]]
+    cols = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in AMOUNTS.items())
+    return f"WITH t AS (SELECT {cols} FROM lineitem) SELECT column1, column2, round_even(r, 3) AS correlation FROM ({' UNION ALL '.join(parts)}) WHERE abs(r) > 0.5"
+
+
+add("profile_high_correlations_amounts", q_high_amounts, high_amounts_sql())
+
+
+# ---- B22 override -------------------------------------------------------------------
+
+OVERRIDES = [("l_quantity", "categorical", "kde", None), ("l_shipdate", None, None, False), ("l_tax", None, "sample", True)]
+
+
+def q_override(spark, sf_dir):
+    stats = P.column_stats(table(spark, sf_dir, "lineitem"), quartiles=False)
+    return P.column_config(stats, spark.createDataFrame(OVERRIDES, "column string, detected_type string, generation_method string, include boolean"))
+
+
+def override_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else _lit(v) for v in r) + ")" for r in OVERRIDES)
+    return f"""SELECT c."column", c.position, coalesce(o.detected_type, c.detected_type) AS detected_type, coalesce(o.generation_method, c.generation_method) AS generation_method,
+  c.preserve_statistics, coalesce(o.include, c.include) AS include
+FROM ({config_sql("lineitem")}) c LEFT JOIN (VALUES {rows}) o("column", detected_type, generation_method, include) ON o."column" = c."column\""""
+
+
+add("profile_config_override_lineitem", q_override, override_sql())
+
+
+# ---- B24 the full profile, its sections as rows of text --------------------------------
+
+def q_full(name: str):
+    def q(spark, sf_dir):
+        p = P.profile(table(spark, sf_dir, name))
+        none = F.lit("")
+        row = lambda section, column, item, value: [F.lit(section).alias("section"), column.alias("column"), item.cast("string").alias("item"), value.cast("string").alias("value")]
+        c = F.col
+        parts = [
+            *[p.overview.select(*row("overview", none, F.lit(m), c(m))) for m in ("n_rows", "n_columns", "duplicate_rows", "complete_rows", "total_missing")],
+            *[p.columns.select(*row("columns", c("column"), F.lit(m), c(m))) for m in ("non_null", "null_count", "unique_count", "detected_type")],
+            p.percentiles.select(*row("percentiles", c("column"), F.format_string("%.2f", "p"), F.round(c("value")).cast("long"))),
+            p.distribution.select(*row("distribution", c("column"), none, c("distribution"))),
+            p.categories.select(*row("categories", c("column"), c("rank"), F.concat("value", F.lit(" x "), c("count")))),
+            p.most_common.select(*row("most_common", c("column"), c("rank"), F.concat("value", F.lit(" x "), c("count")))),
+            *[p.text.select(*row("text", c("column"), F.lit(m), c(m))) for m in ("min_length", "max_length")],
+            p.temporal.select(*row("temporal", c("column"), none, c("date_range_days"))),
+            p.sample_values.select(*row("sample_values", c("column"), c("rank"), c("value"))),
+            p.high_correlations.select(*row("high_correlations", c("column1"), c("column2"), c("correlation"))),
+            p.recommendations.select(*row("recommendations", c("column"), c("type"), c("message"))),
+            p.config.select(*row("config", c("column"), none, c("generation_method"))),
+        ]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    return q
+
+
+def full_sql(t: str) -> str:
+    stats = column_stats_sql(t)
+    text = lambda e: f"CAST({e} AS VARCHAR)"
+    kinds = [k for _, k in TABLE_COLUMNS[t]]
+    parts = [
+        *[f"SELECT 'overview' AS section, '' AS \"column\", '{m}' AS item, {text(m)} AS value FROM ({overview_sql(t)})" for m in ("n_rows", "n_columns", "duplicate_rows", "complete_rows", "total_missing")],
+        *[f"SELECT 'columns', \"column\", '{m}', {text(m)} FROM ({stats})" for m in ("non_null", "null_count", "unique_count", "detected_type")],
+        f"SELECT 'percentiles', \"column\", printf('%.2f', p), {text('CAST(round(value) AS BIGINT)')} FROM ({percentiles_sql(t)})",
+        f"SELECT 'distribution', \"column\", '', distribution FROM ({distribution_sql(t)})",
+        f"SELECT 'categories', \"column\", {text('rank')}, value || ' x ' || count FROM ({categories_sql(t)})",
+        f"SELECT 'most_common', \"column\", {text('rank')}, value || ' x ' || count FROM ({_top_sql(t, 5)})",
+        f"SELECT 'sample_values', \"column\", {text('rank')}, value FROM ({sample_values_sql(t)})",
+        f"SELECT 'high_correlations', column1, column2, {text('correlation')} FROM ({high_corr_sql(t)})",
+        f"SELECT 'recommendations', \"column\", type, message FROM ({recommendations_sql(t)})",
+        f"SELECT 'config', \"column\", '', generation_method FROM ({config_sql(t)})",
+    ]
+    if "string" in kinds:
+        parts += [f"SELECT 'text', \"column\", '{m}', {text(m)} FROM ({text_sql(t)})" for m in ("min_length", "max_length")]
+    if "datetime" in kinds:
+        parts.append(f"SELECT 'temporal', \"column\", '', {text('date_range_days')} FROM ({temporal_sql(t)})")
+    return "\nUNION ALL\n".join(parts)
+
+
+for _t in ["orders", "documents", "part"]:
+    add(f"profile_full_{_t}", q_full(_t), full_sql(_t))

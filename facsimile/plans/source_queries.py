@@ -110,6 +110,39 @@ add("source_parquet_roundtrip_orders", q_parquet, "SELECT * FROM orders")
 add("source_table_sink_supplier", q_table, "SELECT *, (SELECT count(*) FROM supplier) AS rows_written FROM supplier")
 
 
+# Types inferred from a CSV written from the table; A10: preview of a result; A3: a catalog table's columns.
+def q_csv_inferred(spark, sf_dir):
+    src = table(spark, sf_dir, "customer")
+    read = io.read_csv(spark, io.write_csv(src, _scratch(spark)))
+    types = ",".join(f"{c}:{t}" for c, t in read.dtypes)
+    return read.withColumn("types", F.lit(types))
+
+
+add("source_csv_inferred_customer", q_csv_inferred, "SELECT *, 'c_custkey:int,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string' AS types FROM customer")
+
+
+def q_preview(spark, sf_dir):
+    _views(spark, sf_dir, ["lineitem"])
+    return io.head(io.read_sql(spark, "SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY l_shipdate"), 20, ["l_shipdate"])
+
+
+add("source_preview_result_lineitem", q_preview, "SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY l_shipdate ORDER BY l_shipdate LIMIT 20")
+
+
+def q_describe_table(spark, sf_dir):
+    name = f"facsimile_described_{uuid.uuid4().hex[:12]}"
+    io.write_table(table(spark, sf_dir, "orders"), name, mode="create", location=_scratch(spark), partition_by=["o_orderstatus"])
+    return io.describe_table(spark, name)
+
+
+add(
+    "source_describe_table_orders",
+    q_describe_table,
+    """SELECT * FROM (VALUES ('o_orderkey', 'bigint', NULL::VARCHAR), ('o_custkey', 'bigint', NULL), ('o_totalprice', 'double', NULL), ('o_orderdate', 'timestamp_ntz', NULL),
+  ('o_orderpriority', 'string', NULL), ('o_orderstatus', 'string', NULL), ('o_orderstatus', 'string', NULL)) t(name, type, comment)""",
+)
+
+
 # compact numbers and truncated text over a whole table.
 def q_format(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -123,14 +156,14 @@ def q_format(spark, sf_dir):
 
 def _compact_sql(x: str) -> str:
     def fixed(e: str) -> str:
-        return f"printf('%.2f', round_even(({e}) * 100.0, 0) / 100.0)"
+        return f"printf('%.2f', {e})"
 
     v = f"CAST({x} AS DOUBLE)"
     return f"""CASE WHEN {v} IS NULL OR isnan({v}) THEN 'N/A'
   WHEN abs({v}) >= 1e9 THEN {fixed(f'{v} / 1e9')} || 'B'
   WHEN abs({v}) >= 1e6 THEN {fixed(f'{v} / 1e6')} || 'M'
   WHEN abs({v}) >= 1e3 THEN {fixed(f'{v} / 1e3')} || 'K'
-  ELSE printf('%.2f', round_even({v}, 2)) END"""
+  ELSE printf('%.2f', {v}) END"""
 
 
 add(

@@ -87,11 +87,6 @@ def head(df: DataFrame, n: int = 200, order_by: list[str] | None = None) -> Data
     return df.limit(n)
 
 
-def row_uniform(key_cols: list[str], seed: int, name: str = "sample") -> Column:
-    key = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key_cols])
-    return R.uniform(seed, name, key)
-
-
 def sample(
     df: DataFrame,
     percent: float,
@@ -110,7 +105,7 @@ def sample(
     if fast or not key_cols:
         out = df.sample(withReplacement=False, fraction=frac, seed=seed)
     else:
-        out = df.filter(row_uniform(key_cols, seed) < F.lit(frac))
+        out = df.filter(R.row_uniform(key_cols, seed) < F.lit(frac))
     return out.limit(limit) if limit is not None else out
 
 
@@ -120,7 +115,7 @@ def preview_sample(df: DataFrame, key_cols: list[str], n: int = 5, seed: int = 4
     ``orderBy(...).limit(n)`` plans as a distributed top-n (TakeOrdered):
     each task keeps n rows, the driver merges n x tasks rows.
     """
-    u = row_uniform(key_cols, seed, "preview")
+    u = R.row_uniform(key_cols, seed, "preview")
     return df.withColumn("_u", u).orderBy("_u", *key_cols).limit(n).drop("_u")
 
 
