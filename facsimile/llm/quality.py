@@ -5,7 +5,8 @@
 is grown one threshold condition at a time by information gain on the growing
 rows, pruned back to the prefix with the best (p - n) / (p + n) on the pruning
 rows, and kept if it is precise there; the rows it covers are then set aside
-and the next rule is grown. Thresholds are quantiles of the labelled rows. The
+and the next rule is grown. Where the best rule is not precise, the others are
+tried; the list ends when none is precise and covers enough. Thresholds are quantiles of the labelled rows. The
 counts behind each step are one aggregation over all labelled rows (no sample)
 that returns at most features x thresholds rows. The list is applied as one
 ordered CASE WHEN expression; a text that no rule covers is kept.
@@ -118,32 +119,38 @@ class Rule:
         return out
 
 
-def fit_decision_list(
-    labelled: DataFrame,
-    features: list[str] = FEATURES,
-    max_rules: int = 12,
-    max_conditions: int = 4,
-    min_precision: float = 0.97,
-    min_covered: int = 8,
-) -> list[Rule]:
+def thresholds(labelled: DataFrame, features: list[str]) -> dict[str, list[float]]:
+    """The distinct quantiles of each statistic over the labelled rows."""
+    row = labelled.agg(*[F.percentile_approx(f"q.{f}", QUANTILES, 10_000).alias(f) for f in features]).first()
+    return {f: [float(c) for c in sorted(set(row[f] or []))] for f in features}
+
+
+def for_pruning(id_col: Column) -> Column:
+    """Whether a row takes part in the pruning and not in the growing of rules."""
+    return F.pmod(F.xxhash64(F.lit("prune"), id_col), F.lit(3)) == 0
+
+
+def fit_decision_list(labelled: DataFrame, features: list[str] = FEATURES, max_conditions: int = 4, min_precision: float = 0.97, min_covered: int = 8, min_share: float = 0.005) -> list[Rule]:
     """Ordered rejecting rules from rows (id, label, q).
 
     ``label`` 1 is good, 0 is bad. A third of the ids (by hash) is the pruning
-    part. A rule needs ``min_covered`` bad rows in the growing part and
-    ``min_precision`` on both parts together.
+    part. A rule covers at least ``min_covered`` bad rows of the growing part and
+    the share ``min_share`` of them, and has ``min_precision`` on both parts
+    together. A grown rule that is not precise sets its first condition's
+    statistic and direction aside until the next rule is found (a narrower
+    condition on them can still be its second one), and the list ends when none
+    of the others gives a rule.
     """
-    cuts_row = labelled.agg(*[F.percentile_approx(f"q.{f}", QUANTILES, 10_000).alias(f) for f in features]).first()
-    cuts = {f: sorted(set(cuts_row[f] or [])) for f in features}
+    cuts = thresholds(labelled, features)
     if not any(cuts.values()):
         return []
 
     def bin_of(f):  # number of thresholds below the value
         value = F.col(f"q.{f}")
-        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]).cast("array<double>"), lambda c: c < value)).cast("short").alias(f)
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]).cast("array<double>"), lambda c: c < value)).cast("short").alias(f)
 
-    bins = [bin_of(f) for f in features]
-    part = F.when(F.pmod(F.xxhash64(F.lit("prune"), F.col("id")), F.lit(3)) == 0, "p").otherwise("g")
-    rows = written(labelled.select("label", part.alias("part"), *bins), "labelled")
+    part = F.when(for_pruning(F.col("id")), "p").otherwise("g")
+    rows = written(labelled.select("label", part.alias("part"), *[bin_of(f) for f in features]), "labelled")
     cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("bin")) for i, f in enumerate(features)])
     tally = [F.count(F.when((F.col("part") == p) & (F.col("label") == y), 1)).alias(f"{p}{y}") for p in "gp" for y in (0, 1)]
 
@@ -153,54 +160,70 @@ def fit_decision_list(
             out = out & ((F.col(features[f]) > k) if above else (F.col(features[f]) <= k))
         return out
 
-    rules: list[Rule] = []
-    left = F.lit(True)
-    while len(rules) < max_rules:
-        grown: list[tuple[int, bool, int]] = []
-        at: list[dict] = []
-        total = None
-        while len(grown) < max_conditions:
-            found = rows.filter(left & holds(grown)).select("label", "part", F.inline(cells)).groupBy("f", "bin").agg(*tally).collect()
-            by = {}
-            for r in found:
-                by.setdefault(r.f, {})[r.bin] = [r.g0, r.g1, r.p0, r.p1]
-            if not by:
-                break
+    def histogram(left, rule) -> dict[int, dict[int, list[int]]]:
+        """Growing and pruning rows by label, for each statistic and bin, of the rows left that the rule covers."""
+        out: dict[int, dict[int, list[int]]] = {}
+        for r in rows.filter(left & holds(rule)).select("label", "part", F.inline(cells)).groupBy("f", "bin").agg(*tally).collect():
+            out.setdefault(r.f, {})[r.bin] = [r.g0, r.g1, r.p0, r.p1]
+        return out
+
+    def best_condition(by, total, aside):
+        """(gain, condition, its counts) of the condition with most information gain."""
+        before = math.log2(total[0] / (total[0] + total[1]))
+        best = (0.0, None, None)
+        for f, hist in sorted(by.items()):
+            low = [0, 0, 0, 0]
+            for k in range(len(cuts[features[f]])):
+                low = [a + b for a, b in zip(low, hist.get(k, (0, 0, 0, 0)))]
+                for above in (False, True):
+                    c = [t - a for t, a in zip(total, low)] if above else low
+                    if (f, above) not in aside and c[0] >= least and c[0] + c[1] < total[0] + total[1]:
+                        gain = c[0] * (math.log2(c[0] / (c[0] + c[1])) - before)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, above, k), list(c))
+        return best
+
+    def grow(left, first, aside):
+        """Conditions in order, and the counts [g0, g1, p0, p1] after each."""
+        rule, counts, by = [], [], first
+        while len(rule) < max_conditions and by:
             total = [sum(v[k] for v in by[0].values()) for k in range(4)]
-            if total[0] < min_covered or total[1] == 0:
+            if total[0] < least or total[1] == 0:
                 break
-            before = math.log2(total[0] / (total[0] + total[1]))
-            best = (0.0, None, None)
-            for f, hist in by.items():
-                low = [0, 0, 0, 0]
-                for k in range(len(cuts[features[f]])):
-                    low = [a + b for a, b in zip(low, hist.get(k, (0, 0, 0, 0)))]
-                    for above in (False, True):
-                        c = [t - a for t, a in zip(total, low)] if above else low
-                        if c[0] >= min_covered and c[0] + c[1] < total[0] + total[1]:
-                            gain = c[0] * (math.log2(c[0] / (c[0] + c[1])) - before)
-                            if gain > best[0] + 1e-9:
-                                best = (gain, (f, above, k), list(c))
-            if best[1] is None:
+            _, condition, c = best_condition(by, total, aside if not rule else ())
+            if condition is None:
                 break
-            grown.append(best[1])
-            at.append(dict(zip(("g0", "g1", "p0", "p1"), best[2])))
-            if best[2][1] == 0:
+            rule.append(condition)
+            counts.append(c)
+            if c[1] == 0:
                 break
-        if not grown:
-            break
-        worth = lambda c: (c["p0"] - c["p1"]) / max(1, c["p0"] + c["p1"])
-        keep = max(range(len(at)), key=lambda i: (worth(at[i]), -i))
-        precise = lambda c: (c["g0"] + c["p0"]) / max(1, sum(c.values())) >= min_precision and c["p0"] >= c["p1"]
-        if not precise(at[keep]):
-            fit = [i for i, c in enumerate(at) if precise(c)]
-            if not fit:
-                break
-            keep = fit[0]
-        rule = grown[: keep + 1]
-        rules.append(Rule(tuple(Condition(features[f], above, float(cuts[features[f]][k])) for f, above, k in rule), at[keep]["p0"], at[keep]["p1"]))
-        left = left & ~holds(rule)
-    return rules
+            by = histogram(left, rule) if len(rule) < max_conditions else {}
+        return rule, counts
+
+    def pruned(counts) -> int | None:
+        """Number of conditions to keep: the best prefix on the pruning rows, else the shortest precise one."""
+        worth = lambda c: (c[2] - c[3]) / max(1, c[2] + c[3])
+        precise = lambda c: (c[0] + c[2]) / max(1, sum(c)) >= min_precision and c[2] >= c[3]
+        keep = max(range(len(counts)), key=lambda i: (worth(counts[i]), -i))
+        return keep + 1 if precise(counts[keep]) else next((i + 1 for i, c in enumerate(counts) if precise(c)), None)
+
+    rules: list[Rule] = []
+    left = F.lit(True)
+    first = histogram(left, [])
+    bad = sum(v[0] for v in first[0].values()) if first else 0
+    least = max(min_covered, math.ceil(min_share * bad))
+    aside: set[tuple[int, bool]] = set()
+    while True:
+        rule, counts = grow(left, first, aside)
+        if not rule:
+            return rules
+        keep = pruned(counts)
+        if keep is None:
+            aside.add(rule[0][:2])
+            continue
+        rules.append(Rule(tuple(Condition(features[f], above, cuts[features[f]][k]) for f, above, k in rule[:keep]), counts[keep - 1][2], counts[keep - 1][3]))
+        left = left & ~holds(rule[:keep])
+        first, aside = histogram(left, []), set()
 
 
 def verdict(rules: list[Rule], stats: str = "q") -> Column:
