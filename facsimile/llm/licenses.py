@@ -1,31 +1,35 @@
 """License scan with a positional rare-token index.
 
-Templates of common licence notices are cut into words and indexed as
-postings word -> (template, position). Document frequencies of the licence
-words are counted over all documents (one aggregation; the licence vocabulary
-is fixed, so a few hundred rows come back) and give each word its IDF. A
-template is looked for in the texts that hold its mandatory key phrases. There
-every place of a template's word and every posting is a vote for the template at
-the offset place - position, and rare words weigh more. A match counts only if
-the key phrases stand consecutively in the matched region (the template's length
-and a few words more at both ends, for small insertions), so the offsets around
-the key phrases are all that can match: each of them is aligned with the
-template, and votes decide between offsets with the same share of words. No
-word, offset or template is left out because a text holds many of them.
+Templates of licence notices, short names and tags are cut into words. Document
+frequencies of the licence words are counted over all documents (one
+aggregation; the licence vocabulary is fixed, so some hundred rows come back) and
+give each word its IDF. A template is indexed by its own ``RARE`` words of highest
+IDF: postings word -> (template, position).
+
+A text's licence words are looked up in these postings. A template with at least
+``AGREE`` of its rare words in the text is followed by position: every place of a
+rare word votes for the template at the offset place - position, and the postings
+are intersected by relative position, that is, at least ``AGREE`` of the rare words
+must stand at offsets at most ``DRIFT`` apart (small insertions and deletions).
+There the template is aligned in order: the share of its words found is that of
+the longest common subsequence with the words of the region, and the key phrases
+must stand consecutively in it. Rarity thus decides where a template is looked
+for at all, and position and order what matches; words in another order do not.
+No template, place or offset is left out because a text holds many of them.
 
 The base phrases are found wherever their words stand consecutively. Their
 labels always stay; the index adds labels.
 
 Words are runs of letters, digits and non-ASCII characters of the text with A-Z
 in lower case. Null text counts as empty and has no words. Repeated rows and
-ids keep their rows. A word without any document has the largest IDF. An empty
-table gives an empty table; other columns are not read.
+ids keep their rows. A word without any document has the largest IDF; of equal
+ones those of fewer templates come first, then those earlier in the template. An empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -118,8 +122,55 @@ for _kind, _name in _CC.items():
             if not any(notice == _template[0] for notice, _ in TEMPLATES.values()):
                 TEMPLATES[_label if _label not in TEMPLATES else f"{_label}-notice" if _template is _notice else f"{_label}-short"] = _template
 
-MIN_MATCH = 0.6  # share of a template's words found at their places
-DRIFT = 3  # words an alignment may be shifted by
+# Further paragraphs of the same licences.
+TEMPLATES |= {
+    "gpl-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details.",
+        ["in the hope that it will be useful", "gnu general public license for more details"],
+    ),
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
+        ["fitness for a particular purpose and noninfringement"],
+    ),
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        ["copyright holders and contributors as is"],
+    ),
+    "isc-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        ["the author disclaims all warranties with regard to this software"],
+    ),
+    "mpl-2.0-copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["if a copy of the mpl was not distributed"]),
+    "zlib-conditions": (
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, "
+        "an acknowledgment in the product documentation would be appreciated but is not required.",
+        ["the origin of this software must not be misrepresented"],
+    ),
+    "unlicense-terms": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["anyone is free to copy modify publish use compile sell or distribute this software"]),
+}
+# Short names of the GNU licences, and identifiers of the SPDX tags.
+for _name in ("GPL", "LGPL", "AGPL"):
+    for _version in ("2", "2.1", "3"):
+        if (_name, _version) in (("GPL", "2.1"), ("LGPL", "2"), ("AGPL", "2"), ("AGPL", "2.1")):
+            continue
+        for _form, _mark in (("v", ""), (" v", "-spaced")):
+            _short = f"{_name}{_form}{_version}"
+            TEMPLATES[f"{_name.lower()}-{_version}{'.0' if '.' not in _version else ''}-short{_mark}"] = (f"GNU {_short}", [f"gnu {_short}"])
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 "
+    "CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later "
+    "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 WTFPL Zlib"
+).split()
+for _id in SPDX:
+    TEMPLATES[f"spdx-{_id.lower()}"] = (f"SPDX-License-Identifier: {_id}", [f"spdx license identifier {_id}"])
+
+MIN_MATCH = 0.6  # share of a template's words found in order
+DRIFT = 3  # words that places of a template may be apart
+RARE = 6  # words that index a template
+AGREE = 0.5  # share of them that must stand at one offset
 
 # Word characters, in lower case; every other ASCII byte is a break.
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -144,17 +195,38 @@ def _places(words: list[bytes], line: bytes, phrase: list[bytes]) -> list[int]:
             out.append(at)
 
 
+def common_in_order(template: dict[bytes, int], size: int, region: list[bytes]) -> int:
+    """Length of the longest common subsequence; ``template`` has the places of each word as bits."""
+    full = (1 << size) - 1
+    v = full
+    for w in region:
+        if m := template.get(w):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
+
+
 class Index:
-    """Templates as postings, with the IDF of every licence word."""
+    """Templates indexed by their rarest words, with the IDF of every licence word."""
 
     def __init__(self, document_frequency: dict[bytes, int], documents: int):
         self.templates = {label: words_of(notice) for label, (notice, _) in TEMPLATES.items()}
-        self.keys = {label: [words_of(k) for k in keys] for label, (_, keys) in TEMPLATES.items()}
+        self.keys = {label: [b" " + b" ".join(words_of(k)) + b" " for k in keys] for label, (_, keys) in TEMPLATES.items()}
+        self.idf = {w: math.log((documents + 1) / (document_frequency.get(w, 0) + 1)) for words in self.templates.values() for w in words}
+        self.bits: dict[str, dict[bytes, int]] = {}
+        self.rare: dict[str, list[int]] = {}  # positions of the words that index a template
+        self.need: dict[str, int] = {}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        spread = Counter(w for words in self.templates.values() for w in set(words))
         for label, words in self.templates.items():
+            bits: dict[bytes, int] = defaultdict(int)
             for i, w in enumerate(words):
-                self.postings[w].append((label, i))
-        self.idf = {w: math.log((documents + 1) / (document_frequency.get(w, 0) + 1)) for w in self.postings}
+                bits[w] |= 1 << i
+            self.bits[label] = dict(bits)
+            self.rare[label] = sorted(range(len(words)), key=lambda i, words=words: (-self.idf[words[i]], spread[words[i]], i))[:RARE]
+            self.need[label] = math.ceil(AGREE * len(self.rare[label]))
+            for i in self.rare[label]:
+                self.postings[words[i]].append((label, i))
         self.base = [(words_of(p), label) for p, label in BASE.items()]
 
     def scan(self, text: str) -> dict:
@@ -165,7 +237,7 @@ class Index:
             if found := _places(words, line, phrase):
                 base_labels.add(label)
                 starts += found
-        matches = self._matches(words, line)
+        matches = self._matches(words)
         best = max((score for score, _, _ in matches.values()), default=0.0)
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
@@ -173,51 +245,45 @@ class Index:
             "matches": [(label, at, size, score) for label, (score, at, size) in sorted(matches.items())],
         }
 
-    def _matches(self, words: list[bytes], line: bytes) -> dict[str, tuple[float, int, int]]:
-        """label -> (share of the template found, first word, words) of its best place."""
-        here = self.idf.keys() & set(words)
-        labels = {label for label, keys in self.keys.items() if all(w in here for k in keys for w in k) and all(b" " + b" ".join(k) + b" " in line for k in keys)}
+    def _matches(self, words: list[bytes]) -> dict[str, tuple[float, int, int]]:
+        """label -> (share of the template found in order, first word, words) of its best place."""
+        here = self.postings.keys() & set(words)
+        met = Counter(label for w in here for label, _ in self.postings[w])
+        labels = {label for label, n in met.items() if n >= self.need[label]}
         if not labels:
             return {}
-        votes: dict[str, dict[int, float]] = {label: defaultdict(float) for label in labels}
+        wanted = {w: own for w in here if (own := [p for p in self.postings[w] if p[0] in labels])}
+        votes: dict[str, list[tuple[int, int]]] = defaultdict(list)  # (offset, position) of each template
         for at, w in enumerate(words):
-            if w in here:
-                for label, i in self.postings[w]:
-                    if label in labels:
-                        votes[label][at - i] += 1 + self.idf[w]
-        best = {label: self._best(label, words, line, votes[label]) for label in labels}
+            for label, i in wanted.get(w, ()):
+                votes[label].append((at - i, i))
+        best = {label: self._best(label, words, sorted(found)) for label, found in votes.items()}
         return {label: m for label, m in best.items() if m}
 
-    def _best(self, label: str, words: list[bytes], line: bytes, votes: dict[int, float]) -> tuple[float, int, int] | None:
-        """(share found, first word, words) of the template's best place, of all that hold its key phrases."""
-        size, need = len(self.templates[label]), Counter(self.templates[label])
-        keys = [(_places(words, line, k), len(k)) for k in self.keys[label]]
+    def _best(self, label: str, words: list[bytes], votes: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+        """(share found, first word, words) of the template's best place, of all where enough rare words agree."""
+        template, need = self.templates[label], self.need[label]
+        size = len(template)
         best, found = (MIN_MATCH, -1.0, 0), None
-        have: Counter = Counter()  # the template's words in words[low:high]
-        got = low = high = 0
-        last = -size - DRIFT
-        for place in keys[0][0]:
-            for at in range(max(last + 1, place + keys[0][1] - size - DRIFT), place + DRIFT + 1):
-                last = at
-                left, right = at - DRIFT, at + size + DRIFT
-                if not all((i := bisect_left(places, left)) < len(places) and places[i] + n <= right for places, n in keys):
-                    continue
-                left, right = max(0, left), min(len(words), right)
-                if left >= high:
-                    have.clear()
-                    got, low, high = 0, left, left
-                for w in words[high:right]:
-                    if w in need:
-                        have[w] += 1
-                        got += have[w] <= need[w]
-                for w in words[low:left]:
-                    if w in need:
-                        got -= have[w] <= need[w]
-                        have[w] -= 1
-                low, high = left, right
-                rank = (got / size, votes.get(at, 0.0), -at)
-                if rank > best:
-                    best, found = rank, (got / size, max(0, at), size)
+        inside: Counter = Counter()  # rare positions with an offset in the window
+        high, tried = 0, None
+        for low, (offset, i) in enumerate(votes):
+            while high < len(votes) and votes[high][0] <= offset + DRIFT:
+                inside[votes[high][1]] += 1
+                high += 1
+            if len(inside) >= need and offset != tried:
+                tried = offset
+                region = words[max(0, offset - DRIFT) : max(0, offset + size + 2 * DRIFT)]
+                share = common_in_order(self.bits[label], size, region) / size
+                if share >= best[0]:
+                    line = b" " + b" ".join(region) + b" "
+                    if all(k in line for k in self.keys[label]):
+                        weight = sum(1 + self.idf[template[j]] for o, j in votes[low:high] if o == offset)
+                        if (share, weight, -offset) > best:
+                            best, found = (share, weight, -offset), (share, max(0, offset), size)
+            inside[i] -= 1
+            if not inside[i]:
+                del inside[i]
         return found
 
 

@@ -1,7 +1,9 @@
 """License scan against a plain search and planted notices."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -59,40 +61,112 @@ def test_key_phrases_are_mandatory():
     assert index.scan("licence words software permitted conditions use copy without fee public")["labels"] == ""
 
 
-def plain_matches(text):
-    """label -> best share, over every offset of every template."""
+def in_order(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_matches(text, df, documents):
+    """label -> best share by the method: rare words, offsets that agree, order, key phrases."""
     words, out = L.words_of(text), {}
+    idf = lambda w: math.log((documents + 1) / (df.get(w, 0) + 1))
+    spread = Counter(w for notice, _ in L.TEMPLATES.values() for w in set(L.words_of(notice)))
     for label, (notice, phrases) in L.TEMPLATES.items():
         template = L.words_of(notice)
-        for at in range(-len(template), len(words) + 1):
-            region = words[max(0, at - L.DRIFT) : max(0, at + len(template) + L.DRIFT)]
-            share = sum((L.Counter(region) & L.Counter(template)).values()) / len(template)
+        rare = sorted(enumerate(template), key=lambda x: (-idf(x[1]), spread[x[1]], x[0]))[: L.RARE]
+        offsets = {(at - i, i) for at, w in enumerate(words) for i, r in rare if r == w}
+        for at in {o for o, _ in offsets}:
+            agree = {i for o, i in offsets if at <= o <= at + L.DRIFT}
+            if 2 * len(agree) < len(rare):
+                continue
+            region = words[max(0, at - L.DRIFT) : max(0, at + len(template) + 2 * L.DRIFT)]
+            share = in_order(template, region) / len(template)
             if share >= L.MIN_MATCH and all(b" " + b" ".join(L.words_of(p)) + b" " in b" " + b" ".join(region) + b" " for p in phrases):
                 out[label] = max(out.get(label, 0.0), share)
     return out
 
 
+def shares(index, text):
+    return {label: share for label, _, _, share in index.scan(text)["matches"]}
+
+
+def test_words_in_another_order_do_not_match():
+    rng, index = random.Random(3), L.Index({}, 1000)
+    for label, (notice, phrases) in L.TEMPLATES.items():
+        words = L.words_of(notice)
+        if len(words) < 18:
+            continue
+        assert label in shares(index, notice)
+        for _ in range(5):  # the key phrases stay whole, all other words change places
+            text = b" ".join(words).decode()
+            parts = [" ".join(w.decode() for w in L.words_of(p)) for p in phrases]
+            for p in parts:
+                text = text.replace(p, "")
+            rest = text.split()
+            rng.shuffle(rest)
+            if len(rest) >= 0.7 * len(words):
+                assert label not in shares(index, " ".join(parts + rest)) and label not in shares(index, " ".join(rest + parts))
+
+
+def test_rarity_decides_what_is_looked_up():
+    notice = L.TEMPLATES["mit-notice"][0]
+    words = L.words_of(notice)
+    plain_idf = L.Index({}, 1000)
+    other = L.Index({w: 900 for w in words[:10]}, 1000)
+    assert plain_idf.rare["mit-notice"] != other.rare["mit-notice"]
+    assert {words[i] for i in other.rare["mit-notice"]}.isdisjoint(words[:10])
+    # With the rare words gone the template is not found, though over 60 % of its words stand in order.
+    gone = {words[i] for i in other.rare["mit-notice"]}
+    text = b" ".join(w if w not in gone else b"xx" for w in words).decode()
+    kept = in_order(words, L.words_of(text)) / len(words)
+    assert kept >= L.MIN_MATCH and "mit-notice" not in shares(other, text)
+
+
+def test_common_subsequences():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice([b"x", b"y", b"z"]) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        bits = {w: sum(1 << i for i, x in enumerate(a) if x == w) for w in a}
+        assert L.common_in_order(bits, len(a), b) == in_order(a, b)
+
+
 def test_joined_notices_all_match():
     notices = [notice for notice, _ in L.TEMPLATES.values()]
     common = {w: 5000 for label in ("gpl-3.0", "cc-by-nc-4.0", "mit") for w in L.words_of(L.TEMPLATES[label][0])}
-    for index in (L.Index({}, 1_000_000), L.Index(common, 1_000_000)):
+    for df in ({}, common):
+        index = L.Index(df, 1_000_000)
         three = index.scan("\n\n".join(L.TEMPLATES[label][0] for label in ("apache-2.0-notice", "gpl-3.0", "cc-by-nc-4.0")))
         assert {"apache-2.0-notice", "gpl-3.0", "cc-by-nc-4.0"} <= set(three["labels"].split(","))
         for text in ("\n\n".join(notices), "\n\n".join(reversed(notices * 3)), "x y " * 50 + " ".join(notices) + " z" * 40):
-            found = index.scan(text)
-            assert {label: share for label, _, _, share in found["matches"]} == plain_matches(text)
-            assert set(L.TEMPLATES) <= set(found["labels"].split(","))
+            assert shares(index, text) == plain_matches(text, df, 1_000_000)
+            assert set(L.TEMPLATES) <= set(index.scan(text)["labels"].split(","))
 
 
 def test_matches_against_every_offset():
-    rng, index = random.Random(4), L.Index({b"the": 900, b"license": 500, b"or": 800}, 1000)
-    for _ in range(60):
+    rng, df = random.Random(4), {b"the": 900, b"license": 500, b"or": 800}
+    index = L.Index(df, 1000)
+    for _ in range(40):
         words = " ".join(rng.choice([notice for notice, _ in L.TEMPLATES.values()]) for _ in range(rng.randint(1, 4))).split()
         for _ in range(rng.randint(0, 12)):
             words.insert(rng.randrange(len(words)), rng.choice(["the", "x", "license", "version", "2"]))
             words.pop(rng.randrange(len(words)))
         text = " ".join(words)
-        assert {label: share for label, _, _, share in index.scan(text)["matches"]} == plain_matches(text)
+        assert shares(index, text) == plain_matches(text, df, 1000)
+
+
+def test_tags_and_short_names():
+    index = L.Index({}, 10)
+    for text, label in (
+        ("# SPDX-License-Identifier: GPL-3.0-only", "spdx-gpl-3.0-only"), ("// SPDX-License-Identifier: (MIT)", "spdx-mit"), ("SPDX-License-Identifier: GPL-2.0-or-later", "spdx-gpl-2.0-or-later"),
+        ("distributed under gnu gplv3 terms", "gpl-3.0-short"), ("GNU LGPL v2.1 or later", "lgpl-2.1-short-spaced"),
+    ):
+        assert index.scan(text)["labels"] == label, (text, index.scan(text)["labels"])
+    assert index.scan("SPDX-License-Identifier: none")["labels"] == ""
 
 
 def test_common_licences_and_versions():
