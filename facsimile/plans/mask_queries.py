@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from facsimile.operators import detect as D
 from facsimile.operators import mask as M
 from facsimile.operators import profile as P
+from facsimile.operators.vault import KeptVault
 from facsimile.plans.common import rounded
 from facsimile.plans.oracle_profile import _lit, column_stats_sql
 from facsimile.plans.profile_queries import STATS_COLS
 from facsimile.plans.registry import add
 from facsimile.plans.tables import PII_SQL, TABLE_COLUMNS, pii_customers, pii_sql, table
+from facsimile.session import checkpoint_dir
 
 KEY = "fixture-key-0001"
 
@@ -155,6 +161,23 @@ def _vault_sql() -> str:
 add("mask_vault_pii_customers", q_vault, _vault_sql())
 
 
+def _kept(spark, sf_dir) -> KeptVault:
+    """A kept vault after a run on a part of the rows and one on all."""
+    src = pii_customers(spark, sf_dir)
+    vault = KeptVault(spark, f"facsimile_vault_{uuid.uuid4().hex[:12]}", f"{checkpoint_dir(spark).rstrip('/')}/vaults/{uuid.uuid4().hex}")
+    vault.add(src.filter(F.col("c_custkey") % 3 == 0), PII_TYPES, KEY)
+    vault.add(src, PII_TYPES, KEY)
+    return vault
+
+
+def q_kept_round_trip(spark, sf_dir):
+    src = pii_customers(spark, sf_dir)
+    return _kept(spark, sf_dir).detokenize(M.tokenize(src, PII_TYPES, KEY), PII_TYPES)
+
+
+add("mask_vault_kept_pii_customers", lambda spark, sf_dir: _kept(spark, sf_dir).table(), _vault_sql())
+
+
 def q_detokenize(spark, sf_dir):
     src = pii_customers(spark, sf_dir)
     masked = M.tokenize(src, PII_TYPES, KEY)
@@ -175,6 +198,7 @@ def _detok_sql() -> str:
 
 
 add("mask_detokenize_pii_customers", q_detokenize, _detok_sql())
+add("mask_vault_kept_round_trip_pii_customers", q_kept_round_trip, _detok_sql())
 
 
 def q_preview(spark, sf_dir):

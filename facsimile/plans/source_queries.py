@@ -105,6 +105,37 @@ def q_table(spark, sf_dir):
     return spark.table(name).withColumn("rows_written", F.lit(info["rows_written"]).cast("long"))
 
 
+def _sink(spark) -> tuple[str, str]:
+    return f"facsimile_sink_{uuid.uuid4().hex[:12]}", _scratch(spark)
+
+
+def q_append(spark, sf_dir):
+    """Orders in two writes of half the rows each."""
+    src, (name, where) = table(spark, sf_dir, "orders"), _sink(spark)
+    for rest, mode in ((0, "create"), (1, "append")):
+        io.write_table(src.filter(F.col("o_orderkey") % 2 == rest), name, mode=mode, location=where)
+    return spark.table(name)
+
+
+def q_overwrite(spark, sf_dir):
+    """A table of other rows and columns, replaced by customer."""
+    src, (name, where) = table(spark, sf_dir, "customer"), _sink(spark)
+    io.write_table(src.select("c_name", F.lit(1).alias("other")), name, mode="create", location=where)
+    io.write_table(src, name, mode="overwrite", location=where)
+    return spark.table(name)
+
+
+def q_overwrite_partitions(spark, sf_dir):
+    """Orders by status with all totals at zero; the partitions of two statuses are then replaced."""
+    src, (name, where) = table(spark, sf_dir, "orders"), _sink(spark)
+    io.write_table(src.withColumn("o_totalprice", F.lit(0.0)), name, mode="create", location=where, partition_by=["o_orderstatus"])
+    io.write_table(src.filter(F.col("o_orderstatus").isin("F", "O")), name, mode="overwrite_partitions")
+    return spark.table(name).select(*src.columns)
+
+
+add("source_sink_append_orders", q_append, "SELECT * FROM orders")
+add("source_sink_overwrite_customer", q_overwrite, "SELECT * FROM customer")
+add("source_sink_overwrite_partitions_orders", q_overwrite_partitions, "SELECT * REPLACE (CASE WHEN o_orderstatus IN ('F', 'O') THEN o_totalprice ELSE 0 END AS o_totalprice) FROM orders")
 add("source_csv_roundtrip_customer", q_csv, "SELECT * FROM customer")
 add("source_parquet_roundtrip_orders", q_parquet, "SELECT * FROM orders")
 add("source_table_sink_supplier", q_table, "SELECT *, (SELECT count(*) FROM supplier) AS rows_written FROM supplier")

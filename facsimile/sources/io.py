@@ -155,19 +155,32 @@ def write_table(
 ) -> dict:
     """Save as a catalog table; ``create`` fails if it exists.
 
+    ``overwrite_partitions`` replaces the partitions that ``df`` has rows of and
+    leaves the others; the table keeps its format and partition columns.
     ``fmt`` is the table format (``iceberg`` needs its jar on the cluster).
     Returns status, table, rows, columns, mode and partition columns; the rows
     are those of ``df``, counted by the write itself.
     """
-    if mode not in MODES:
-        raise ValueError(f"Invalid mode: {mode}. Use 'overwrite', 'append', or 'create'")
+    if mode not in MODES and mode != "overwrite_partitions":
+        raise ValueError(f"Invalid mode: {mode}. Use 'overwrite', 'append', 'create' or 'overwrite_partitions'")
     seen = Observation()
-    w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode(MODES[mode])
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    if location:
-        w = w.option("path", location)
-    w.saveAsTable(table_path)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if mode == "overwrite_partitions":
+        conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        into = df.sparkSession.table(table_path).columns  # insertInto goes by place
+        before = conf.get(key)
+        conf.set(key, "dynamic")  # insertInto takes no such option
+        try:
+            counted.select(*[F.col(f"`{c}`") for c in into]).write.insertInto(table_path, overwrite=True)
+        finally:
+            conf.set(key, before)
+    else:
+        w = counted.write.format(fmt).mode(MODES[mode])
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        if location:
+            w = w.option("path", location)
+        w.saveAsTable(table_path)
     return {"status": "success", "table_path": table_path, "rows_written": seen.get["rows"], "columns": df.columns, "mode": mode, "partition_by": partition_by}
 
 
