@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.operators import profile as P
+from facsimile.operators import state as ST
 from facsimile.operators.heavy import value_counts
 from facsimile.plans.common import r_sql, rounded
 from facsimile.plans.oracle_profile import _lit, column_stats_sql
@@ -517,3 +518,17 @@ def full_sql(t: str) -> str:
 
 for _t in ["orders", "documents", "part"]:
     add(f"profile_full_{_t}", q_full(_t), full_sql(_t))
+
+
+# ---- B3 by parts: the merged states of the two line statuses ------------------------------
+
+STATE_COLS = ["column", "position", "count", "non_null", "null_count", "unique_count", "mean", "std", "min", "max", "q25", "median", "q75", "avg_length", "min_length", "max_length", "avg_words"]
+
+
+def q_merged_state(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    parts = [ST.state_of(df.filter(F.col("l_linestatus") == x)) for x in ("F", "O")]
+    return rounded(ST.statistics(ST.merged(parts)).select(*STATE_COLS))
+
+
+add("profile_state_merged_lineitem", q_merged_state, f"SELECT {', '.join(f'\"{c}\"' for c in STATE_COLS)} FROM ({column_stats_sql('lineitem')})")
