@@ -13,8 +13,10 @@ the lengths left, so only the very last sequence is ever padded.
 
 The plan speaks of the r-th rest of a length. Ranks are distributed: each
 task counts its own rests of each length while it encodes; the per-task
-counts are summed up over tasks, one row per task and length. No length class
-is ever gathered or sorted in one place.
+counts are summed up over tasks. No length class is ever gathered or sorted in
+one place. The sums are files of ``TASKS`` tasks each in the shared folder, and
+a task that places documents reads those of the tasks that encoded them: the
+ids are neither shuffled nor joined, and nothing grows on the driver.
 
 Null text counts as empty: its only id is the end id. Repeated rows and ids
 are separate documents. An empty table gives an empty table. Other columns of
@@ -27,12 +29,16 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.llm import tokens
-from facsimile.llm.common import ship, text_of, written
+from facsimile.llm.common import shared_path, ship, text_of, written
+from facsimile.llm.token_files import file_system
+
+TASKS = 256  # tasks whose offsets are in one file
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -143,16 +149,36 @@ def _encode(path: str, capacity: int):
     return run
 
 
-def _place(plan: np.ndarray, sequences: int, capacity: int):
+def _offsets(folder: str, capacity: int):
+    """Look-up of a task's offsets: how many rests of each length (at ``capacity``: whole sequences) earlier tasks have."""
+    known: dict[int, np.ndarray] = {}
+
+    def run(task: int) -> np.ndarray:
+        if task not in known:
+            known.clear()
+            where, base = file_system(folder)
+            found = pq.read_table(f"{base}/block={task // TASKS}", filesystem=where, columns=["task", "offsets"])
+            for t, rows in zip(found["task"].to_pylist(), found["offsets"].to_pylist()):
+                known[t] = np.zeros(capacity + 1, np.int64)
+                for r in rows:
+                    known[t][r["length"]] = r["off"]
+        return known[task]
+
+    return run
+
+
+def _place(plan: np.ndarray, sequences: int, capacity: int, folder: str):
     bounds = np.searchsorted(plan[:, 0], np.arange(capacity + 1)) if len(plan) else np.zeros(capacity + 1, np.int64)
 
     def run(batches):
+        offsets = _offsets(folder, capacity)
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for doc, n, whole, rank, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "whole", "rank", "ids"))):
+            for doc, task, n, whole, rank, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "task", "n", "whole", "rank", "ids"))):
                 ids = np.frombuffer(ids, "<u2").astype("<u4")
-                rest = n % capacity
+                rest, before = n % capacity, offsets(task)
+                whole, rank = whole + int(before[capacity]), rank + int(before[rest])
                 for k in range(n // capacity):
                     out.append((doc, k * capacity, capacity, n, sequences + whole + k, 0, ids[k * capacity : (k + 1) * capacity].tobytes()))
                 if rest:
@@ -195,12 +221,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     plan, sequences = plan_windows(histogram, capacity)
 
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(counts.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("off")), "offsets")
-    whole_off = offsets.filter(F.col("length") == capacity).select("task", F.col("off").alias("whole_off"))
-    placed = (
-        encoded.withColumn("length", rest)
-        .join(offsets, ["task", "length"])
-        .join(whole_off, "task")
-        .select("id", "n", (F.col("whole") + F.col("whole_off")).alias("whole"), (F.col("rank") + F.col("off")).alias("rank"), "ids")
-    )
-    return placed.mapInArrow(_place(plan, sequences, capacity), "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    offsets = counts.select("task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("off"))
+    folder = shared_path(spark, "offsets")
+    per_task = offsets.groupBy("task").agg(F.collect_list(F.struct("length", "off")).alias("offsets"))  # at most ``capacity`` + 1 a task
+    per_task.withColumn("block", F.floor(F.col("task") / TASKS)).repartition("block").write.partitionBy("block").parquet(folder)
+    return encoded.mapInArrow(_place(plan, sequences, capacity, folder), "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

@@ -45,7 +45,7 @@ def sequence_schema(length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
@@ -87,7 +87,7 @@ class _SequenceWriter:
 
 def _write_shard(folder: str, length: int, vocabulary: str):
     def run(batches):
-        where, base = _system(folder)
+        where, base = file_system(folder)
         task = TaskContext.get()
         shard, tag = task.partitionId(), f"{task.partitionId():06d}-{task.taskAttemptId()}"
         n_docs = 0
@@ -133,7 +133,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
 
 def open_shard(folder: str, tag: str) -> tuple[ipc.RecordBatchFileReader, ipc.RecordBatchFileReader]:
     """Readers of a shard's sequences and documents; memory-mapped where the file system is local."""
-    where, base = _system(folder)
+    where, base = file_system(folder)
     local = isinstance(where, fs.LocalFileSystem)
     names = [f"{base}/{kind}-{tag}.arrow" for kind in ("ids", "docs")]
     return tuple(ipc.open_file(pa.memory_map(n) if local else where.open_input_file(n)) for n in names)
