@@ -241,9 +241,11 @@ def column_stats(df: DataFrame, exact: bool = True, freq: DataFrame | None = Non
     """
     stats = scalar_stats(df)
     if exact:
-        # Read by the distinct counts and by the quartiles: written once to
-        # the shared checkpoint folder instead of being computed twice.
-        freq = freq if freq is not None else cut_lineage(heavy.value_counts(df))
+        if freq is None:
+            # Read by the distinct counts and by the quartiles: written once to
+            # the shared checkpoint folder instead of being computed twice.
+            freq = heavy.value_counts(df)
+            freq = cut_lineage(freq) if quartiles else freq
         uniq = distinct_counts(freq)
     else:
         cols = columns_of(df)
@@ -428,20 +430,25 @@ def distribution(stats: DataFrame, pcts: DataFrame) -> DataFrame:
     return out
 
 
+def local(stats: DataFrame) -> DataFrame:
+    """A table of one row per column, computed once."""
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
+
+
 def categories(df: DataFrame, stats: DataFrame, counts: DataFrame, k: int = 20) -> DataFrame:
     """B14-B15 for categorical columns: top-k counts, frequency of all rows.
 
-    ``counts`` is the written ``heavy.value_counts`` table with ``prefix``. Ranks
-    and rare values come from it; only the values of the first k are read.
+    ``counts`` is the written ``heavy.value_counts`` table; rare values and the
+    ranks of numbers come from it, texts from a heavy-hitter summary.
     """
-    cat = stats.filter(F.col("detected_type") == "categorical").select(
-        "position", F.col("column"), F.col("count").alias("_rows"), F.col("unique_count").alias("n_categories")
+    cat = local(
+        stats.filter(F.col("detected_type") == "categorical").select("position", F.col("column"), F.col("count").alias("_rows"), F.col("unique_count").alias("n_categories"))
     )
-    chosen = [r.position for r in cat.select("position").collect()]  # one row per column
+    chosen = [r.position for r in cat.select("position").collect()]
     cols = [c for c in columns_of(df) if c.position in chosen]
     f = counts.filter(F.col("position").isin(chosen)).drop("column").join(F.broadcast(cat), "position")
     rare = f.groupBy("position").agg(F.count_if(F.col("n") < F.col("_rows") * 0.01).cast("long").alias("rare_categories"))
-    texts = heavy.top_texts(df, [c for c in cols if c.kind == "string"], k, counts)
+    texts = heavy.top_texts(df, [c for c in cols if c.kind == "string"], k)
     others = counts.filter(F.col("position").isin([c.position for c in cols if c.kind != "string"]))
     numbers = top_values(others.withColumn("value", _count_key_text(cols)), k)
     both = texts.unionByName(numbers.select("position", "value", "n", "rank"))
@@ -648,10 +655,10 @@ class Profile:
 
 def profile(df: DataFrame, exact: bool = True, persist: bool = True) -> Profile:
     """Every section. The table of value counts is shared (written once)."""
-    counts = heavy.value_counts(df, prefix=True)
+    counts = heavy.value_counts(df)
     if persist:
         counts = cut_lineage(counts)
-    stats = column_stats(df, exact=exact, freq=counts)
+    stats = local(column_stats(df, exact=exact, freq=counts))
     pcts = percentiles(df, DISTRIBUTION_PROBS, exact=exact, freq=counts if exact else None)
     corr = correlation_matrix(df)
     return Profile(
@@ -660,7 +667,7 @@ def profile(df: DataFrame, exact: bool = True, persist: bool = True) -> Profile:
         percentiles=pcts,
         distribution=distribution(stats, pcts),
         categories=categories(df, stats, counts),
-        most_common=most_common(df, counts=counts),
+        most_common=most_common(df),
         text=text_profile(stats),
         temporal=temporal_profile(stats),
         sample_values=sample_values(df),

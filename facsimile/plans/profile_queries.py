@@ -223,8 +223,8 @@ FROM ranked r JOIN rare ON rare.position = r.position WHERE r.rank <= {k}"""
 def _cat_query(name: str):
     def q(spark, sf_dir):
         df = table(spark, sf_dir, name)
-        counts = cut_lineage(value_counts(df, prefix=True))
-        return rounded(P.categories(df, P.column_stats(df, freq=counts), counts))
+        counts = cut_lineage(value_counts(df))
+        return rounded(P.categories(df, P.column_stats(df, freq=counts, quartiles=False), counts))
 
     return q
 
