@@ -12,7 +12,13 @@ of (row, step), so the text of a row depends on nothing else.
 * A model of at most ``HELD_ROWS`` transitions and ``HELD_BYTES`` of words (both
   counted first) is sent to the tasks as arrays, and each task walks its rows
   all the way, all of them one step at a time: one job for any length.
-* A larger model stays a table. The transitions are dealt out by (word, block of
+* A model of more transitions or longer words is laid out as files of numbers in
+  the shared folder: the next word at every place of the bigrams in order of key
+  and next word, repeats included, and each key's first place. The tasks map the
+  files and walk as above, so a step is one look-up at any model size. Only pages
+  a step reads are in memory, and they are given back after it. A task writes the
+  places of its own rows, so a repeated task writes the same bytes.
+* Where the shared folder cannot be mapped, a larger model stays a table. The transitions are dealt out by (word, block of
   ranks) once, so a very common word does not put its walkers in one task. A job
   walks ``STEPS`` steps; its joins read the same exchange of the transitions,
   and the walkers carry the words of these steps. Each job's frontier is a
@@ -23,6 +29,10 @@ of (row, step), so the text of a row depends on nothing else.
 from __future__ import annotations
 
 import hashlib
+import mmap
+import os
+import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,12 +41,14 @@ from pyspark.sql import functions as F
 from facsimile.functions import rand as R
 from facsimile.functions.text import capitalize, word_count, words
 from facsimile.operators.ranking import running_totals
-from facsimile.session import cut_lineage
+from facsimile.session import checkpoint_dir, cut_lineage
 
 MIN_TEXTS = 10
 HELD_ROWS, HELD_BYTES = 4_000_000, 1 << 26  # transitions, and bytes of their words, that are sent to the tasks
+MAPPED_ROWS, MAPPED_BYTES = HELD_ROWS, HELD_BYTES  # a model beyond one of these is laid out as files
 STEPS = 8  # steps in a job of a model that stays a table
 WALKED = 1 << 21  # words walked together in a task
+TEXT_BYTES = 1 << 27  # of texts made together from a mapped model
 
 
 def bigrams(df: DataFrame, col: str) -> DataFrame:
@@ -66,6 +78,12 @@ class MarkovModel:
         keys = running_totals(totals, ["key"]).select("key", "total", "bw", F.col("rank_start").alias("number"))
         self.keys = cut_lineage(keys)
         self.n_keys = self.keys.count()
+        self.files = None
+        rows, size = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("next_word")), F.lit(0))).first()
+        folder = _mapped_folder(df.sparkSession)
+        if folder and self.n_keys and (rows + self.n_keys > MAPPED_ROWS or size > MAPPED_BYTES):
+            self.files = _laid_out(big, self.keys, self.n_keys, folder)
+            return
         trans = running_totals(big, ["next_word"], weight=F.col("n"), group_cols=["key"]).join(self.keys.select("key", "bw", "number"), "key")
         # Each transition carries what a walker needs at its next word, so a
         # step is one bucketed join and no join on the bare word.
@@ -84,6 +102,100 @@ class MarkovModel:
         return self.texts >= MIN_TEXTS and self.n_keys > 0
 
 
+def _mapped_folder(spark) -> str | None:
+    """A new folder for a model's files, or None if the shared folder is not a mounted one."""
+    found = re.fullmatch(r"(?:file:(?://)?)?(/.*)", checkpoint_dir(spark))
+    return f"{found[1].rstrip('/')}/facsimile/markov-{uuid.uuid4().hex}" if found else None
+
+
+def _put(path: str, places: np.ndarray, values: np.ndarray) -> None:
+    """Write ``values`` at their ascending ``places``, numbered by value."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    file = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
+    try:
+        cuts = np.flatnonzero(np.diff(places) != 1) + 1
+        for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
+            data, at = memoryview(values[first:last].tobytes()), int(places[first]) * values.itemsize
+            while data:
+                done = os.pwrite(file, data, at)
+                data, at = data[done:], at + done
+    finally:
+        os.close(file)
+
+
+def _put_numbers(folder: str, kinds: dict[str, str]):
+    """Arrow function: ``at`` is a row's place, ``n`` how many places it fills; the other columns go to files of their names."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, n = (batch.column(c).to_numpy() for c in ("at", "n"))
+            order = np.argsort(at)
+            upto = np.append(0, np.cumsum(n[order]))
+            for first in range(0, upto[-1], WALKED):  # a very frequent pair fills many places
+                last = min(first + WALKED, int(upto[-1]))
+                low, high = np.searchsorted(upto, first, side="right") - 1, np.searchsorted(upto, last)
+                some = order[low:high]
+                count = np.minimum(upto[low + 1 : high + 1], last) - np.maximum(upto[low:high], first)
+                begin = at[some] + np.maximum(first - upto[low:high], 0)
+                places = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(last - first)
+                for c, kind in kinds.items():
+                    _put(f"{folder}/{c}", places, np.repeat(batch.column(c).to_numpy()[some].astype(kind), count))
+            rows += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    return run
+
+
+def _put_texts(folder: str):
+    """Arrow function: the bytes of ``word`` from place ``at``, and the place where each ends by ``number``."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column("number")))
+            at, number = (batch.column(c).to_numpy() for c in ("at", "number"))
+            texts = [w.encode() for w in batch.column("word").to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            _put(f"{folder}/texts", np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(data)), data) if len(data) else None
+            _put(f"{folder}/text_ends", number, at + sizes)
+            rows += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    return run
+
+
+def _laid_out(big: DataFrame, keys: DataFrame, n_keys: int, folder: str) -> str:
+    """The files of a model: bigrams ``big``, and ``keys`` numbered in their order."""
+    run = lambda df, f: df.mapInArrow(f, "rows bigint").agg(F.sum("rows")).first()[0]
+    first = capitalize(F.col("key"))
+    texts = big.select(F.col("next_word").alias("word")).distinct().union(keys.select("key")).union(keys.select(first)).distinct()
+    numbered = running_totals(running_totals(texts, ["word"], start="number"), ["word"], weight=F.octet_length("word"), start="at")
+    words = cut_lineage(numbered.select("word", "number", "at"))
+    if run(words, _put_texts(folder)) >= 1 << 31:
+        raise ValueError("a model of 2^31 different words has no layout")
+    of_key = keys.select(F.col("key").alias("_key"), F.col("number").alias("key_of"))
+    follows = words.join(of_key, F.lower("word") == F.col("_key"), "left").select(F.col("number").alias("at"), F.lit(1).cast("long").alias("n"), F.coalesce("key_of", F.lit(n_keys)).cast("long").alias("key_of"))
+    run(follows, _put_numbers(folder, {"key_of": "<i8"}))
+    word = lambda name: words.select(F.col("word").alias(f"_{name}"), F.col("number").alias(name))
+    totals = running_totals(keys.select("key", "number", "total"), ["key"], weight=F.col("total"), start="start", end="end")
+    begun = totals.join(word("plain"), F.col("key") == F.col("_plain")).join(word("first"), first == F.col("_first"))
+    run(begun.select(F.col("number").alias("at"), F.lit(1).cast("long").alias("n"), "end", "plain", "first"), _put_numbers(folder, {"end": "<i8", "plain": "<i4", "first": "<i4"}))
+    placed = running_totals(big, ["key", "next_word"], weight=F.col("n"), start="at").join(word("next"), F.col("next_word") == F.col("_next"))
+    run(placed.select("at", "n", "next"), _put_numbers(folder, {"next": "<i4"}))
+    return folder
+
+
 def _held(model: MarkovModel) -> dict | None:
     """The transitions as arrays in order of key and rank, or None if they are too many."""
     rows, size = model.transitions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("next_word")), F.lit(0))).first()
@@ -135,14 +247,76 @@ def _walk_rows(held, key: str, length: int, n_keys: int):
     return run
 
 
+def _runs_of(sizes: np.ndarray, most: int):
+    """(first, end) of stretches whose sizes add up to at most ``most``, or of one element."""
+    upto, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
+def _walk_mapped(folder: str, key: str, length: int, n_keys: int):
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        opened = []
+
+        def numbers(name: str, kind: str) -> np.ndarray:
+            with open(f"{folder}/{name}", "rb") as f:
+                opened.append(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            opened[-1].madvise(mmap.MADV_RANDOM)
+            return np.frombuffer(opened[-1], kind)
+
+        following, end, plain, first, key_of, text_ends = (numbers(n, k) for n, k in (("next", "<i4"), ("end", "<i8"), ("plain", "<i4"), ("first", "<i4"), ("key_of", "<i8"), ("text_ends", "<i8")))
+        texts = numbers("texts", "u1") if os.path.getsize(f"{folder}/texts") else np.zeros(0, np.uint8)
+        step = max(1, WALKED // length)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.column("id").slice(at, step)
+                ids = part.to_pylist()
+                current = np.floor(_uniforms(key, ids, ["start"] * len(ids)) * n_keys).astype(np.int64)
+                chosen = np.empty((len(ids), length), np.int32)
+                chosen[:, 0] = first[current]
+                for j in range(1, length):
+                    lost = current == n_keys
+                    u = _uniforms(key, ids, [f"r{j}" if x else f"m{j}" for x in lost.tolist()])
+                    known = np.where(lost, 0, current)
+                    start = np.where(known > 0, end[known - 1], 0)
+                    total = np.where(lost, n_keys, end[known] - start)
+                    rank = np.floor(u * total).astype(np.int64)
+                    chosen[:, j] = np.where(lost, plain[np.where(lost, rank, 0)], following[np.where(lost, 0, start + rank)])
+                    current = np.where(lost, rank, key_of[chosen[:, j]])
+                    for m in opened:
+                        m.madvise(mmap.MADV_DONTNEED)  # pages read go back, the files stay in the system's cache
+                # Rows whose texts have no more than TEXT_BYTES together, or one row.
+                sizes = (text_ends[chosen] - np.where(chosen > 0, text_ends[chosen - 1], 0)).sum(axis=1)
+                for low, high in _runs_of(sizes, TEXT_BYTES):
+                    used, back = np.unique(chosen[low:high].ravel(), return_inverse=True)
+                    ends, begins = text_ends[used], np.where(used > 0, text_ends[used - 1], 0)
+                    places = np.append(0, np.cumsum(ends - begins))
+                    data = texts[np.repeat(begins - places[:-1], ends - begins) + np.arange(places[-1])]
+                    words = pa.Array.from_buffers(pa.string(), len(used), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * length, pa.int32()), words.take(pa.array(back.ravel())))
+                    yield pa.RecordBatch.from_arrays([part.slice(low, high - low), pc.binary_join(lists, " ")], ["id", "text"])
+                for m in opened:
+                    m.madvise(mmap.MADV_DONTNEED)
+
+    return run
+
+
 def walk(model: MarkovModel, ids: DataFrame, seed: int) -> DataFrame:
     """(id, text) for every id: a walk of ``model.length`` words (at least one)."""
-    held = _held(model)
     length = max(model.length, 1)
+    key, walkers = f"{seed}:{model.col}:", ids.select(F.col("id").cast("long").alias("id"))
+    if model.files:
+        return walkers.mapInArrow(_walk_mapped(model.files, key, length, model.n_keys), "id bigint, text string")
+    held = _held(model)
     if held is None:
         return _walk_tables(model, ids, seed, length)
     sent = ids.sparkSession.sparkContext.broadcast(held)
-    return ids.select(F.col("id").cast("long").alias("id")).mapInArrow(_walk_rows(sent, f"{seed}:{model.col}:", length, model.n_keys), "id bigint, text string")
+    return walkers.mapInArrow(_walk_rows(sent, key, length, model.n_keys), "id bigint, text string")
 
 
 def _walk_tables(model: MarkovModel, ids: DataFrame, seed: int, length: int) -> DataFrame:

@@ -61,6 +61,39 @@ def test_walks_equal_a_plain_walk(spark, monkeypatch, held):
     assert got == plain_walks(texts, "t.x", 7, 50)
 
 
+@pytest.mark.parametrize("walked", [M.WALKED, 7])
+def test_files_of_a_large_model_equal_a_plain_walk(spark, monkeypatch, walked):
+    """A model too large to send is mapped: no job for each few steps, no table of walkers."""
+    monkeypatch.setattr(M, "MAPPED_ROWS", 0)
+    texts = [*texts_of(), "ẞa ẞa b", "İx İx ßy ßy c\u00a0d"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "`t.x` string").repartition(3)
+    model = M.MarkovModel(df, "t.x")
+    assert model.files
+    written = []
+    real = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: written.append(1) or real(df))
+    mapped = sorted(tuple(r) for r in M.walk(model, spark.range(50).repartition(2), 7).collect())
+    assert not written
+    monkeypatch.setattr(M, "MAPPED_ROWS", 1 << 40)
+    assert mapped == sorted(tuple(r) for r in M.walk(M.MarkovModel(df, "t.x"), spark.range(50), 7).collect())
+    plain = M.MarkovModel(spark.createDataFrame([(t,) for t in texts_of()], "t string"), "t")
+    monkeypatch.setattr(M, "MAPPED_ROWS", 0)
+    again = M.MarkovModel(spark.createDataFrame([(t,) for t in texts_of()], "t string"), "t")
+    assert again.files and not plain.files
+    run = M._walk_mapped(again.files, "7:t:", again.length, again.n_keys)
+    monkeypatch.setattr(M, "WALKED", walked * again.length)
+    monkeypatch.setattr(M, "TEXT_BYTES", 40 * walked)
+    import pyarrow as pa
+
+    out = [r for b in run([pa.RecordBatch.from_pydict({"id": list(range(50))})]) for r in b.to_pylist()]
+    assert [(r["id"], r["text"]) for r in out] == plain_walks(texts_of(), "t", 7, 50)
+
+
+def test_a_folder_that_is_not_mounted_keeps_the_table(spark, monkeypatch):
+    monkeypatch.setattr(M, "checkpoint_dir", lambda spark: "hdfs://nowhere/kept")
+    assert M._mapped_folder(spark) is None
+
+
 def test_rows_walked_in_parts(spark, monkeypatch):
     texts = texts_of(2)
     model = M.MarkovModel(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
