@@ -5,8 +5,11 @@ A double becomes a 64-bit key of the same order. A pass counts keys by their nex
 that come out (at most 2^bits per column in the first pass). Only the prefixes
 that hold a wanted rank are counted further, so the later passes count a sliver
 of the values, and a prefix whose smallest and largest key are equal is
-decided. Four passes over the numeric columns at most; nothing is sorted, and
+decided. Five passes over the numeric columns at most; nothing is sorted, and
 no row is shuffled. The driver holds counts of prefixes, never values.
+
+The passes after the first count ``LATER`` bits, so a wanted prefix has at most
+4,096 counts, whatever the number of rows; a task holds them as arrays.
 """
 
 from __future__ import annotations
@@ -19,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 16  # counted in a pass; a divisor of 64
+BITS = 16  # counted in the first pass
+LATER = 12  # counted in each further pass
+PENDING = 1 << 17  # counts of batches that wait to be added up
 _SIGN = np.uint64(1 << 63)
 _COUNTS = "position int, prefix bigint, n bigint, low bigint, high bigint"
 
@@ -40,31 +45,55 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None, done: int, bits: int,
     if wanted is not None:
         inside = np.isin(keys >> np.uint64(64 - done), np.array(wanted, np.uint64))
         keys, weights = keys[inside], weights if weights is None else weights[inside]
-    prefix = keys >> np.uint64(64 - done - bits)
-    found, back = np.unique(prefix, return_inverse=True)
-    n = np.bincount(back, weights, len(found)).astype(np.int64) if len(found) else np.zeros(0, np.int64)
-    low, high = np.full(len(found), ~np.uint64(0)), np.zeros(len(found), np.uint64)
-    np.minimum.at(low, back, keys)
-    np.maximum.at(high, back, keys)
-    return found, n, low, high
+    if weights is None:
+        keys, n = np.sort(keys), np.ones(len(keys), np.int64)
+    else:
+        order = np.argsort(keys)
+        keys, n = keys[order], weights[order].astype(np.int64)
+    return _added_up(keys >> np.uint64(64 - done - bits), n, keys, keys)
+
+
+def _added_up(prefix: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """One entry for each prefix, from entries in ascending order of it."""
+    if not len(prefix):
+        return prefix, n, low, high
+    at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+    return prefix[at], np.add.reduceat(n, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+
+
+class _Total:
+    """Entries of a column, added up whenever those that wait are as many as those held."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.held = [], 0, 0
+
+    def add(self, entries: tuple) -> None:
+        self.parts.append(entries)
+        self.waiting += len(entries[0])
+        if self.waiting > max(PENDING, self.held):
+            self.entries()
+
+    def entries(self) -> tuple:
+        parts = [np.concatenate(x) for x in zip(*self.parts)]
+        order = np.argsort(parts[0], kind="stable")
+        self.parts = [_added_up(*[x[order] for x in parts])]
+        self.waiting, self.held = 0, len(self.parts[0][0])
+        return self.parts[0]
 
 
 def _count(read: Callable, done: int, bits: int, wanted: dict[int, list[int]] | None):
     """Arrow function: ``read`` gives (position, values, weights) parts of a batch."""
 
     def run(batches):
-        total: dict[tuple[int, int], list[int]] = {}
+        total: dict[int, _Total] = {}
         for batch in batches:
             for position, values, weights in read(batch):
-                if wanted is not None and position not in wanted:
-                    continue
-                for p, n, low, high in zip(*(x.tolist() for x in _counted(ordered_keys(values), weights, done, bits, wanted and wanted[position]))):
-                    at = total.setdefault((position, p), [0, low, high])
-                    at[0], at[1], at[2] = at[0] + n, min(at[1], low), max(at[2], high)
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        rows = [(c, signed(p), n, signed(low), signed(high)) for (c, p), (n, low, high) in total.items()]
-        kinds = [pa.int32(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in _COUNTS.split(", ")])
+                if wanted is None or position in wanted:
+                    total.setdefault(position, _Total()).add(_counted(ordered_keys(values), weights, done, bits, wanted and wanted[position]))
+        names = [f.split()[0] for f in _COUNTS.split(", ")]
+        for position, held in total.items():
+            prefix, n, low, high = held.entries()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), position, np.int32)), pa.array(prefix.view(np.int64)), pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names)
 
     return run
 
@@ -96,23 +125,29 @@ def quantiles(df: DataFrame, read: Callable, probs: list[float], bits: int = BIT
     found: dict[tuple[int, int], float] = {}
     sizes: dict[int, int] = {}
     wanted = None
-    for done in range(0, 64, bits):
+    passes = [(0, bits)]
+    while sum(passes[-1]) < 64:
+        done = sum(passes[-1])
+        passes.append((done, min(bits, LATER, 64 - done)))
+    for done, step in passes:
         unsigned = lambda v: v & (1 << 64) - 1
-        rows = df.mapInArrow(_count(read, done, bits, wanted), _COUNTS)
+        rows = df.mapInArrow(_count(read, done, step, wanted), _COUNTS)
         # Signed keys order as unsigned ones once their first bit is flipped.
         flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
         summed = rows.groupBy("position", "prefix").agg(F.sum("n").alias("n"), F.min(flip("low")).alias("low"), F.max(flip("high")).alias("high"))
         children: dict[tuple[int, int], list] = {}
-        for r in summed.collect():  # at most 2^bits per column, and per wanted prefix
+        for r in summed.collect():  # at most 2^BITS per column, then 2^LATER per wanted prefix
             prefix = unsigned(r.prefix)
-            children.setdefault((r.position, prefix >> bits), []).append((prefix, r.n, unsigned(r.low ^ -(1 << 63)), unsigned(r.high ^ -(1 << 63))))
+            children.setdefault((r.position, prefix >> step), []).append((prefix, r.n, unsigned(r.low ^ -(1 << 63)), unsigned(r.high ^ -(1 << 63))))
         if done == 0:
             sizes = {p: sum(c[1] for c in found_) for (p, _), found_ in children.items()}
             ranks = {p: {f(q * (n - 1)) for q in probs for f in (math.floor, math.ceil)} for p, n in sizes.items()}
             targets = {(p, r): (0, r) for p, some in ranks.items() for r in some}
+        for some in children.values():
+            some.sort()
         following = {}
         for (p, rank), (parent, inside) in targets.items():
-            for prefix, n, low, high in sorted(children[p, parent]):
+            for prefix, n, low, high in children[p, parent]:
                 if inside < n:
                     break
                 inside -= n

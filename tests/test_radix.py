@@ -1,6 +1,7 @@
 """Radix selection against sorting, and against Spark's exact percentile."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,30 @@ def test_quantiles_of_a_table(spark, bits):
     assert R.quantiles(long, R.read_long, PROBS, bits) == got
 
 
+def test_counts_of_a_task_are_arrays():
+    """Half a million prefixes take a few dozen MB, not hundreds."""
+    wanted = {p: sorted(int(k) for k in np.unique(R.ordered_keys(np.arange(1.0, 5.0)) >> np.uint64(48))) for p in (0, 1)}
+    read = lambda seed: ((p, 1.0 + 4 * np.random.default_rng([p, seed]).random(40_000), None) for p in (0, 1))
+    tracemalloc.start()
+    out = list(R._count(read, 16, 16, wanted)(range(30)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    inside = [np.isin(R.ordered_keys(v) >> np.uint64(48), np.array(wanted[p], np.uint64)).sum() for s in range(30) for p, v, _ in read(s)]
+    assert sum(sum(b.column("n").to_pylist()) for b in out) == sum(inside) and sum(b.num_rows for b in out) > 200_000
+    assert peak < 48 << 20
+
+
+def test_further_passes_have_few_counts(spark, monkeypatch):
+    """No pass after the first gives more than 4,096 counts for a wanted prefix."""
+    asked = []
+    real = R._count
+    monkeypatch.setattr(R, "_count", lambda read, done, bits, wanted: asked.append((done, bits)) or real(read, done, bits, wanted))
+    df = spark.range(20_000).select((F.lit(1e15) + F.sqrt("id")).alias("x"))
+    values = [r.x for r in df.collect()]
+    assert R.quantiles(df, R.read_wide([0]), [0.5, 0.9])[0] == pytest.approx(np.quantile(values, [0.5, 0.9]).tolist(), rel=1e-15)
+    assert asked[0] == (0, 16) and len(asked) > 2 and all(bits <= 12 for _, bits in asked[1:])
+
+
 def test_percentiles_equal_the_exact_percentile(spark):
     df = spark.range(2000).select((F.col("id") * 7919 % 1009).alias("a"), F.when(F.col("id") % 3 != 0, F.sqrt("id")).alias("b"), F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.log1p("id")).alias("c"), (F.col("id") / 8).cast("decimal(10,3)").alias("d"), F.lit("x").alias("e"))
     got = {(r["column"], r.p): r.value for r in P.percentiles(df).collect()}
