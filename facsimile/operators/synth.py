@@ -349,6 +349,15 @@ def _sampled_whole(model: SynthModel, p: ColumnPlan, base: DataFrame, idc: Colum
     return sample_by_rank(rows, iv, "_pos", total, k, p.out)
 
 
+def _split(c: Column) -> Column:
+    """``c`` by way of a lambda, which keeps its projection out of whole-stage code.
+
+    There all draws of a row make one method, and the JVM only interprets
+    methods of more than 8,000 bytes; outside each few expressions are a method.
+    """
+    return F.transform(F.array(c), lambda x: x).getItem(0)
+
+
 def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
     """D16 generate: n rows, source column order, one expression per column."""
     if seed is not None:
@@ -363,7 +372,7 @@ def generate(model: SynthModel, n: int, seed: int | None = None) -> DataFrame:
         if method == "kde" and (p.params.get("nn") or 0) < KDE_MIN_VALUES:
             method = "gaussian_copula"
         if method in EXPRESSIONS:
-            exprs[p.out] = EXPRESSIONS[method](p, model.seed, idc)
+            exprs[p.out] = EXPRESSIONS[method](p, model.seed, idc if exprs else _split(idc))
         else:
             lookups.append(p)
     indexed = [p for p in lookups if p.method != "markov_chain" and supported(p.data_type)]

@@ -62,3 +62,15 @@ def test_datetime_generation_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert sorted(r[0] for r in a) == sorted(r[0] for r in b)
+
+
+def test_draws_of_a_wide_row_are_not_one_method(spark):
+    """All draws in one generated method are too long for the JVM to compile."""
+    df = spark.range(200).select(*[(F.col("id") * (i + 3) / 7).alias(f"c{i}") for i in range(12)])
+    model = S.fit(df, {f"c{i}": {"generation_method": "gaussian_copula"} for i in range(12)})
+    out = S.generate(model, 50)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("*(" in line and line.count("md5(") > 6 for line in lines)
+    model.columns = model.columns[:1] + model.columns[6:7]
+    again = {tuple(r) for r in S.generate(model, 50).collect()}
+    assert {(r.c0, r.c6) for r in out.collect()} == again
