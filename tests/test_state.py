@@ -44,3 +44,13 @@ def test_sketched_distinct_counts(spark):
     halves = [S.state_of(df.filter(F.col("a") % 2 == r), exact=False) for r in (0, 1)]
     got = by_column(S.statistics(S.merged(halves)))
     assert abs(got["a"]["unique_count"] - 10_000) < 400 and abs(got["s"]["unique_count"] - 40_000) < 1600
+
+
+def test_exact_statistics_build_no_sketch(spark, table):
+    """No value is hashed for a sketch that is not read; saved states keep theirs."""
+    states = [S.state_of(table.filter("k < 100")), S.state_of(table.filter("k >= 100"))]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "hll_sketch_agg" not in plan(S.statistics(S.merged(states)))
+    assert "hll_sketch_agg" in plan(states[0].columns)
+    near = S.ProfileState(S.merged(states).columns, None)
+    assert by_column(S.statistics(near))["k"]["unique_count"] == pytest.approx(900, rel=0.03)
