@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facsimile.session import spread
+
 # Column kinds of the driver's tables (for SQL generation).
 TABLE_COLUMNS: dict[str, list[tuple[str, str]]] = {
     "region": [("r_regionkey", "numeric"), ("r_name", "string")],
@@ -45,7 +47,7 @@ PII_COLUMNS = ["c_custkey", "c_name", "c_mktsegment", *PII_SQL]
 
 
 def pii_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     exprs: list[Column] = [F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")]
     exprs += [F.expr(sql.replace("CAST(", "CAST(").replace(" AS VARCHAR)", " AS STRING)")).alias(name) for name, sql in PII_SQL.items()]
     return c.select(*exprs)

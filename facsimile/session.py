@@ -72,3 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, dealt over all cores if its files give fewer tasks than that.
+
+    A column store packs many rows into few bytes, so a scan that goes by bytes
+    may leave heavy work per row to one or two tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

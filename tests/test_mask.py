@@ -69,3 +69,13 @@ def test_engines_agree(spark):
 def test_python_function_vectors():
     for t, v, want in VECTORS:
         assert M.token_batch(t, KEY)([v, None, "", v]) == [want, None, "", want]
+
+
+def test_rows_of_one_small_file_are_dealt_over_all_cores(spark, tmp_path):
+    from facsimile.plans.tables import pii_customers
+
+    rows = spark.range(1000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer#"), F.col("id")).alias("c_name"), F.lit(3).alias("c_nationkey"), F.lit("A").alias("c_mktsegment"))
+    rows.union(rows).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    read = pii_customers(spark, str(tmp_path))
+    sizes = read.select(F.spark_partition_id().alias("p"), "c_custkey").groupBy("p").count().collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in sizes) == 2000
