@@ -28,12 +28,6 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(UNICODE + r"\S+")).cast("long")
 
 
-def words(col: Column) -> Column:
-    """Array of whitespace-separated words, leading/trailing blanks dropped."""
-    trimmed = F.regexp_replace(col, UNICODE + r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, UNICODE + r"\s+"))
-
-
 def capitalize(col: Column) -> Column:
     """First character upper, rest lower (Python ``str.capitalize``)."""
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))

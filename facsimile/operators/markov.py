@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions import rand as R
-from facsimile.functions.text import capitalize, word_count, words
+from facsimile.functions.text import UNICODE, capitalize, word_count
 from facsimile.operators.ranking import running_totals
 from facsimile.session import checkpoint_dir, cut_lineage
 
@@ -52,15 +52,20 @@ TEXT_BYTES = 1 << 27  # of texts made together from a mapped model
 
 
 def bigrams(df: DataFrame, col: str) -> DataFrame:
-    """(key, next_word, n) over all texts with at least two words."""
-    w = words(F.col(f"`{col}`"))
-    t = df.select(w.alias("_w")).filter(F.size("_w") >= 2)
-    pairs = t.select(
+    """(key, next_word, n) over all texts with at least two words.
+
+    A text is split once, untrimmed (a filter on the words would split it again):
+    only its first and last parts can be empty, and their pairs are dropped. A
+    pair is counted as one string, since no word holds a space; that is a
+    smaller row to hash, keep and shuffle than two strings.
+    """
+    parts = df.select(F.split(F.col(f"`{col}`"), UNICODE + r"\s+").alias("_w"))
+    pairs = parts.select(
         F.explode(F.arrays_zip(F.slice("_w", 1, F.size("_w") - 1).alias("a"), F.slice("_w", 2, F.size("_w") - 1).alias("b"))).alias("p")
-    )
-    return pairs.groupBy(F.lower(F.col("p.a")).alias("key"), F.col("p.b").alias("next_word")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    ).filter((F.col("p.a") != "") & (F.col("p.b") != ""))
+    pair = F.concat(F.lower(F.col("p.a")), F.lit(" "), F.col("p.b")).alias("pair")
+    counted = pairs.select(pair).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.substring_index("pair", " ", 1).alias("key"), F.substring_index("pair", " ", -1).alias("next_word"), "n")
 
 
 class MarkovModel:

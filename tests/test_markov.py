@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -49,6 +50,25 @@ def texts_of(seed=1):
     return texts + ["alone", ""]
 
 
+def test_bigrams_of_odd_white_space_equal_plain_counts(spark):
+    texts = ["  The cat sat\n", "\u00a0the\u0085Cat\u3000sat \t\r\n", "the cat", "", " ", "\n\t\u2003", "one", " one ", "one\u2028two", "İx ẞa İx ẞa", "ΟΔΟΣ ΟΔΟΣ a\u200bb", "a\x1cb \x1c a\u0301", "x x x x"]
+    rows = [(t,) for t in [*texts, None, *texts]]
+    expected = Counter()
+    for (t,) in rows:
+        found = re.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", t or "")
+        expected.update((a.lower(), b) for a, b in zip(found, found[1:]))
+    got = [tuple(r) for r in M.bigrams(spark.createDataFrame(rows, "`t.x` string").repartition(3), "t.x").collect()]
+    assert len(got) == len(expected) and {(k, b): n for k, b, n in got} == expected
+
+
+def test_bigrams_split_a_text_once_and_shuffle_one_string(spark, tmp_path):
+    spark.createDataFrame([("a b c",), (" a b ",)], "t string").write.parquet(str(tmp_path / "t"))
+    out = M.bigrams(spark.read.parquet(str(tmp_path / "t")), "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t#") == 1 and "regexp" not in plan
+    assert re.search(r"Aggregate \[pair#\d+\],", plan)
+
+
 @pytest.mark.parametrize("held", [True, False])
 def test_walks_equal_a_plain_walk(spark, monkeypatch, held):
     if not held:
