@@ -5,8 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from facsimile.functions.draws import Draws
 from facsimile.operators import markov as M
 from facsimile.operators import synth
 
@@ -109,6 +111,55 @@ def test_files_of_a_large_model_equal_a_plain_walk(spark, monkeypatch, walked):
     assert [(r["id"], r["text"]) for r in out] == plain_walks(texts_of(), "t", 7, 50)
 
 
+def test_no_bigram_of_a_large_model_is_a_row(spark, monkeypatch):
+    """The pairs are numbers in files; parts, stretches and buckets of few words give the same texts."""
+    hot = ["a b " * 30 + "c", "A b", "the  \u2003the the\n", "x" * 300 + " the \u00e9\u0085the"]
+    texts = [*texts_of(4), *hot, *["b a"] * 20]
+    for name, value in (("MAPPED_ROWS", 0), ("SLOTS", 1 << 40), ("SLOT_LEAST", 6), ("SLOT_MOST", 6), ("PART_BYTES", 60), ("BUCKET_BITS", 2), ("WALKED", 5)):
+        monkeypatch.setattr(M, name, value)
+    monkeypatch.delattr(M, "bigrams")
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    model = M.MarkovModel(df, "t")
+    assert model.files and model.texts == len(texts)
+    assert sorted(tuple(r) for r in M.walk(model, spark.range(60), 3).collect()) == plain_walks(texts, "t", 3, 60)
+
+
+def test_texts_without_pairs_are_not_laid_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAPPED_ROWS", 0)
+    for texts in (["one", "", " two "], [""]):
+        model = M.MarkovModel(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+        assert not model.files and not model.usable
+
+
+def test_texts_are_cut_at_the_white_space_of_the_bigrams():
+    texts = ["  The cat sat\n", "\u00a0the\u0085Cat\u3000sat \t\r\n", "", "", "the cat", " ", "\n\t\u2003", "one", "one\u2028two", "x\u205fy\u1680z\u202f", "a\u200bb \x1cc", "\u2001\u2030\u3001\u00a1\u1681 \u00e9", "end"]
+    sizes = np.cumsum([len(t.encode()) for t in texts])
+    flat, lengths, last = M._words_of(np.frombuffer("".join(texts).encode(), np.uint8), sizes)
+    found = [re.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", t) for t in texts]
+    ends = np.cumsum(lengths)
+    assert [flat[b - n : b].tobytes().decode() for b, n in zip(ends, lengths)] == [w for words in found for w in words]
+    assert last.tolist() == [k == len(words) - 1 for words in found for k in range(len(words))]
+
+
+def test_words_whose_digests_begin_alike_have_their_own_numbers(monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    words = [b"a", b"b", b"c", b"d"]
+    monkeypatch.setattr(M, "_digests", lambda some: (np.array([5 if w != b"d" else 1 << 59 for w in some]), np.array([w[0] for w in some])))
+    one, two = M._digests(words)
+    batch = pa.RecordBatch.from_pydict({"bucket": one >> 59, "one": one, "two": two, "number": np.arange(4, dtype=np.int32)})
+    assert [r["rows"] for b in M._put_digests(str(tmp_path))([batch]) for r in b.to_pylist()] == [4]
+    assert M._numbers_of(str(tmp_path), 1, [b"c", b"x", b"d", b"a", b"b"]).tolist() == [2, -1, 3, 0, 1]
+
+
+@pytest.mark.parametrize("key", ["7:t.x:", "1:\u00e9" + "x" * 30 + ":", "1:" + "y" * 60 + ":"])
+def test_draws_of_arrays_equal_the_digests(key):
+    ids = np.array([0, 9, 10, 99, 100, 12345, -3, 10**18 - 1, 10**18, 2**63 - 1, -(2**63)])
+    draws = Draws(key, ids)
+    for tag in ("start", "m1", "r517"):
+        assert draws.uniform(tag).tolist() == [int(hashlib.md5(f"{key}{i}:{tag}".encode()).hexdigest()[:13], 16) / 2**52 for i in ids.tolist()]
+
+
 def test_a_folder_that_is_not_mounted_keeps_the_table(spark, monkeypatch):
     monkeypatch.setattr(M, "checkpoint_dir", lambda spark: "hdfs://nowhere/kept")
     assert M._mapped_folder(spark) is None
